@@ -134,7 +134,7 @@ def fit(labelled: DataFrame, max_vocabulary: int = 1 << 18) -> PipelineModel:
             featuresCol="_features", labelCol="_label", predictionCol="_predicted",
             rawPredictionCol="_raw", probabilityCol="_probability", family="multinomial",
             regParam=1.0 / labelled.count(), elasticNetParam=0.0, standardization=False,
-            maxIter=200, tol=1e-7,
+            maxIter=100, tol=1e-6,
         )
         normalise = Normalizer(p=2.0, inputCol="_weighted", outputCol="_features")
         ready = normalise.transform(weigh.transform(counts.transform(labelled)))

@@ -19,8 +19,8 @@ def cleanse_events(
 ) -> DataFrame:
     """The event columns cleansed, ``keep`` unchanged. Blank values count as missing.
 
-    Blanks are removed in a first projection, so that no expression built on a stripped value
-    strips it again.
+    Done in three projections, blanks first, then case, then names: a regular expression stands
+    once in the plan and runs once per row, however often its result is used.
     """
     stripped = {
         "full_name": _present(text.squeeze(F.col("full_name"))),
@@ -34,15 +34,19 @@ def cleanse_events(
         *[c.alias(name) for name, c in stripped.items()],
         *[text.blank_to_null(F.col(c)).alias(c) for c in EVENT_COLUMNS if c not in stripped],
     )
+    titled = first.select(
+        *[c for c in first.columns if c not in ("full_name", "region")],
+        text.title(F.col("full_name")).alias("full_name"),
+        text.title(F.col("region")).alias("region"),
+    )
     values = {
-        "full_name": text.title(F.col("full_name")),
         "phone": text.international(F.col("phone")),
         "pillar": text.matched_name(F.col("_pillar"), F.col("pillar"), spec.pillars),
-        "region": text.aliased(text.title(F.col("region")), spec.region_aliases),
+        "region": text.aliased(F.col("region"), spec.region_aliases),
         "status": F.coalesce(F.col("status"), F.lit("Active")),
         "consent_date": F.col("consent_date").try_cast("timestamp_ntz"),
     }
-    return first.select(
+    return titled.select(
         *keep, *[values.get(c, F.col(c)).alias(c) for c in EVENT_COLUMNS]
     )
 

@@ -1,7 +1,12 @@
-"""The frames the registered queries start from, built lazily from the test tables."""
+"""The frames the registered queries start from, built from the test tables.
+
+The routed events and the two registries are tables that many queries read. Each is written once
+per application and folder, as the ingest job would, and not derived again by every reader.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +15,7 @@ from pyspark.sql import functions as F
 from consentry.operators import access, quality, state
 from consentry.session import tune
 from consentry.sources import tables
+from consentry.sources.staging import stored
 from consentry.spec import REGISTRY_COLUMNS
 from consentry.streaming.ingest import route_events
 
@@ -29,10 +35,19 @@ class Inputs:
     def events(self) -> DataFrame:
         return self.read("registrations")
 
+    def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return stored(self.spark, (self.sf_dir, name), build)
+
     @cached_property
-    def routed(self) -> DataFrame:
+    def routing(self) -> DataFrame:
+        """The ingest job from raw events, as a plan."""
         return route_events(self.events)
 
+    @cached_property
+    def routed(self) -> DataFrame:
+        """The routed events as a stored table: the registry, quarantine and audit all read it."""
+        return self._stored("routed", lambda: self.routing)
+
     @cached_property
     def accepted(self) -> DataFrame:
         return self.routed.filter(F.col("ingest_status") == quality.SUCCESS).select(
@@ -41,8 +56,10 @@ class Inputs:
 
     @cached_property
     def registry(self) -> DataFrame:
-        """All registrations upserted, no changes applied."""
-        return state.registry_upsert(self.accepted, "event_seq")
+        """The stored registry with all registrations upserted and no changes applied."""
+        return self._stored(
+            "registry", lambda: state.registry_upsert(self.accepted, "event_seq")
+        )
 
     @cached_property
     def changes(self) -> DataFrame:
@@ -70,8 +87,10 @@ class Inputs:
 
     @cached_property
     def current(self) -> DataFrame:
-        """The registry after all registrations and then all changes."""
-        return state.apply_changes(self.ingest_log, self.changes_after_all())
+        """The stored registry after all registrations and then all changes."""
+        return self._stored(
+            "current", lambda: state.apply_changes(self.ingest_log, self.changes_after_all())
+        )
 
     @cached_property
     def requests(self) -> DataFrame:

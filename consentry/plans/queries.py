@@ -127,13 +127,10 @@ def _log_order(df: DataFrame) -> DataFrame:
 
 @query
 def append_audit(i: Inputs) -> DataFrame:
-    """Audit rows of ingest, changes and reads, appended to a log partitioned by day."""
+    """Audit rows of ingest, changes and reads, appended to one dated log."""
     out = shared_dir(i.spark)
-    dated = _audit_frame(i).withColumn("dt", F.to_date("timestamp"))
-    dated.repartition("dt", F.pmod(F.xxhash64("seq"), F.lit(8))).write.mode("append").partitionBy(
-        "dt"
-    ).parquet(out)
-    return i.spark.read.schema(dated.schema).parquet(out).select(*audit.AUDIT_COLUMNS)
+    files.append_dated(_audit_frame(i), out, "timestamp", "seq")
+    return files.read_dated(i.spark, out, ingest.AUDIT_SCHEMA).drop("dt")
 
 
 @query
@@ -307,19 +304,19 @@ def gate_rows_strict(i: Inputs) -> DataFrame:
 
 @query
 def route_ingest(i: Inputs) -> DataFrame:
-    return i.routed.select("event_seq", KEY, "ingest_status", "failure_reasons")
+    return i.routing.select("event_seq", KEY, "ingest_status", "failure_reasons")
 
 
 @query
 def ingest_outcomes(i: Inputs) -> DataFrame:
-    return quality.ingest_outcomes(i.routed)
+    return quality.ingest_outcomes(i.routing)
 
 
 # --- keyed state ------------------------------------------------------------------------------
 
 @query
 def registry_upsert(i: Inputs) -> DataFrame:
-    return i.registry
+    return state.registry_upsert(i.accepted, "event_seq")
 
 
 def _after(i: Inputs, op: str) -> DataFrame:

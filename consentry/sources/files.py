@@ -76,6 +76,21 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
+def append_dated(df: DataFrame, path: str, at: str, order: str, unit: str = "month") -> None:
+    """Append to a Parquet log partitioned by ``dt``, the start of the ``unit`` of ``at``.
+
+    Rows are range-partitioned by date and ``order`` first: each task writes few folders, and a
+    date that holds much of the log is spread over several tasks.
+    """
+    dated = df.withColumn("dt", F.to_date(F.date_trunc(unit, at)))
+    dated.repartitionByRange("dt", order).write.mode("append").partitionBy("dt").parquet(path)
+
+
+def read_dated(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    full = T.StructType([*schema.fields, T.StructField("dt", T.DateType())])
+    return spark.read.schema(full).parquet(path)
+
+
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet log written by ``append_batch``; a log nobody wrote yet is empty."""
     full = T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])

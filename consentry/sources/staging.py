@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STORED: dict[tuple[str, ...], tuple[str, object]] = {}
 _LOCAL: dict[str, str] = {}
 
 
@@ -33,3 +35,29 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or shared_dir(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once per application under ``key`` and read by everyone who asks again."""
+    at = (spark.sparkContext.applicationId, *key)
+    if at not in _STORED or not exists(spark, f"{_STORED[at][0]}/_SUCCESS"):
+        path = shared_dir(spark)
+        df = stage(build(), path)
+        _STORED[at] = (path, df.schema)
+    path, schema = _STORED[at]
+    return spark.read.schema(schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files come in fewer splits than that; unchanged otherwise.
+
+    For the text-heavy work that follows a scan, one small exchange beats one busy core. A table
+    large enough to have splits for every core is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from consentry.sources.staging import spread
+
 _FIRST = "'Jane,Asha,Joseph,GRACE,kevin,Halima,Moses,Ruth,Élan,Ali,Alice,Mercy'"
 _LAST = "'achieng,o''brien,Anne-Marie,KIPROP,mohamed 3rd,Wambui,Otieno'"
 _FIRST_NAME = f"split_part({_FIRST}, ',', cast(o.o_custkey % 12 as int) + 1)"
@@ -183,5 +185,11 @@ def adapt(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataF
     )
 
 
+_TEXT_HEAVY = {"registrations": "orders", "messages": "conversations"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return adapt(spark, name, {t: load(spark, sf_dir, t) for t in _tables_of(name)})
+    frames = {t: load(spark, sf_dir, t) for t in _tables_of(name)}
+    if name in _TEXT_HEAVY:
+        frames[_TEXT_HEAVY[name]] = spread(frames[_TEXT_HEAVY[name]])
+    return adapt(spark, name, frames)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from consentry.operators import audit, quality, standardise, state
 from consentry.sources.files import CORRUPT, append_batch, read_log
+from consentry.sources.staging import spread
 from consentry.sources.store import REGISTRY_SCHEMA
 from consentry.spec import DEFAULT_SPEC, EVENT_COLUMNS, REGISTRY_COLUMNS, RegistrySpec
 
@@ -81,7 +82,7 @@ def quarantine(routed: DataFrame) -> DataFrame:
 
 def write_batch(events: DataFrame, batch_id: int, root: str) -> None:
     """Route one micro-batch and append to the registry, quarantine and audit logs."""
-    routed = route_events(events).persist()
+    routed = route_events(spread(events)).persist()
     try:
         accepted = routed.filter(F.col("ingest_status") == quality.SUCCESS)
         append_batch(
