@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consentry.sources.staging import stage
+from consentry.sources.staging import lookup, stage
 
 # Executors need not have this package installed to run the functions below.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -125,7 +125,7 @@ class IsolationForest:
         verdicts = self.score(df.select(*keys).distinct()).select(
             *keys, F.when(F.col("score") < self.threshold, 1).otherwise(0).alias("is_anomaly")
         )
-        return df.join(verdicts, keys, "left")
+        return df.join(lookup(verdicts), keys, "left")
 
     def flag_rows(self, df: DataFrame) -> DataFrame:
         """``flag`` without any shuffle, for streams and micro-batches."""

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_INTENT = "general_faq"
+_ROWS_PER_TASK = 20_000
 
 # The labelled phrases the classifier is trained on.
 PHRASES: dict[str, tuple[str, ...]] = {
@@ -116,8 +117,11 @@ def fit(labelled: DataFrame, max_vocabulary: int = 1 << 18) -> PipelineModel:
     the penalty is that of C = 1: half the squared weights against the summed loss. The model, a
     weight per gram and intent, is held by the driver; ``max_vocabulary`` bounds it.
     """
-    labelled = labelled.select("text", "intent").persist()
+    rows = labelled.select("text", "intent").persist()
     try:
+        # Every iteration is a job over all rows, so no task should hold only a handful.
+        size = rows.count()
+        labelled = rows.coalesce(-(-size // _ROWS_PER_TASK))
         counts = Pipeline(
             stages=[*_grams(), CountVectorizer(
                 inputCol="_grams", outputCol="_counts", vocabSize=max_vocabulary)]
@@ -133,7 +137,7 @@ def fit(labelled: DataFrame, max_vocabulary: int = 1 << 18) -> PipelineModel:
         classify = LogisticRegression(
             featuresCol="_features", labelCol="_label", predictionCol="_predicted",
             rawPredictionCol="_raw", probabilityCol="_probability", family="multinomial",
-            regParam=1.0 / labelled.count(), elasticNetParam=0.0, standardization=False,
+            regParam=1.0 / size, elasticNetParam=0.0, standardization=False,
             maxIter=100, tol=1e-6,
         )
         normalise = Normalizer(p=2.0, inputCol="_weighted", outputCol="_features")
@@ -144,7 +148,7 @@ def fit(labelled: DataFrame, max_vocabulary: int = 1 << 18) -> PipelineModel:
         )
         return PipelineModel([*counts.stages, weigh, normalise, classifier, name])
     finally:
-        labelled.unpersist()
+        rows.unpersist()
 
 
 def predict(messages: DataFrame, model: PipelineModel | None) -> DataFrame:

@@ -31,7 +31,8 @@ def policy_join(
     """Requests with the role and scope on record for their operator, and ``allowed``.
 
     Scope comes from the policy table, never from the request. An operator without a policy row,
-    an unknown role or an unknown purpose is denied; an omitted filter means all.
+    an unknown role or an unknown purpose is denied; an omitted filter means all. ``policy`` is
+    best a stored table: an operator behind a third of all requests is then split in the join.
     """
     asked = requests.drop("role", "region_scope", "pillar_scope").fillna(
         ALL, ["region", "pillar", "purpose"]
@@ -148,10 +149,13 @@ def mask_decision(requests: DataFrame, spec: RegistrySpec = DEFAULT_SPEC) -> Dat
 
 def masked_columns(when: Column, spec: RegistrySpec = DEFAULT_SPEC) -> list[Column]:
     """The registry columns with personal data masked where ``when`` holds or the row is erased."""
+    return _shown(when, {c: m(F.col(c), spec.redacted) for c, m in MASKS.items()})
+
+
+def _shown(when: Column, masked: dict[str, Column]) -> list[Column]:
     hide = when | (F.col("status") == "Anonymized")
     return [
-        F.when(hide, MASKS[c](F.col(c), spec.redacted)).otherwise(F.col(c)).alias(c)
-        if c in MASKS else F.col(c)
+        F.when(hide, masked[c]).otherwise(F.col(c)).alias(c) if c in masked else F.col(c)
         for c in REGISTRY_COLUMNS
     ]
 
@@ -172,11 +176,16 @@ def directory(
     A request's answer is the rows whose view columns equal its own, see ``request_rows``.
     """
     views = F.broadcast(requested_views(decided, spec))
-    members = registry.select(*REGISTRY_COLUMNS, F.explode(view_keys(spec)).alias("_v")).select(
-        "*", "_v.*"
-    )
+    # Masked once per record, before the record is repeated for its views.
+    masked = {c: f"_m_{c}" for c in MASKS}
+    members = registry.select(
+        *REGISTRY_COLUMNS,
+        *[MASKS[c](F.col(c), spec.redacted).alias(m) for c, m in masked.items()],
+        F.explode(view_keys(spec)).alias("_v"),
+    ).select("*", "_v.*")
     return members.join(views, list(VIEW)).select(
-        *VIEW, "masked", "n_requests", *masked_columns(F.col("masked"), spec)
+        *VIEW, "masked", "n_requests",
+        *_shown(F.col("masked"), {c: F.col(m) for c, m in masked.items()}),
     )
 
 

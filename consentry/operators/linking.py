@@ -8,11 +8,12 @@ piece of text and cannot multiply, however many people share a first name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from consentry.functions.text import squeeze
 from consentry.operators.access import linkable
+from consentry.sources.staging import lookup
 from consentry.spec import DEFAULT_SPEC, KEY, RegistrySpec
 
 NARROW = ("id", "first_name")
@@ -20,6 +21,7 @@ WIDE = NARROW + ("national_id", "phone")
 
 _TOKEN = r"([\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*)"
 _PIECE = 512
+_SLOTS = 1 << 18
 
 
 def link_keys(
@@ -46,6 +48,31 @@ def link_keys(
     )
 
 
+def _slot(key: str) -> Column:
+    start = F.substring(key, 1, 3)
+    return F.pmod(F.xxhash64("plus", F.length(key), start), F.lit(_SLOTS))
+
+
+def _starts(keys: DataFrame) -> Column:
+    """A bitmap of how keys start: one bit per hash of (plus, length, first three characters), as a
+    scalar array of ``_SLOTS / 64`` longs whatever the number of keys."""
+    words = keys.select(_slot("key").alias("_s")).groupBy(F.expr("_s div 64").alias("w")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(_s % 64 as int)))").alias("bits")
+    )
+    dense = F.expr(
+        f"transform(sequence(0, {_SLOTS // 64 - 1}), i -> coalesce(try_element_at(_m, cast(i as bigint)), 0L))"
+    )
+    return (
+        words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("_m"))
+        .select(dense).scalar()
+    )
+
+
+def _may_be_key(bitmap: Column) -> Column:
+    word = F.get(bitmap, F.expr("cast(_s div 64 as int)"))
+    return F.bit_get(word, F.expr("cast(_s % 64 as int)")) == 1
+
+
 def _first_record(hits: DataFrame) -> DataFrame:
     return hits.groupBy("msg_id").agg(F.min("record").alias("record")).select(
         "msg_id", f"record.{KEY}"
@@ -62,9 +89,10 @@ def link_messages(
 
     Exact without comparing every message with every record: keys have few distinct lengths, so
     all substrings of those lengths are looked up in an equi-join. Long texts are cut into pieces
-    that overlap by the longest key, which keeps the work linear in the text.
+    that overlap by the longest key, which keeps the work linear in the text. A small bitmap of key
+    beginnings drops most substrings inside the map task, so few reach the shuffle.
     """
-    keys = link_keys(registry, kinds, spec)
+    keys = lookup(link_keys(registry, kinds, spec))
     lengths = keys.agg(F.collect_set(F.struct("plus", F.length("key").alias("n"))))
     bodies = [F.struct(F.lit(True).alias("plus"), F.lower("text").alias("body"))]
     if "phone" in kinds:
@@ -94,7 +122,8 @@ def link_messages(
             )
         ).alias("key"),
     )
-    return _first_record(substrings.join(keys, ["plus", "key"]))
+    likely = substrings.withColumn("_s", _slot("key")).filter(_may_be_key(_starts(keys))).drop("_s")
+    return _first_record(likely.join(keys, ["plus", "key"]))
 
 
 def link_messages_tokens(
@@ -105,7 +134,9 @@ def link_messages_tokens(
 ) -> DataFrame:
     """``(msg_id, beneficiary_id)`` by whole words: ``ali`` does not match ``alice``. Cheaper than
     substrings, as each word is looked up once."""
-    keys = link_keys(registry, kinds, spec).groupBy("key").agg(F.min("record").alias("record"))
+    keys = lookup(
+        link_keys(registry, kinds, spec).groupBy("key").agg(F.min("record").alias("record"))
+    )
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(1)))
     tokens = messages.select("msg_id", F.explode(words).alias("key"))
     return _first_record(tokens.join(keys, "key"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from consentry.sources.staging import lookup
 from consentry.spec import DEFAULT_SPEC, KEY, RegistrySpec, Rule
 
 SUCCESS, QUARANTINED, ERROR = "SUCCESS", "QUARANTINED", "ERROR"
@@ -52,7 +53,7 @@ def duplicated_rows(df: DataFrame, column: str = KEY) -> DataFrame:
         df.filter(F.col(column).isNotNull())
         .groupBy(column).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(column)
     )
-    return df.join(repeated, column, "left_semi")
+    return df.join(lookup(repeated), column, "left_semi")
 
 
 def failure_reasons(rules: tuple[Rule, ...]) -> Column:

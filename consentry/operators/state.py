@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from consentry.functions import consent, text
+from consentry.sources.staging import lookup
 from consentry.spec import (
     DEFAULT_CONSENT_TYPE, DEFAULT_SPEC, FLAGS, KEY, MESSAGE_CONSENT_TYPE, PII, REGISTRY_COLUMNS,
     WITHDRAW_WORDS, RegistrySpec,
@@ -107,41 +108,49 @@ def first_ingest(writes: DataFrame) -> DataFrame:
     )
 
 
-def first_erasure(writes: DataFrame) -> DataFrame:
-    """Per key, the first erase that found a record."""
-    erases = writes.filter(F.col("op") == ERASE).select(KEY, "seq")
-    # Only keys somebody asked to erase matter, so the ingest side shrinks to those first.
-    born = first_ingest(writes.join(erases.select(KEY).distinct(), KEY, "left_semi"))
-    return _first_valid_erase(erases, born)
-
+def lifetimes(writes: DataFrame) -> DataFrame:
+    """Per ingested key ``first_ingest`` and ``erased_at``, its first erase that found a record.
 
-def _first_valid_erase(erases: DataFrame, born: DataFrame) -> DataFrame:
-    return (
-        erases.join(born, KEY).filter("seq >= first_ingest")
-        .groupBy(KEY).agg(F.min("seq").alias("erased_at"))
+    One aggregation over three columns of the log decides nearly every key. Only keys with an erase
+    both before and after their first ingest need their erases looked at again. Staged, see
+    ``lookup``.
+    """
+    op, seq = F.col("op"), F.col("seq")
+    marks = lookup(
+        writes.groupBy(KEY).agg(
+            F.min(F.when(op == INGEST, seq)).alias("first_ingest"),
+            F.min(F.when(op == ERASE, seq)).alias("first_erase"),
+            F.max(F.when(op == ERASE, seq)).alias("last_erase"),
+        ).filter(F.col("first_ingest").isNotNull())
+    )
+    open_question = F.coalesce(
+        F.expr("first_erase < first_ingest AND last_erase >= first_ingest"), F.lit(False)
+    )
+    decided = marks.filter(~open_question).select(
+        KEY, "first_ingest",
+        F.expr("if(first_erase >= first_ingest, first_erase, null)").alias("erased_at"),
+    )
+    reopened = marks.filter(open_question).select(KEY, "first_ingest")
+    if reopened.isEmpty():
+        return decided
+    resolved = (
+        writes.filter(op == ERASE).select(KEY, "seq").join(reopened, KEY)
+        .filter("seq >= first_ingest")
+        .groupBy(KEY, "first_ingest").agg(F.min("seq").alias("erased_at"))
     )
+    return decided.unionByName(lookup(resolved))
 
 
 def drop_after_erasure(writes: DataFrame) -> DataFrame:
-    """Writes up to and including the erasure of their key: an erased person stays erased.
-
-    The erasures are one row per erased key. Spark broadcasts them when their measured size
-    allows; else both sides shuffle, and adaptive skew handling splits a hot key.
-    """
+    """Writes up to and including the erasure of their key: an erased person stays erased."""
+    erased = lifetimes(writes).filter(F.col("erased_at").isNotNull()).select(KEY, "erased_at")
     return (
-        writes.join(first_erasure(writes), KEY, "left")
+        writes.join(erased, KEY, "left")
         .filter(F.col("erased_at").isNull() | (F.col("seq") <= F.col("erased_at")))
         .drop("erased_at")
     )
 
 
-def lifetimes(writes: DataFrame) -> DataFrame:
-    """Per ingested key: ``first_ingest`` and ``erased_at`` (null while it is not erased)."""
-    born = first_ingest(writes)
-    erases = writes.filter(F.col("op") == ERASE).select(KEY, "seq")
-    return born.join(_first_valid_erase(erases, born), KEY, "left")
-
-
 def fold(writes: DataFrame) -> DataFrame:
     """Current registry: 16 columns and ``row_order``, the ``seq`` of the last ingest.
 
@@ -185,7 +194,7 @@ def change_not_found(writes: DataFrame, changes: DataFrame) -> DataFrame:
     A self-service update of an unknown key is not reported to the caller, every other is.
     """
     return (
-        changes.join(first_ingest(writes), KEY, "left")
+        changes.join(lookup(first_ingest(writes)), KEY, "left")
         .filter(F.col("first_ingest").isNull() | (F.col("first_ingest") > F.col("seq")))
         .select("seq", KEY, "op", (F.col("op") != SELF_UPDATE).alias("reported"))
     )
@@ -194,7 +203,8 @@ def change_not_found(writes: DataFrame, changes: DataFrame) -> DataFrame:
 def effective_writes(writes: DataFrame, sticky_erasure: bool = True) -> DataFrame:
     """Writes that changed the registry: none before the key's first ingest, none after erasure."""
     if not sticky_erasure:
-        alive = writes.join(first_ingest(writes), KEY).filter("seq >= first_ingest")
+        born = lookup(first_ingest(writes))
+        alive = writes.join(born, KEY).filter("seq >= first_ingest")
         return alive.drop("first_ingest")
     return (
         writes.join(lifetimes(writes), KEY)
@@ -211,8 +221,12 @@ def previous_value(
     ``order`` is a unique integer, so a (key, block of ``order``) holds at most ``block`` rows;
     each is one window partition. The last value of every block is carried to the next block
     of its key over the much smaller table of blocks.
+
+    The rows are shuffled by (key, block) explicitly: rows that arrive already grouped by key
+    would satisfy the window as they are and leave a hot key in one task.
     """
-    blocked = rows.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    blocked = rows.withColumn("_block", F.col(order).cast("bigint") - F.pmod(order, F.lit(block)))
+    blocked = blocked.repartition(key, "_block")
     last = blocked.groupBy(key, "_block").agg(
         F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_last")
     )
@@ -273,7 +287,7 @@ def request_rows(
 
 def purge_erased(history: DataFrame, erased: DataFrame, columns: tuple[str, ...] = PII) -> DataFrame:
     """``history`` with ``columns`` nulled on every row of an erased key. Removes no row."""
-    hit = erased.select(KEY).distinct().withColumn("_erased", F.lit(True))
+    hit = lookup(erased.select(KEY).distinct()).withColumn("_erased", F.lit(True))
     joined = history.join(hit, KEY, "left")
     return joined.select(
         *[

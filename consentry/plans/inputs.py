@@ -98,9 +98,8 @@ class Inputs:
 
     @cached_property
     def scoped(self) -> DataFrame:
-        return access.row_policy(
-            access.policy_join(self.requests, access.policy_of(self.requests))
-        )
+        policy = self._stored("policy", lambda: access.policy_of(self.requests))
+        return access.row_policy(access.policy_join(self.requests, policy))
 
     @cached_property
     def messages(self) -> DataFrame:

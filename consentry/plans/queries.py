@@ -16,7 +16,7 @@ from consentry.plans import batch
 from consentry.plans.inputs import AFTER_ALL, Inputs
 from consentry.plans.messages import handle_messages
 from consentry.sources import files, store, tables
-from consentry.sources.staging import shared_dir, stage
+from consentry.sources.staging import lookup, shared_dir, stage
 from consentry.spec import (
     ALL, BATCH_RULES, DEFAULT_SPEC, EVENT_COLUMNS, FLAGS, KEY, PII, REGISTRY_COLUMNS, ROW_RULES,
     STRICT_RULES,
@@ -461,7 +461,8 @@ def directory_masked(i: Inputs) -> DataFrame:
 
 @query
 def policy_join(i: Inputs) -> DataFrame:
-    return i.scoped.select("request_id", "role", "region_scope", "pillar_scope", "allowed")
+    policy = lookup(access.policy_of(i.requests))
+    return access.policy_join(i.requests, policy).select("request_id", "role", "region_scope", "pillar_scope", "allowed")
 
 
 @query
@@ -684,7 +685,7 @@ def stream_access_alerts(i: Inputs) -> DataFrame:
     _, model = _forest(i)
     requests = tables.adapt(i.spark, "access_requests", {"events": _stream_table(i, "events")})
     volumes = stage(access.view_volumes(i.registry))
-    policy = stage(access.policy_of(i.requests))
+    policy = lookup(access.policy_of(i.requests))
     out = shared_dir(i.spark)
     alerts.start_alerts(requests, policy, volumes, model, out).awaitTermination()
     return alerts.alerts(i.spark, out).drop("batch_id")

@@ -37,6 +37,17 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lookup(df: DataFrame) -> DataFrame:
+    """An aggregated table to be joined by its key, staged.
+
+    As a written table its size is known, so Spark broadcasts it if, and only if, it is below
+    ``spark.sql.autoBroadcastJoinThreshold``. Above that both join sides are plain shuffles, which
+    is what adaptive execution needs to split a hot key of the other side; an aggregation in the
+    same stage as the join would prevent it.
+    """
+    return stage(df)
+
+
 def stored(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
     """A table written once per application under ``key`` and read by everyone who asks again."""
     at = (spark.sparkContext.applicationId, *key)
