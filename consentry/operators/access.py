@@ -8,18 +8,33 @@ them, and the work grows with the registry plus the requests, never with their p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from consentry.functions.masks import MASKS
 from consentry.spec import (
-    ALERT_PREFIX, ALERT_SUFFIX, ALL, DEFAULT_SPEC, KEY, REGISTRY_COLUMNS, UNKNOWN_ROLE_CODE,
-    RegistrySpec,
+    ALERT_PREFIX, ALERT_SUFFIX, ALL, DEFAULT_SPEC, KEY, REGISTRY_COLUMNS, STAFF_POLICY,
+    UNKNOWN_ROLE_CODE, RegistrySpec,
 )
 
 VIEW = ("region_filter", "pillar_filter", "purpose")
 
 
+POLICY_SCHEMA = "operator string, role string, region_scope string, pillar_scope string"
+
+
+def staff_policy(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(STAFF_POLICY), POLICY_SCHEMA)
+
+
+def people_policy(registry: DataFrame) -> DataFrame:
+    """Registered people as operators under their own id."""
+    return registry.select(
+        F.col(KEY).alias("operator"), F.lit("beneficiary").alias("role"),
+        F.col("region").alias("region_scope"), F.col("pillar").alias("pillar_scope"),
+    )
+
+
 def policy_of(requests: DataFrame) -> DataFrame:
     """The scope table ``(operator, role, region_scope, pillar_scope)`` behind a request log."""
     return requests.select("operator", "role", "region_scope", "pillar_scope").distinct()

@@ -6,11 +6,13 @@ live on in the log.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from consentry.operators import quality, state
-from consentry.spec import INGEST_OPERATOR, KEY, LOCAL_ADDRESS, MESSAGE_OPERATOR
+from consentry.spec import (
+    INGEST_OPERATOR, KEY, LOCAL_ADDRESS, MESSAGE_OPERATOR, STARTUP_DETAILS,
+)
 
 AUDIT_COLUMNS = (
     "seq", "timestamp", "operator", "action_type", "target_beneficiary_id", "details",
@@ -44,9 +46,12 @@ def ingest_audit(routed: DataFrame, seq: str, at: Column) -> DataFrame:
     )
 
 
-def change_audit(writes: DataFrame, at: Column, block: int = 1 << 20) -> DataFrame:
+def change_audit(
+    writes: DataFrame, at: Column, block: int = 1 << 20, since: int = 0
+) -> DataFrame:
     """One row per change that took effect, with the status it replaced, and one per self-service
-    update of an unknown record, which is logged before it fails."""
+    update of an unknown record, which is logged before it fails. Only changes from ``since`` on
+    are reported; earlier writes are their history."""
     born = state.lifetimes(writes)
     found = F.col("seq") >= F.col("first_ingest")
     alive = F.col("erased_at").isNull() | (F.col("seq") <= F.col("erased_at"))
@@ -84,7 +89,14 @@ def change_audit(writes: DataFrame, at: Column, block: int = 1 << 20) -> DataFra
     )
     action = F.when(op == state.ERASE, "ANONYMIZATION").otherwise("CONSENT_CHANGE")
     return _rows(
-        known.filter(op != state.INGEST), "seq", at, operator, action, F.col(KEY), details
+        known.filter((op != state.INGEST) & (F.col("seq") >= since)), "seq", at, operator, action, F.col(KEY), details
+    )
+
+
+def startup_audit(spark: SparkSession, at: Column) -> DataFrame:
+    return _rows(
+        spark.range(1).withColumnRenamed("id", "seq"), "seq", at, F.lit("system"),
+        F.lit("SYSTEM_STARTUP"), F.lit(None).cast("string"), F.lit(STARTUP_DETAILS),
     )
 
 

@@ -32,7 +32,7 @@ def load(
     batch = quality.require_valid(transformed, spec.batch_rules)
     files.write_csv(batch, clean_csv, mode="overwrite")
     typed = standardise.type_registry(batch)
-    return store.replace_registry(
+    return store.load_registry(
         typed.withColumn("row_order", F.lit(0).cast("bigint")), root
     )
 

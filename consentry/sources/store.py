@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from consentry.operators import state
 from consentry.sources.files import append_batch, read_log
-from consentry.spec import FLAGS, REGISTRY_COLUMNS
+from consentry.spec import FLAGS, KEY, REGISTRY_COLUMNS
 
 _FIELDS = [
     T.StructField(
@@ -74,15 +74,38 @@ def snapshot(spark: SparkSession, root: str) -> DataFrame:
 
 
 def replace_registry(registry: DataFrame, root: str) -> int:
-    """Write a new snapshot beside the old ones and return its version."""
+    """Write a new snapshot beside the old ones and return its version.
+
+    Rows are laid out by region and pillar, so a directory filter skips most of the files.
+    """
     spark = registry.sparkSession
     version = max(_numbered(spark, f"{root}/registry", "version=", complete=False), default=-1) + 1
-    registry.select(*REGISTRY_SCHEMA.names).write.parquet(f"{root}/registry/version={version}")
+    laid_out = registry.select(*REGISTRY_SCHEMA.names).repartitionByRange("region", "pillar", KEY)
+    laid_out.write.parquet(f"{root}/registry/version={version}")
+    return version
+
+
+def load_registry(registry: DataFrame, root: str) -> int:
+    """Make ``registry`` the whole content: a new snapshot, without the log and the older ones."""
+    spark = registry.sparkSession
+    batches = _numbered(spark, f"{root}/writes", "batch_id=", complete=False)
+    old = versions(spark, root)
+    version = replace_registry(registry, root)
+    _drop(spark, root, batches, old)
     return version
 
 
+def _drop(spark: SparkSession, root: str, batches: list[int], old: list[int]) -> None:
+    for batch in batches:
+        _delete(spark, f"{root}/writes/batch_id={batch}")
+    for version in old:
+        _delete(spark, f"{root}/registry/version={version}")
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The registry as of now: newest snapshot with the logged writes folded in."""
+    if not _numbered(spark, f"{root}/writes", "batch_id=", complete=False):
+        return snapshot(spark, root)
     return state.apply_changes(
         state.snapshot_writes(snapshot(spark, root)), read_writes(spark, root)
     )
@@ -102,8 +125,5 @@ def compact(spark: SparkSession, root: str) -> int:
     )
     folded = state.apply_changes(state.snapshot_writes(snapshot(spark, root)), log)
     version = replace_registry(folded, root)
-    for batch in batches:
-        _delete(spark, f"{root}/writes/batch_id={batch}")
-    for v in old:
-        _delete(spark, f"{root}/registry/version={v}")
+    _drop(spark, root, batches, old)
     return version

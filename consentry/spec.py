@@ -35,6 +35,17 @@ LOCAL_ADDRESS = "127.0.0.1"
 INGEST_OPERATOR = "streaming_pipeline"
 MESSAGE_OPERATOR = "chatbot_interface"
 REASON_FORMAT = "Validation failed on column '{column}' for check '{check}'"
+STARTUP_DETAILS = "Privacy database and consent purposes initialised."
+# (operator, role, region scope, pillar scope) of the staff accounts.
+STAFF_POLICY = (
+    ("hq_director", "hq_admin", "All", "All"),
+    ("scholarship_hq", "pillar_coord", "All", "Scholarship"),
+    ("tech_hq", "pillar_coord", "All", "Tech"),
+    ("nyanza_field", "field_officer", "Nyanza", "All"),
+    ("nairobi_field", "field_officer", "Nairobi", "All"),
+    ("coastal_field", "field_officer", "Coastal", "All"),
+    ("kdpa_auditor", "compliance_auditor", "All", "All"),
+)
 ALERT_PREFIX = "[SECURITY ALERT] "
 ALERT_SUFFIX = " Access flagged as ANOMALOUS by Machine Learning."
 # ---------------------------------------------------------------------------------------------

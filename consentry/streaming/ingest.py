@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from consentry.operators import audit, quality, standardise, state
+from consentry.sources import store
 from consentry.sources.files import CORRUPT, append_batch, read_log
 from consentry.sources.staging import spread
 from consentry.sources.store import REGISTRY_SCHEMA
 from consentry.spec import DEFAULT_SPEC, EVENT_COLUMNS, REGISTRY_COLUMNS, RegistrySpec
 
+BATCH_SPAN = 1 << 40
 CORRUPT_REASON = "payload is not a JSON object"
 
 _ROWS = T.StructType(
@@ -96,6 +98,23 @@ def write_batch(events: DataFrame, batch_id: int, root: str) -> None:
         routed.unpersist()
 
 
+def store_batch(events: DataFrame, batch_id: int, root: str) -> None:
+    """Like ``write_batch``, into the write log of a stored registry. Positions in the log are the
+    batch number and then ``event_seq``, which must stay below ``BATCH_SPAN``."""
+    routed = route_events(spread(events)).withColumn(
+        "event_seq", F.lit(batch_id * BATCH_SPAN) + F.col("event_seq")
+    ).persist()
+    try:
+        accepted = routed.filter(F.col("ingest_status") == quality.SUCCESS)
+        store.append_writes(state.ingest_writes(accepted, F.col("event_seq")), root, batch_id)
+        append_batch(quarantine(routed), f"{root}/quarantine", batch_id)
+        append_batch(
+            audit.ingest_audit(routed, "event_seq", F.col("arrived_at")), f"{root}/audit", batch_id
+        )
+    finally:
+        routed.unpersist()
+
+
 def start_ingest(events: DataFrame, root: str) -> StreamingQuery:
     """Drain what the source holds now, then stop; progress is kept in ``<root>/checkpoint``."""
     return (
