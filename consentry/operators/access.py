@@ -153,12 +153,13 @@ def request_volume(
 
 
 def mask_decision(requests: DataFrame, spec: RegistrySpec = DEFAULT_SPEC) -> DataFrame:
-    """Adds ``masked``: asked for, forced by the role, or forced by an anomalous access."""
+    """Adds ``masked``: asked for, forced by the role, or forced by an anomalous access. What is not
+    known counts against disclosure."""
     return requests.withColumn(
         "masked",
         F.coalesce(F.col("force_anonymize"), F.lit(False))
         | F.coalesce(F.col("role").isin(*spec.masked_roles), F.lit(True))
-        | (F.col("is_anomaly") == 1),
+        | F.coalesce(F.col("is_anomaly") == 1, F.lit(True)),
     )
 
 

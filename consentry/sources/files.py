@@ -46,11 +46,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     """JSON registration payloads, one per row, to event columns plus ``_corrupt_record``.
 
-    Works on batches and streams. A line that is no JSON object keeps its text there.
+    Works on batches and streams, and on the binary ``value`` of a message queue; other columns are
+    kept. A line that is no JSON object keeps its text in ``_corrupt_record``.
     """
     schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(
-        F.col(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        F.col(column).cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
     others = [c for c in lines.columns if c != column]
     whole = F.col(f"_e.{CORRUPT}").isNull()
