@@ -22,10 +22,29 @@ def _counts() -> list[Column]:
     ]
 
 
+def round_tenth(x: Column) -> Column:
+    """Round to one decimal, ties to even, judged on the exact binary value as Python does.
+
+    10x is the sum of 8x and 2x, both exact; the sum's rounding error tells on which side of a
+    half the exact value lies.
+    """
+    high, low = x * 8, x * 2
+    p = high + low
+    rest = p - high
+    error = (high - (p - rest)) + (low - rest)
+    at_half = F.abs(p - F.rint(p)) == 0.5
+    tenths = (
+        F.when(at_half & (error > 0), F.ceil(p)).when(at_half & (error < 0), F.floor(p))
+        .otherwise(F.rint(p))
+    )
+    return tenths.cast("double") / 10
+
+
 def _rate() -> Column:
-    # Half-even, on the double quotient; 0 for an empty scope.
-    rate = F.bround(F.col("consented") / F.col("total") * 100, 1)
-    return F.when(F.col("total") > 0, rate).otherwise(F.lit(0.0)).alias("consent_rate")
+    percent = F.col("consented") / F.col("total") * 100
+    return F.when(F.col("total") > 0, round_tenth(percent)).otherwise(F.lit(0.0)).alias(
+        "consent_rate"
+    )
 
 
 def report_global(registry: DataFrame) -> DataFrame:
