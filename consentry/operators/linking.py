@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from consentry.functions.text import squeeze
+from consentry.functions.text import squeeze, strip
 from consentry.operators.access import linkable
 from consentry.sources.staging import lookup
 from consentry.spec import DEFAULT_SPEC, KEY, RegistrySpec
@@ -60,7 +60,8 @@ def _starts(keys: DataFrame) -> Column:
         F.expr("bit_or(shiftleft(1L, cast(_s % 64 as int)))").alias("bits")
     )
     dense = F.expr(
-        f"transform(sequence(0, {_SLOTS // 64 - 1}), i -> coalesce(try_element_at(_m, cast(i as bigint)), 0L))"
+        f"transform(sequence(0, {_SLOTS // 64 - 1}), "
+        "i -> coalesce(try_element_at(_m, cast(i as bigint)), 0L))"
     )
     return (
         words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("_m"))
@@ -94,9 +95,10 @@ def link_messages(
     """
     keys = lookup(link_keys(registry, kinds, spec))
     lengths = keys.agg(F.collect_set(F.struct("plus", F.length("key").alias("n"))))
-    bodies = [F.struct(F.lit(True).alias("plus"), F.lower("text").alias("body"))]
+    body = F.lower(strip(F.col("text")))
+    bodies = [F.struct(F.lit(True).alias("plus"), body.alias("body"))]
     if "phone" in kinds:
-        bare = F.replace(F.lower("text"), F.lit("+"), F.lit(""))
+        bare = F.replace(body, F.lit("+"), F.lit(""))
         bodies.append(F.struct(F.lit(False).alias("plus"), bare.alias("body")))
     texts = (
         messages.select("msg_id", F.inline(F.array(*bodies)))

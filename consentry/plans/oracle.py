@@ -355,9 +355,10 @@ STEPS["asked"] = (
     + " ".join(f"when contains(lower(text), '{r.lower()}') then '{r}'" for r in REGIONS)
     + " end as r from messages)"
 )
+_BATCH = {"full_name": title(squeeze("full_name")), "phone": phone("phone")}
 STEPS["batch"] = (
-    f"select {', '.join((title(squeeze('full_name')) if c == 'full_name' else phone('phone') if c == 'phone' else strip(c)) + ' as ' + c for c in EVENT_COLUMNS)} "
-    f"from (select distinct {EVENTS} from registrations)"
+    "select " + ", ".join(f"{_BATCH.get(c, strip(c))} as {c}" for c in EVENT_COLUMNS)
+    + f" from (select distinct {EVENTS} from registrations)"
 )
 
 

@@ -35,7 +35,21 @@ class Answer:
     query_volume: int
 
 
+# Kinds of batches. Each kind numbers its batches by itself: a stream's batch 5 and a caller's
+# batch 5 of changes are two entries of the log, in this order.
+_INGEST, _CHANGE, _READ, _MESSAGE, _KINDS = 0, 1, 2, 3, 4
+
+
+def slot(batch_id: int, kind: int = _INGEST) -> int:
+    """The place of a batch in the logs; its rows start at ``slot * BATCH_SPAN``."""
+    return batch_id * _KINDS + kind
+
+
 class Registry:
+    """All calls that write take a ``batch_id``, which orders them; a call repeated with the same
+    number replaces what it wrote. Numbers must grow over time, also between kinds of calls: what
+    ``compact`` has folded counts as earlier than everything that comes after."""
+
     def __init__(
         self,
         spark: SparkSession,
@@ -57,7 +71,7 @@ class Registry:
 
     def ingest(self, events: DataFrame, batch_id: int) -> None:
         """One batch of events ``(event_seq, arrived_at, …)``; running it again changes nothing."""
-        ingest.store_batch(events, batch_id, self.root)
+        ingest.store_batch(events, slot(batch_id), self.root)
 
     def ingest_stream(self, events: DataFrame):
         """Drain a stream of events; its batch numbers become the registry's."""
@@ -70,11 +84,12 @@ class Registry:
     def change(self, requests: DataFrame, batch_id: int) -> DataFrame:
         """Apply typed change requests; returns those whose record does not exist.
 
-        ``batch_id`` orders the requests after all batches with smaller numbers.
+        ``seq`` orders the requests within the batch.
         """
-        first = batch_id * ingest.BATCH_SPAN
+        place = slot(batch_id, _CHANGE)
+        first = place * ingest.BATCH_SPAN
         changes = stage(state.change_writes(requests, F.lit(first) + F.col("seq"), self.spec))
-        before = store.read_writes(self.spark, self.root).filter(F.col("batch_id") < batch_id)
+        before = store.read_writes(self.spark, self.root).filter(F.col("batch_id") < place)
         # Only the records somebody asks to change matter, so nothing else is shuffled or staged.
         touched = lookup(changes.select(KEY).distinct())
         history = stage(state.union_writes(
@@ -85,8 +100,8 @@ class Registry:
         asked = requests.select(
             (F.lit(first) + F.col("seq")).alias("seq"), F.col("as_of").alias("timestamp"))
         rows = audit.change_audit(history, at, since=first).drop("timestamp").join(asked, "seq")
-        append_batch(rows.select(*audit.AUDIT_COLUMNS), f"{self.root}/audit", batch_id)
-        store.append_writes(changes, self.root, batch_id)
+        append_batch(rows.select(*audit.AUDIT_COLUMNS), f"{self.root}/audit", place)
+        store.append_writes(changes, self.root, place)
         return lost
 
     def compact(self) -> int:
@@ -115,9 +130,9 @@ class Registry:
         Only the verdict, one row, comes to the driver. After ``compact`` the filters reach the
         snapshot's files. A batch of requests goes through ``access.directory`` instead.
         """
-        registry = self.current()
+        registry, place = self.current(), slot(batch_id, _READ)
         request = self.spark.createDataFrame(
-            [(batch_id * ingest.BATCH_SPAN, at, operator, region, pillar, purpose, force_anonymize)],
+            [(place * ingest.BATCH_SPAN, at, operator, region, pillar, purpose, force_anonymize)],
             "request_id bigint, ts string, operator string, region string, pillar string, "
             "purpose string, force_anonymize boolean",
         ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
@@ -132,7 +147,7 @@ class Registry:
         )
         decided = stage(access.mask_decision(judged, self.spec))
         log = access.access_audit(decided).withColumn("ip_address", F.lit("127.0.0.1"))
-        append_batch(log.select(*audit.AUDIT_COLUMNS), f"{self.root}/audit", batch_id)
+        append_batch(log.select(*audit.AUDIT_COLUMNS), f"{self.root}/audit", place)
         d = decided.first()
         rows = (
             access.directory_filter(
@@ -149,10 +164,10 @@ class Registry:
         when = F.lit(at).cast("timestamp_ntz")
         done = handle_messages(messages, stage(self.current()), self.intents, when)
         self.change(done.changes, batch_id)
-        first = F.lit(batch_id * ingest.BATCH_SPAN)
-        # Reports and disclosures are logged beside the changes, under a batch of their own.
-        log = done.audit(when).withColumn("seq", first + F.col("seq"))
-        append_batch(log.select(*audit.AUDIT_COLUMNS), f"{self.root}/audit", -batch_id - 1)
+        # Reports and disclosures are logged beside the changes.
+        place = slot(batch_id, _MESSAGE)
+        log = done.audit(when).withColumn("seq", F.lit(place * ingest.BATCH_SPAN) + F.col("seq"))
+        append_batch(log.select(*audit.AUDIT_COLUMNS), f"{self.root}/audit", place)
         return done
 
     def export(self, path: str) -> None:

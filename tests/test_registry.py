@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from consentry.models import intent
 from consentry.plans.inputs import Inputs
-from consentry.registry import Registry
+from consentry.registry import Registry, slot
 from consentry.sources import files
 from consentry.spec import KEY, PII, REDACTED
 from consentry.streaming import ingest
@@ -93,10 +93,28 @@ def test_messages_change_the_registry(spark, loaded):
     assert {r.action for r in done.actions.collect()} == {"CONSENT_CHANGE", "REPORT"}
     row = record(registry, who)
     assert (row.consent_status, row.consent_type) == ("Withdrawn", "Chatbot OTP")
-    kinds = registry.audit_log().filter(F.col("seq") >= 20 * ingest.BATCH_SPAN)
+    kinds = registry.audit_log().filter(F.col("seq") >= slot(20) * ingest.BATCH_SPAN)
     assert sorted(r.action_type for r in kinds.collect()) == ["COMPLIANCE_REPORT", "CONSENT_CHANGE"]
 
 
+def test_a_stream_and_changes_share_batch_numbers(spark, sf_dir, folder):
+    import datetime as dt
+
+    i = Inputs(spark, sf_dir)
+    registry = Registry(spark, folder + "/reg")
+    i.events.coalesce(1).write.parquet(folder + "/in")
+    stream = spark.readStream.schema(i.events.schema).parquet(folder + "/in")
+    registry.ingest_stream(stream).awaitTermination()
+    who = i.registry.first()[KEY]
+    df = spark.createDataFrame(
+        [(0, who, "erase_subject", None, None, 0, 0, 0, 0, dt.datetime(2025, 1, 1))], CHANGE)
+    for _ in range(2):
+        assert registry.change(df, 0).count() == 0
+    assert registry.current().count() == i.registry.count()
+    assert record(registry, who).status == "Anonymized"
+    assert registry.audit_log().filter("action_type = 'ANONYMIZATION'").count() == 1
+
+
 def test_export_and_views(spark, loaded, folder):
     registry, i = loaded
     registry.export(folder + "/out")
