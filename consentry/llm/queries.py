@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consentry.llm import decontaminate, exact, tokens, warc
-from consentry.llm.common import table
-from consentry.sources.staging import shared_dir
+from consentry.llm import decontaminate, exact, neardup, quality, tokens, warc
+from consentry.llm.common import fold, table
+from consentry.sources.staging import shared_dir, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -58,3 +58,30 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(
         F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"), "group_size", "kept",
         F.col("sha256").alias("text_sha256"))
+
+
+def trained_quality(spark: SparkSession, sf_dir: str, features: DataFrame) -> quality.Model:
+    """The model of the labelled rows outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels", "doc_id", F.col("quality").alias("label"))
+    learned = features.select("row.doc_id", "features").filter(fold("doc_id", 3) != 1)
+    return quality.fit(learned.join(labels, "doc_id"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    features = stage(quality.features(docs, keep=["doc_id"]))
+    model = trained_quality(spark, sf_dir, features)
+    held = features.select("row.doc_id", "features")
+    return quality.score(held, model, keep=["doc_id"]).select(
+        "row.doc_id", (fold("row.doc_id", 3) == 1).alias("held_out"), "score",
+        quality.accepted().cast("int").alias("predicted"))
+
+
+@query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = neardup.near_classes(
+        table(spark, sf_dir, "documents", "doc_id", "text"), shingle=2, percent=80)
+    return classes.select(
+        F.col("key").alias("doc_id"), "n_shingles", F.col("class_key").alias("component_id"),
+        "kept")
