@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from consentry.llm import words as W
@@ -256,16 +256,19 @@ def _nearest(pairs: DataFrame) -> DataFrame:
     return first.unionByName(second).distinct()
 
 
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit("")).cast("binary")
+
+
 def near_classes(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
     percent: int = PERCENT,
 ) -> DataFrame:
-    """Per row: ``key``, ``n_shingles``, ``class_key`` (the smallest key it is connected to) and
-    ``kept`` (one row of each class: the first with that key).
+    """Per row: ``key``, ``hash`` (of its text), ``n_shingles``, ``class_key`` (the smallest key
+    it is connected to) and ``kept`` (one row of each class: the first with that key).
     """
     prepare(docs.sparkSession)
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    docs = docs.select(F.col(key).alias("key"), body.alias("body")).withColumn(
+    docs = docs.select(F.col(key).alias("key"), _body(text).alias("body")).withColumn(
         "hash", F.xxhash64("body"))
     rows = stage(
         _sets(docs, "body", shingle).select("row.*", "n", "s1", "s2", "signature")
@@ -307,14 +310,32 @@ def near_classes(
     roots = components(links)
     grouped = nodes.select("node", "n", "s1", "s2").join(roots, "node", "left").select(
         "n", "s1", "s2", F.coalesce("root", "node").alias("root"))
-    some = stage(some.select("id", "key", "n", "s1", "s2").join(grouped, ["n", "s1", "s2"]).select(
-        "id", "key", "n", "root"))
+    some = stage(some.drop("signature").join(grouped, ["n", "s1", "s2"]).select(
+        "id", "key", "hash", "n", "root"))
     order = F.struct(F.col("key").isNull(), "key", "id")
     least = lookup(some.groupBy("root").agg(F.min(order).alias("least")))
     some = some.join(least, "root").select(
-        "key", F.col("n").alias("n_shingles"), F.col("least.key").alias("class_key"),
+        "key", "hash", F.col("n").alias("n_shingles"), F.col("least.key").alias("class_key"),
         (F.col("least.id") == F.col("id")).alias("kept"))
     none = rows.filter("n = 0").select(
-        "key", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"),
+        "key", "hash", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"),
         F.lit(True).alias("kept"))
     return some.unionByName(none)
+
+
+def near_unique(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each class, with the columns of ``docs``.
+
+    Texts without words have no class and all stay, but rows that repeat key and text are one.
+    """
+    classes = near_classes(docs, key=key, text=text, shingle=shingle, percent=percent)
+    kept = stage(classes.filter("kept").select("key", "hash").distinct())
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(_body(text)).alias("h"))
+    stay = rows.join(kept, F.col("k").eqNullSafe(F.col("key")) & (F.col("h") == F.col("hash")))
+    # A kept key and text may stand in several rows, of which one stays.
+    again = F.row_number().over(Window.partitionBy("k", "h").orderBy("k"))
+    return stay.withColumn("again", again).filter("again = 1").select("row.*")

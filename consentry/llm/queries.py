@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consentry.llm import decontaminate, exact, neardup, quality, tokens, warc
+from consentry.llm import decontaminate, exact, language, mixing, neardup, quality, tokens, warc
 from consentry.llm.common import fold, table
 from consentry.sources.staging import shared_dir, stage
 
@@ -85,3 +85,20 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(
         F.col("key").alias("doc_id"), "n_shingles", F.col("class_key").alias("component_id"),
         "kept")
+
+
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language.fit(docs.filter(fold("doc_id", 4) != 2))
+    return language.predict(docs.drop("lang"), model, keep=["doc_id"]).select(
+        "row.doc_id", (fold("row.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score",
+        "rejected")
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return mixing.mix(docs).select(
+        "row.doc_id", "source", "lang", "topic", F.col("n").alias("n_tokens"), "weight",
+        "probability", "kept")
