@@ -16,6 +16,7 @@ documents of their own, ordered by text; an empty table makes an empty manifest.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,45 +35,102 @@ from consentry.llm.common import prepare
 #: Ids a reader holds at once, unless one document has more.
 READ_IDS = 1 << 20
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Bytes of text encoded at once, unless a batch has more.
+BATCH_BYTES = 4 << 20
 
 _MANIFEST = "part int, n_docs bigint, n_ids bigint, width int"
-_WORDS: dict[int, dict[bytes, bytes]] = {}
+_WORDS: dict[int, _Remembered] = {}
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+class _Remembered:
+    """Words and their id bytes; of more than ``2 * half`` words, those not used lately are lost."""
+
+    def __init__(self, half: int) -> None:
+        self.half, self.young, self.old = half, {}, {}
+
+    def get(self, word: str) -> bytes | None:
+        ids = self.young.get(word)
+        if ids is None and (ids := self.old.get(word)) is not None:
+            self.put(word, ids)
+        return ids
+
+    def put(self, word: str, ids: bytes) -> None:
+        if len(self.young) >= self.half:
+            self.young, self.old = {}, self.young
+        self.young[word] = ids
+
+
 class Encoder:
-    """Texts to id bytes. ``spaceless``: no token of the vocabulary crosses ASCII white space.
+    """Texts to ids. ``spaceless``: no token of the vocabulary crosses ASCII white space.
 
-    Such a vocabulary gives the same ids for a text as for its words one by one, so the ids of
-    frequent words are looked up instead of computed again.
+    Such a vocabulary gives the same ids for a text as for its words one by one, so every distinct
+    word of a batch is encoded once, and frequent words are remembered between batches.
     """
 
     def __init__(self, vocabulary: str, width: int, spaceless: bool) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.type = f"<u{width}"
+        self.type = np.dtype(f"<u{width}")
         self.spaceless = spaceless
-        self.known = _WORDS.setdefault(zlib.crc32(f"{width}{vocabulary}".encode()), {})
+        at = zlib.crc32(f"{width}{vocabulary}".encode())
+        self.known = _WORDS.setdefault(at, _Remembered(REMEMBERED // 2))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.type).tobytes() for e in done]
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+    def _pool(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        out = [self.known.get(w) for w in words]
+        new = [k for k, ids in enumerate(out) if ids is None]
+        for a in range(0, len(new), 4096):
+            some = new[a:a + 4096]
+            for k, ids in zip(some, self._ids([words[k] for k in some])):
+                self.known.put(words[k], ids)
+                out[k] = ids
+        return out
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each ended by ``end_id``; how many each text has."""
         if not self.spaceless:
-            return self._ids([t.decode() for t in texts])
-        known, words = self.known, [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        made = dict(zip(new, self._ids([w.decode() for w in new])))
-        if len(known) + len(made) <= REMEMBERED:
-            known.update(made)
-            return [b"".join([known[w] for w in ws]) for ws in words]
-        return [b"".join([known.get(w) or made.get(w, b"") for w in ws]) for ws in words]
+            made = [np.frombuffer(self._ids([t])[0], self.type) for t in texts.to_pylist()]
+            size = np.array([len(m) for m in made], np.int64)
+            flat = np.concatenate(made) if made else np.zeros(0, self.type)
+        else:
+            lists = pc.ascii_split_whitespace(texts)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            pool = self._pool(coded.dictionary.to_pylist())
+            lengths = np.array([len(p) for p in pool], np.int64) // self.type.itemsize
+            starts = np.cumsum(lengths) - lengths
+            per_word = lengths[at]
+            before = np.concatenate([[0], np.cumsum(per_word)])
+            pick = np.repeat(starts[at] - before[:-1], per_word) + np.arange(before[-1])
+            flat = np.frombuffer(b"".join(pool), self.type)[pick]
+            ends = before[bounds - bounds[0]]
+            size = np.diff(ends)
+        return np.insert(flat, np.cumsum(size), np.array(end_id, self.type)), size + 1
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``BATCH_BYTES``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 class _Part:
@@ -87,13 +146,12 @@ class _Part:
         self.out["off"].write(np.zeros(1, "<i8").tobytes())
         self.docs = self.ids = 0
 
-    def add(self, keys: pa.Array, encoded: list[bytes], width: int) -> None:
-        ends = self.ids + np.cumsum([len(e) // width for e in encoded], dtype="<i8")
-        for e in encoded:
-            self.out["bin"].write(e)
+    def add(self, keys: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        ends = self.ids + np.cumsum(sizes, dtype="<i8")
+        self.out["bin"].write(ids.tobytes())
         self.out["off"].write(ends.tobytes())
         self.keys.write(pa.record_batch([keys], names=["key"]))
-        self.docs, self.ids = self.docs + len(encoded), int(ends[-1])
+        self.docs, self.ids = self.docs + len(sizes), int(ends[-1])
 
     def close(self) -> None:
         self.keys.close()
@@ -117,25 +175,21 @@ def write_tokens(
     top = max(end_id, Tokenizer.from_str(content).get_vocab_size(with_added_tokens=True) - 1)
     width = 2 if top < 1 << 16 else 4
     shared = spark.sparkContext.broadcast(content)
-    end = np.array([end_id], f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = None, None
         number = TaskContext.get().partitionId()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _joined(batches):
             encode = encode or Encoder(shared.value, width, spaceless)
             part = part or _Part(path, number, batch.schema.field(0).type)
-            encoded = encode(batch.column(1).to_pylist())
-            part.add(batch.column(0), [e + end for e in encoded], width)
+            part.add(batch.column(0), *encode(batch.column(1), end_id))
         if part:
             part.close()
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([number], pa.int32()), "n_docs": [part.docs],
                 "n_ids": [part.ids], "width": pa.array([width], pa.int32())})
 
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    body = F.coalesce(F.col(text), F.lit(""))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("body"), F.col("body")]
     ordered = (
         docs.select(F.col(key).alias("key"), body.alias("body"))
