@@ -34,8 +34,13 @@ def normalised(text: str | Column) -> Column:
 
 
 def numbered(distinct: DataFrame, *order: str) -> DataFrame:
-    """``distinct`` with integers ``name`` that ascend in sort order, written once."""
-    ordered = distinct.repartitionByRange(*order).sortWithinPartitions(*order)
+    """``distinct`` with integers ``name`` that ascend in sort order, written once.
+
+    The order is by hash first, so that ranges are even and their bounds, which the driver holds,
+    are single numbers; the contents themselves decide between equal hashes.
+    """
+    hashed = distinct.withColumn("hash", F.xxhash64(*order))
+    ordered = hashed.repartitionByRange("hash").sortWithinPartitions("hash", *order).drop("hash")
     return stage(ordered.withColumn("name", F.monotonically_increasing_id()))
 
 
@@ -83,8 +88,9 @@ def exact_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     shared = lookup(
         rows.groupBy("n_bytes", "lead").count().filter("count > 1").select("n_bytes", "lead")
         .withColumn("shared", F.lit(True)))
+    # The table of shared beginnings grows with the input, so it is never broadcast.
     rows = stage(
-        rows.join(shared, ["n_bytes", "lead"], "left").select(
+        rows.join(shared.hint("merge"), ["n_bytes", "lead"], "left").select(
             F.monotonically_increasing_id().alias("id"), "key", "n_bytes",
             F.sha2("body", 256).alias("sha256"), F.when(F.col("shared"), F.col("body")).alias("body")))
     named = stage(name_texts(rows.filter("body IS NOT NULL").select("id", "n_bytes", "body")))
