@@ -2,8 +2,8 @@
 
 A file starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary; each record is a
 frame of its own, so a reader can start at any record's offset. The dictionary is trained on a
-bounded sample of the records themselves (``SAMPLE_ROWS`` records of at most ``SAMPLE_BYTES``
-each, those with the smallest hash); it only affects size. With too few records for training, the
+bounded sample of the records themselves (in expectation ``SAMPLE_ROWS`` payloads, of each at most
+``SAMPLE_BYTES``, chosen by hash); it only affects size. With too few records for training, the
 sample itself is the dictionary; without records there are no files.
 
 Records with equal payloads of at least ``least`` bytes are stored once: the one with the smallest
@@ -164,11 +164,13 @@ def write_warc(
     rows = rows.select(
         "key", "url", "digest", "size", "first", F.when(~revisit, F.col("payload")).alias("payload"))
 
-    head = F.substring("payload", F.lit(1), F.lit(SAMPLE_BYTES))
-    sample = (
-        pages.select(F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
-        .filter(F.octet_length("payload") > 0).select(F.xxhash64("payload").alias("h"), head.alias("s"))
-        .orderBy("h").limit(SAMPLE_ROWS))
+    # Rows are sampled one by one by a hash of payload and key, so copies weigh as in the archive.
+    n = pages.count()
+    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    u = F.xxhash64(body, F.col(key)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    head = F.substring(body, F.lit(1), F.lit(SAMPLE_BYTES))
+    sample = pages.filter((u < SAMPLE_ROWS / max(n, 1)) & (F.octet_length(body) > 0)).select(
+        u.alias("u"), head.alias("s")).orderBy("u", "s")
     content = dictionary([bytes(r.s) for r in sample.collect()])
     shared = spark.sparkContext.broadcast(content)
 
@@ -230,6 +232,7 @@ def read_warc(
 
     names = {pa.string(): "string", pa.int64(): "bigint", pa.binary(): "binary"}
     ddl = ", ".join(f"{c} {names[t]}" for c, t in types.items())
-    files = spark.read.schema(_FILES).parquet(f"{path}/files").repartition("file")
+    files = spark.read.schema(_FILES).parquet(f"{path}/files")
+    files = files.repartition(max(1, files.count()))
     return files.mapInArrow(run, ddl).withColumns(
         {c: F.col(c).cast(key_type) for c in ("key", "refers_to")})
