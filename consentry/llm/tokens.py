@@ -262,5 +262,6 @@ def read_tokens(
                 "n_tokens": pa.array(np.diff(own)), last.split()[0]: value})
             a = b
 
-    parts = manifest(spark, path).repartition("part")
+    parts = manifest(spark, path)
+    parts = parts.repartition(max(1, parts.count()))
     return parts.mapInArrow(run, f"key {key_type}, start bigint, n_tokens bigint, {last}")
