@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consentry.llm import decontaminate, exact, language, mixing, neardup, quality, tokens, warc
+from consentry.llm import decontaminate, exact, language, mixing, neardup, quality, substring, tokens, warc
 from consentry.llm.common import fold, table
 from consentry.sources.staging import shared_dir, stage
 
@@ -102,3 +102,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select(
         "row.doc_id", "source", "lang", "topic", F.col("n").alias("n_tokens"), "weight",
         "probability", "kept")
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeated(table(spark, sf_dir, "documents", "doc_id", "text"))
+    removed = F.aggregate(
+        "removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return left.select(
+        F.col("key").alias("doc_id"), "n_words", removed.alias("n_removed"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -65,3 +65,26 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.body) AS text_sha256
 FROM t JOIN g ON t.body = g.body
 """
+
+ORACLE_SQL["op3_substring_dedup"] = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS s FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)
+), gone AS (
+  SELECT DISTINCT doc_id, q FROM (
+    SELECT doc_id, unnest(range(p, p + 35)) AS q FROM win
+    WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1))
+), lost AS (
+  SELECT doc_id, list(q) AS qs, count(*) AS n FROM gone GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d
+), left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS kept
+  FROM words ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
