@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consentry.llm import decontaminate, exact, language, mixing, neardup, quality, substring, tokens, warc
+from consentry.llm import (
+    decontaminate, exact, language, mixing, neardup, quality, substring, surrogates, tokens, warc,
+)
 from consentry.llm.common import fold, table
 from consentry.sources.staging import shared_dir, stage
 
@@ -112,3 +114,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(
         F.col("key").alias("doc_id"), "n_words", removed.alias("n_removed"),
         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return surrogates.replace(docs, key="registered query").select(
+        "row.doc_id", "n_entities", F.col("clean").alias("text"))
