@@ -1,0 +1,100 @@
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from consentry.llm import mixing
+from consentry.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain(cells, targets, budget):
+    """Raked weights and keep probabilities of {(source, lang, topic): tokens}."""
+    keys = sorted(cells, key=repr)
+    tokens = np.array([cells[k] for k in keys], float)
+    w = tokens / max(tokens.sum(), 1)
+    goals = []
+    for a, c in enumerate(mixing.CELL):
+        values = sorted({k[a] for k in keys}, key=repr)
+        t = targets[c]
+        share = np.array([
+            sum(cells[k] for k in keys if k[a] == v) for v in values], float)
+        share = np.where(share > 0, share ** t.power, 0) * [t.factors.get(v, 1.0) for v in values]
+        goals.append((np.array([values.index(k[a]) for k in keys]), share / max(share.sum(), 1e-300)))
+    for _ in range(2000):
+        for at, goal in goals:
+            now = np.bincount(at, w, len(goal))
+            w = w * np.where(now > 0, goal / np.where(now > 0, now, 1), 0)[at]
+    low, high = 0.0, max(t / x for t, x in zip(tokens, w) if x > 0)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(tokens, mid * w).sum() < budget * tokens.sum() else (low, mid)
+    p = np.where(tokens > 0, np.minimum(1, high * w / np.maximum(tokens, 1)), 1)
+    return dict(zip(keys, w)), dict(zip(keys, p))
+
+
+def test_query_equals_plain_raking(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op5_mixing"](spark, SF).collect()
+    assert {r.doc_id for r in got} == set(docs)
+    cells = {}
+    for r in got:
+        doc = docs[r.doc_id]
+        assert r.n_tokens == len(re.findall(r"[^\x20\x09-\x0D]+", doc.text))
+        assert (r.source, r.lang) == (doc.source, doc.lang)
+        at = (r.source, r.lang, r.topic)
+        cells[at] = cells.get(at, 0) + r.n_tokens
+    weight, p = plain(cells, mixing.TARGETS, 0.8)
+    for r in got:
+        at = (r.source, r.lang, r.topic)
+        assert r.weight == pytest.approx(weight[at], rel=0.02, abs=1e-5)
+        assert r.probability == pytest.approx(p[at], rel=0.02, abs=1e-3)
+    total = sum(r.n_tokens for r in got)
+    assert sum(r.n_tokens * r.probability for r in got) == pytest.approx(0.8 * total, rel=1e-3)
+    assert sum(r.n_tokens * r.kept for r in got) == pytest.approx(0.8 * total, rel=0.1)
+
+
+SCHEMA = "doc_id int, text string, source string, lang string, topic string, n int, weight int"
+ROWS = [(1, "a b c", "s", "en", "x", 1, 1), (2, "a b", None, None, "x", 1, 1),
+        (3, None, "s", "en", "x", 1, 1), (4, "", "t", "de", "x", 1, 1), (5, " \t", "t", None, "x", 1, 1),
+        (6, "copyright notice", "t", "de", None, None, 1), (6, "copyright notice", "t", "de", None, None, 1)]
+
+
+def test_nulls_and_clashing_columns(spark):
+    got = mixing.mix(spark.createDataFrame(ROWS, SCHEMA), budget=1.0).collect()
+    assert sorted(r.row.doc_id for r in got) == [1, 2, 3, 4, 5, 6, 6]
+    assert all(r.row.weight == 1 for r in got)
+    by = {r.row.doc_id: r for r in got}
+    assert by[6].topic == "licence" and by[2].lang is None and by[3].n == 0
+    assert all(0 <= r.probability <= 1 for r in got)
+    assert by[5].kept and by[4].kept  # cells without tokens cost nothing
+
+
+def test_choice_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = {r.row.doc_id for r in mixing.mix(docs).filter("kept").collect()}
+    two = {r.row.doc_id for r in mixing.mix(docs.repartition(7)).filter("kept").collect()}
+    other = {r.row.doc_id for r in mixing.mix(docs, seed=2).filter("kept").collect()}
+    assert one == two != other
+
+
+def test_contradicting_targets_end(spark):
+    rows = [(1, "a b c d", "s", "en"), (2, "a b", "t", "de")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, lang string")
+    targets = {"source": mixing.Target(1.0, {"s": 5.0}), "lang": mixing.Target(1.0, {"de": 5.0}),
+               "topic": mixing.Target()}
+    counted = mixing.cells(docs.select(
+        "source", "lang", F.lit("prose").alias("topic"), F.length("text").cast("bigint").alias("n")))
+    fitted = mixing.rake(counted, targets).collect()
+    assert fitted[0].error > 0.1 and sum(r.weight for r in fitted) == pytest.approx(1.0)
+
+
+def test_empty_table(spark):
+    assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_plan_has_no_python(spark):
+    plan = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
