@@ -15,7 +15,8 @@ classes of the link graph, not every link, so candidates are tried in this order
 2. Entries whose nodes then still belong to several classes are looked at in blocks of bounded
    size; of each node the nearest partner of another class is tried.
 3. What still lies in several classes is tried exhaustively: all pairs of different classes
-   under the distance. Nothing is capped: after this, no candidate pair between two classes is untried.
+   under the distance, checked within the blocks, so that they never become rows. Nothing is
+   capped: after this, no candidate pair between two classes is untried.
 
 Cases: texts without words (null, empty, white space) have no shingle, link with nothing and are
 their own class; a text with fewer words than a shingle has one shingle, all its words; rows of
@@ -140,7 +141,7 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _index(nodes: DataFrame) -> DataFrame:
-    """``node``, ``signature`` to a row per entry: ``entry``, ``node``."""
+    """``node``, ``signature`` to a row per entry: ``entry``, the ``place`` left out, ``node``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,9 +150,11 @@ def _index(nodes: DataFrame) -> DataFrame:
                 found = entries(np.frombuffer(raw, np.uint16).reshape(-1, PLACES))
                 yield pa.RecordBatch.from_pydict({
                     "entry": pa.array(found.ravel().view(np.int64)),
+                    "place": pa.array(np.tile(np.arange(PLACES, dtype=np.int16), len(found))),
                     "node": pa.array(np.repeat(batch.column(0).to_numpy(), PLACES))})
 
-    return nodes.select("node", "signature").mapInArrow(run, "entry bigint, node bigint")
+    return nodes.select("node", "signature").mapInArrow(
+        run, "entry bigint, place smallint, node bigint")
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -170,72 +173,107 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("common") >= percent * union).select("a", "b")
 
 
+_BLOCK = "entry bigint, place smallint, x int, y int, own int, node bigint, root bigint, " \
+    "signature binary"
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """``members`` of an entry, dealt into blocks, repeated for each pair of blocks of the entry.
 
     An entry with at most ``BLOCK`` members, the usual case, is one block and is not repeated.
     """
-    count = members.groupBy("entry").agg(
-        F.count("*").alias("size"), F.countDistinct("root").alias("roots"))
-    count = lookup(count.filter("roots > 1").select(
-        "entry", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    count = lookup(members.groupBy("entry").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     dealt = members.join(count, "entry").withColumn(
         "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least("own", k).alias("x"), F.greatest("own", k).alias("y")))
-    return dealt.select("entry", "node", "root", "signature", "own", F.explode(pairs).alias("block"))
-
-
-def _pairs_in_block(
-    node: np.ndarray, root: np.ndarray, signature: np.ndarray, own: np.ndarray, x: int, y: int,
-    nearest: bool,
-) -> list[tuple[int, int, int]]:
-    """Pairs of different classes within the distance, as (a, b, distance) with a < b."""
-    found = []
-    for k in range(len(node)):
-        if own[k] != x:
-            continue
-        other = (own == y) & (root != root[k])
-        if x == y and not nearest:
-            other &= root > root[k]
+    return dealt.withColumn("block", F.explode(pairs)).select(
+        "entry", "place", "block.x", "block.y", "own", "node", "root", "signature")
+
+
+def _together(blocks: DataFrame) -> DataFrame:
+    """The rows of a block next to each other."""
+    return blocks.repartition("entry", "x", "y").sortWithinPartitions("entry", "x", "y")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block, from batches in which they are next to each other."""
+    held: list[pa.RecordBatch] = []
+    at: tuple | None = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("entry", "x", "y")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and tuple(keys[:, a]) != at:
+                yield held[0] if len(held) == 1 else pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            at = tuple(keys[:, a])
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+class _Block:
+    """The members of one block (or of two, ``x`` and ``y``, that meet)."""
+
+    def __init__(self, rows: pa.RecordBatch) -> None:
+        self.node, self.root, self.own = (
+            rows.column(c).to_numpy() for c in ("node", "root", "own"))
+        raw = b"".join(rows.column("signature").to_pylist())
+        self.signature = np.frombuffer(raw, np.uint16).reshape(-1, PLACES)
+        self.place, self.x, self.y = (rows.column(c)[0].as_py() for c in ("place", "x", "y"))
+
+    def partners(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members of other classes that ``k`` meets here, and how far their signatures are."""
+        other = (self.own == self.y) & (self.root != self.root[k])
+        if self.own[k] != self.x:
+            other[:] = False
         other = np.flatnonzero(other)
-        if not len(other):
-            continue
-        far = (signature[other] != signature[k]).sum(1)
+        equal = self.signature[other] == self.signature[k]
+        far = PLACES - equal.sum(1)
         near = far <= DISTANCE
-        if nearest and near.any():
-            near = np.arange(len(far)) == far.argmin()
-        for j, d in zip(other[near], far[near]):
-            found.append((min(node[k], node[j]), max(node[k], node[j]), int(d)))
-    return found
-
-
-def _cross(members: DataFrame, nearest: bool) -> DataFrame:
-    """Candidate pairs between classes: all of them, or each node's nearest in its entries."""
-    blocks = _blocks(members).select(
-        "entry", F.col("block.x").alias("x"), F.col("block.y").alias("y"), "own", "node", "root",
-        "signature").repartition("entry", "x", "y").sortWithinPartitions("entry", "x", "y")
-
-    def group(rows: list[dict]) -> list[tuple[int, int, int]]:
-        arrays = [np.array([r[c] for r in rows]) for c in ("node", "root")]
-        signature = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint16)
-        own = np.array([r["own"] for r in rows])
-        return _pairs_in_block(
-            *arrays, signature.reshape(-1, PLACES), own, rows[0]["x"], rows[0]["y"], nearest)
+        return other[near], far[near]
+
+    def first_here(self, k: int, other: np.ndarray) -> np.ndarray:
+        """Whether this is the first of the entries that ``k`` and each other share."""
+        equal = (self.signature[other] == self.signature[k]).reshape(-1, CHUNKS, CHUNK)
+        wrong = CHUNK - equal.sum(2)
+        chunk = (wrong <= 1).argmax(1)
+        inside = equal[np.arange(len(other)), chunk]
+        # Chunks that agree in all places are entered under each; the first counts.
+        return chunk * CHUNK + np.where(inside.all(1), 0, inside.argmin(1)) == self.place
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each pair of different classes within the distance once, at its first entry."""
+        for k in range(len(self.node)):
+            other, _ = self.partners(k)
+            if self.x == self.y:
+                other = other[self.root[other] > self.root[k]]
+            if len(other):
+                other = other[self.first_here(k, other)]
+            if len(other):
+                yield k, other
+
+
+def _nearest_pairs(members: DataFrame) -> DataFrame:
+    """``a`` < ``b`` and how ``far``: of each member, the nearest of another class in its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, found = [], None, set()
-        for batch in batches:
-            for r in batch.to_pylist():
-                if at != (now := (r["entry"], r["x"], r["y"])):
-                    found.update(group(held) if held else ())
-                    held, at = [], now
-                held.append(r)
+        found: set[tuple[int, int, int]] = set()
+        for rows in _groups(batches):
+            block = _Block(rows)
+            for k in range(rows.num_rows):
+                other, far = block.partners(k)
+                if len(other):
+                    a, b = block.node[k], block.node[other[far.argmin()]]
+                    found.add((min(a, b), max(a, b), int(far.min())))
             if len(found) > 100_000:
                 yield table(found)
                 found = set()
-        found.update(group(held) if held else ())
         yield table(found)
 
     def table(found: set) -> pa.RecordBatch:
@@ -244,7 +282,59 @@ def _cross(members: DataFrame, nearest: bool) -> DataFrame:
             "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
             "far": pa.array(d, pa.int32())})
 
-    return blocks.mapInArrow(run, "a bigint, b bigint, far int")
+    return _together(_blocks(members)).mapInArrow(run, "a bigint, b bigint, far int")
+
+
+def _all_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join the classes, from all candidate pairs of different classes.
+
+    Blocks are looked at by signature first, to find the members with a candidate at all; only
+    their full sets travel, and pairs are checked where the sets are and never become rows.
+    """
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            keep = np.zeros(rows.num_rows, bool)
+            for k, other in _Block(rows).pairs():
+                keep[k] = keep[other] = True
+            if keep.any():
+                yield rows.filter(pa.array(keep))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            found = confirmed(_Block(rows), rows)
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_pydict({
+                    "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def confirmed(block: _Block, rows: pa.RecordBatch) -> list[tuple[int, int]]:
+        lists = rows.column("set")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        values = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        size, joined, out = np.diff(bounds), {}, []
+        mark = np.zeros(values.max() + 1, np.int64)
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        for k, other in block.pairs():
+            mark[values[bounds[k]:bounds[k + 1]]] = 1
+            common = np.add.reduceat(mark[values], bounds[:-1])[other]
+            mark[values[bounds[k]:bounds[k + 1]]] = 0
+            for j in other[100 * common >= percent * (size[other] + size[k] - common)]:
+                a, b = root(block.root[k]), root(block.root[j])
+                if a != b:
+                    joined[max(a, b)] = min(a, b)
+                    out.append((block.node[k], block.node[j]))
+        return out
+
+    blocks = stage(_together(_blocks(members)).mapInArrow(wanted, _BLOCK))
+    full = blocks.join(sets.select("node", "set"), "node").select(*blocks.columns, "set")
+    return _together(full).mapInArrow(links, "a bigint, b bigint")
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -296,16 +386,18 @@ def near_classes(
         tries.select(F.col("node").alias("a"), F.col("t.hub").alias("b")), sets, percent))
 
     known = linked.select("node", "signature")
-    for nearest in (True, False):
-        roots = components(links)
-        entered = members.select("entry", "node").join(roots, "node", "left").withColumn(
-            "root", F.coalesce("root", "node"))
+
+    def unsettled(links: DataFrame) -> DataFrame:
+        """Members of the entries whose nodes belong to several classes."""
+        entered = members.select("entry", "place", "node").join(
+            components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = lookup(entered.groupBy("entry").agg(
             F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("entry"))
-        entered = entered.join(mixed, "entry").join(known, "node")
-        pairs = _cross(entered, nearest)
-        pairs = _nearest(stage(pairs)) if nearest else pairs.select("a", "b").distinct()
-        links = stage(links.unionByName(_confirm(pairs, sets, percent)))
+        return entered.join(mixed, "entry").join(known, "node")
+
+    pairs = _nearest(stage(_nearest_pairs(unsettled(links))))
+    links = stage(links.unionByName(_confirm(pairs, sets, percent)))
+    links = stage(links.unionByName(_all_links(unsettled(links), sets, percent)))
 
     roots = components(links)
     grouped = nodes.select("node", "n", "s1", "s2").join(roots, "node", "left").select(
