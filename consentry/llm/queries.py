@@ -41,7 +41,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     tokens.write_tokens(
         table(spark, sf_dir, "documents", "doc_id", "text"), path,
-        public_tokenizers.path("word_bpe_49k.json"), spaceless=True)
+        public_tokenizers.path("word_bpe_49k.json"), word_level=True)
     return tokens.read_tokens(spark, path, checksum=True).withColumnRenamed("key", "doc_id")
 
 

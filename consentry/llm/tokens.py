@@ -37,7 +37,9 @@ READ_IDS = 1 << 20
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 600_000
 #: Bytes of text encoded at once, unless a batch has more.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+#: Stands between words that are encoded as one text; a control character that joins with nothing.
+MARK = "\x01"
 
 _MANIFEST = "part int, n_docs bigint, n_ids bigint, width int"
 _WORDS: dict[int, _Remembered] = {}
@@ -66,44 +68,68 @@ class _Remembered:
 
 
 class Encoder:
-    """Texts to ids. ``spaceless``: no token of the vocabulary crosses ASCII white space.
+    """Texts to ids.
 
-    Such a vocabulary gives the same ids for a text as for its words one by one, so every distinct
-    word of a batch is encoded once, and frequent words are remembered between batches.
+    ``word_level`` says that the vocabulary folds case and splits at ASCII white space, and between
+    letters and marks, before it looks for tokens. Such a vocabulary gives the same ids for a text
+    as for its words one by one, so every distinct word of a batch is encoded once, and frequent
+    words are remembered between batches.
     """
 
-    def __init__(self, vocabulary: str, width: int, spaceless: bool) -> None:
+    def __init__(self, vocabulary: str, width: int, word_level: bool) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.type = np.dtype(f"<u{width}")
-        self.spaceless = spaceless
+        self.word_level = word_level
         at = zlib.crc32(f"{width}{vocabulary}".encode())
         self.known = _WORDS.setdefault(at, _Remembered(REMEMBERED // 2))
+        self.mark = self._ids([MARK])[0]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.type).tobytes() for e in done]
+        return [np.array(e.ids, self.type) for e in done]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words, many of them encoded as one text with marks between them.
+
+        A word with a mark in it, of which there are next to none, is encoded alone.
+        """
+        if len(self.mark) != 1 or any(MARK in w for w in words):
+            return [ids.tobytes() for ids in self._ids(words)]
+        rows = [words[a:a + 128] for a in range(0, len(words), 128)]
+        out, size = [], self.type.itemsize
+        for ids, row in zip(self._ids([f" {MARK} ".join(r) for r in rows]), rows):
+            ends = np.flatnonzero(ids == self.mark[0]) * size
+            data, at = ids.tobytes(), 0
+            for end in [*ends.tolist(), len(data)]:
+                out.append(data[at:end])
+                at = end + size
+        return out
 
     def _pool(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""
         out = [self.known.get(w) for w in words]
         new = [k for k, ids in enumerate(out) if ids is None]
-        for a in range(0, len(new), 4096):
-            some = new[a:a + 4096]
-            for k, ids in zip(some, self._ids([words[k] for k in some])):
+        for a in range(0, len(new), 8192):
+            some = new[a:a + 8192]
+            for k, ids in zip(some, self._words([words[k] for k in some])):
                 self.known.put(words[k], ids)
                 out[k] = ids
         return out
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each ended by ``end_id``; how many each text has."""
-        if not self.spaceless:
-            made = [np.frombuffer(self._ids([t])[0], self.type) for t in texts.to_pylist()]
+        if not self.word_level:
+            made = [self._ids([t])[0] for t in texts.to_pylist()]
             size = np.array([len(m) for m in made], np.int64)
             flat = np.concatenate(made) if made else np.zeros(0, self.type)
         else:
+            # Special tokens are looked for before case is folded, so their texts stay as they are.
+            if not pc.any(pc.match_substring(texts, "<|")).as_py():
+                texts = pc.replace_substring_regex(
+                    pc.ascii_lower(texts), r"([a-z])([.,;:!?]+)(\s|$)", r"\1 \2\3")
             lists = pc.ascii_split_whitespace(texts)
             bounds = lists.offsets.to_numpy().astype(np.int64)
             coded = lists.flatten().dictionary_encode()
@@ -115,8 +141,7 @@ class Encoder:
             before = np.concatenate([[0], np.cumsum(per_word)])
             pick = np.repeat(starts[at] - before[:-1], per_word) + np.arange(before[-1])
             flat = np.frombuffer(b"".join(pool), self.type)[pick]
-            ends = before[bounds - bounds[0]]
-            size = np.diff(ends)
+            size = np.diff(before[bounds - bounds[0]])
         return np.insert(flat, np.cumsum(size), np.array(end_id, self.type)), size + 1
 
 
@@ -162,7 +187,7 @@ class _Part:
 
 def write_tokens(
     docs: DataFrame, path: str, vocabulary: str, *, key: str = "doc_id", text: str = "text",
-    end_id: int = 1, spaceless: bool = False,
+    end_id: int = 1, word_level: bool = False,
 ) -> None:
     """Write the ids of every document, each ended by ``end_id``, in ascending order of ``key``.
 
@@ -180,7 +205,7 @@ def write_tokens(
         part, encode = None, None
         number = TaskContext.get().partitionId()
         for batch in _joined(batches):
-            encode = encode or Encoder(shared.value, width, spaceless)
+            encode = encode or Encoder(shared.value, width, word_level)
             part = part or _Part(path, number, batch.schema.field(0).type)
             part.add(batch.column(0), *encode(batch.column(1), end_id))
         if part:

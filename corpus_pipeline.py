@@ -51,7 +51,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's ids are in the files written, and their checksum, read back."""
     path = shared_dir(spark)
     tokens.write_tokens(
-        docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=END_ID, spaceless=True)
+        docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=END_ID, word_level=True)
     key_type = docs.schema["doc_id"].dataType.simpleString()
     read = tokens.read_tokens(spark, path, key_type, checksum=True)
     return read.withColumnRenamed("key", "doc_id")

@@ -4,6 +4,8 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -11,8 +13,9 @@ from consentry.llm import tokens
 from consentry.llm.queries import QUERIES
 
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
+VOCABULARY, WHOLE = Path(WORD).read_text(), Tokenizer.from_file(WORD)
 TEXTS = ["Hello, World! it's", None, "", " \t\n", "a b c d\x1ce", "é ế ΣΑΣ Σ",
-         "<|endoftext|> x", "I'm 12 3/4 ''ll", "word " * 3000, "Hello, World! it's"]
+         "x\x01 \x01y THE. don't. Don'T; «Σ». e\u0301. E\u0301! a.b c..", "I'm 12 3/4 ''ll", "word " * 3000, "Hello, World! it's"]
 
 
 def expected(path, texts, end):
@@ -20,13 +23,13 @@ def expected(path, texts, end):
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
-@pytest.mark.parametrize("path, end, spaceless, width", [
+@pytest.mark.parametrize("path, end, word_level, width", [
     (WORD, 1, True, 2), (WORD, 1, False, 2), (BYTE, 50256, False, 2), (WORD, 70000, True, 4)])
-def test_round_trip(spark, folder, path, end, spaceless, width):
+def test_round_trip(spark, folder, path, end, word_level, width):
     keys = [7, 3, None, 5, 4, 9, 1, 8, 2, 6]
     docs = spark.createDataFrame(
         [(k, t, 1, 2) for k, t in zip(keys, TEXTS)], "doc_id bigint, text string, key int, part int")
-    tokens.write_tokens(docs.repartition(3), folder, path, end_id=end, spaceless=spaceless)
+    tokens.write_tokens(docs.repartition(3), folder, path, end_id=end, word_level=word_level)
     ids = dict(zip(keys, expected(path, TEXTS, end)))
     got = tokens.read_tokens(spark, folder).orderBy("start").collect()
     order = sorted(keys, key=lambda k: (k is not None, k))
@@ -73,6 +76,26 @@ def test_repeated_keys_and_many_parts(spark, folder):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
 
 
+def test_special_tokens_in_texts():
+    import pyarrow as pa
+
+    encode = tokens.Encoder(Path(WORD).read_text(), 2, True)
+    texts = ["<|endoftext|> X.", "<|ENDOFTEXT|> x, y."]
+    ids, _ = encode(pa.array(texts), 1)
+    assert ids.tolist() == sum(expected(WORD, texts, 1), [])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=30) | st.sampled_from(
+    ["it's.", "'S,", "a,b.", "x!?", "I.", "ΑΣ.", "9.", "é,", "\x01.", "e\u0301."]), max_size=6))
+def test_words_are_encoded_as_in_the_whole_text(parts):
+    import pyarrow as pa
+
+    text = " ".join(parts)
+    ids, _ = tokens.Encoder(VOCABULARY, 2, True)(pa.array([text]), 1)
+    assert ids[:-1].tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
 def test_no_documents(spark, folder):
     tokens.write_tokens(spark.createDataFrame([], "doc_id bigint, text string"), folder, WORD)
     assert tokens.read_tokens(spark, folder).collect() == []
