@@ -11,9 +11,8 @@ calibrated so that the expected tokens are ``budget`` of those available. A docu
 keyed hash of its id and text, uniform on [0, 1), is below its cell's probability; so the choice is
 the same whenever and wherever it is made.
 
-Everything is DataFrame operations. Only cells are iterated over; documents are read twice, to
-count the cells and to be chosen. The cell table joins by its key: Spark broadcasts it if it is
-small and splits hot cells if not.
+Everything is DataFrame operations. Only cells are iterated over; texts are looked at once. The
+cell table joins by its key: Spark broadcasts it if it is small and splits hot cells if not.
 
 Cases: nulls of source and language are values of their own; a null or empty text has no tokens,
 and a cell without tokens is kept whole, as it costs nothing; repeated rows share their hash and
@@ -23,7 +22,7 @@ last weights, with the error reported; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -43,7 +42,7 @@ CELL = ("source", "lang", "topic")
 #: Topics by the form of a text; the first that fits counts.
 TOPICS = (
     ("licence", r"(?i)\blicen[cs]e|\bcopyright\b|all rights reserved"),
-    ("contact", r"[\w.+-]+@[\w-]+\.\w|\+\d[\d ()-]{7,}|\b\d{1,3}(\.\d{1,3}){3}\b"),
+    ("contact", r"\w@[\w-]+\.\w|\+\d[\d ()-]{7,}|\b\d{1,3}(\.\d{1,3}){3}\b"),
     ("table", r"\S \| \S"),
     ("list", r"(?m)^\s*([-*]|\d+\.)\s"),
 )
@@ -151,13 +150,16 @@ def uniform(seed: int, *columns: str) -> Column:
 def mix(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source",
     lang: str = "lang", targets: Mapping[str, Target] = TARGETS, budget: float = 0.8, seed: int = 1,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``row`` (the document), its cell, ``n`` (tokens), ``probability``, ``u`` and ``kept``."""
+    """``row`` (the document, or its columns ``keep``), its cell, ``n`` (tokens), ``probability``, ``u`` and ``kept``."""
     prepare(docs.sparkSession)
-    named = docs.select(
-        F.struct("*").alias("row"), F.col(source).alias("source"), F.col(lang).alias("lang"),
-        topic(text).alias("topic"), tokens(text).alias("n"), uniform(seed, key, text).alias("u"))
-    counted = stage(cells(named.drop("row")))
+    # Written once, so that the patterns and counts over the texts are not computed again.
+    named = stage(docs.select(
+        F.struct(*(keep or docs.columns)).alias("row"), F.col(source).alias("source"),
+        F.col(lang).alias("lang"), topic(text).alias("topic"), tokens(text).alias("n"),
+        uniform(seed, key, text).alias("u")))
+    counted = stage(cells(named))
     chances = lookup(calibrated(rake(counted, targets), budget)).select(
         *[F.col(c).alias(f"c_{c}") for c in CELL], "weight", "probability")
     same = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in CELL]

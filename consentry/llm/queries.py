@@ -101,7 +101,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    return mixing.mix(docs).select(
+    return mixing.mix(docs, keep=["doc_id"]).select(
         "row.doc_id", "source", "lang", "topic", F.col("n").alias("n_tokens"), "weight",
         "probability", "kept")
 
