@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from consentry.sources.staging import lookup, stage
@@ -24,8 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _NODES = "tree int, node int, feature int, threshold double, path double"
 _EULER = 0.5772156649015329
-_POOL_FACTOR = 2
 _MARGIN = 1.75
+_LAST_VALUES = 4096
 
 
 def average_path(n: float) -> float:
@@ -148,8 +148,9 @@ def fit(
 ) -> IsolationForest:
     """Fit on all rows of ``df``; ``row_id`` is unique.
 
-    One pass counts the distinct feature vectors and a second draws the samples. The threshold is
-    the exact ``contamination`` percentile of all training scores, taken over distinct vectors
+    One pass counts the distinct feature vectors and a second draws the samples: every tree draws
+    its own from all rows, by a hash threshold of its own, at any table size. The threshold is the
+    exact ``contamination`` percentile of all training scores, taken over distinct vectors
     weighted by their counts.
     """
     keys = list(features)
@@ -160,19 +161,17 @@ def fit(
     size = min(sample, total)
     depth = int(np.ceil(np.log2(max(size, 2))))
 
-    # A uniform pool somewhat larger than all samples together, one hash per row; the trees then
-    # draw from the pool.
-    pool_share = min(1.0, _POOL_FACTOR * trees * sample / total)
-    tree_share = min(1.0, _MARGIN * size / (total * pool_share))
-    grid = 1 << 40
-    pool = df.filter(
-        F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(grid)) < int(pool_share * grid)
-    ).select(row_id, *keys)
+    # Rows below a tree's threshold are somewhat more than its sample; the group takes the least.
+    share, grid = min(1.0, _MARGIN * size / total), 1 << 40
+
+    def drawn(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col(row_id), tree, F.lit(seed)), F.lit(grid))
+
+    mine = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: drawn(tree) < int(share * grid))
     draws = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_h", F.xxhash64(F.col(row_id), F.col("tree"), F.lit(seed + 1)))
-        .filter(F.pmod(F.col("_h"), F.lit(grid)) < int(tree_share * grid))
-        .select("tree", "_h", *keys)
+        df.select(row_id, *keys, F.explode(mine).alias("tree"))
+        .select("tree", drawn(F.col("tree")).alias("_h"), *keys)
     )
 
     def grow_tree(group: pd.DataFrame) -> pd.DataFrame:
@@ -186,6 +185,35 @@ def fit(
     nodes = draws.groupBy("tree").applyInPandas(grow_tree, _NODES).toPandas()
     nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
     model = IsolationForest(tuple(features), nodes, size, depth)
-    cut = model.score(vectors).agg(F.percentile("score", F.lit(contamination), F.col("_n")))
-    model.threshold = float(cut.first()[0])
+    model.threshold = weighted_percentile(model.score(vectors), "score", "_n", contamination)
     return model
+
+
+def weighted_percentile(df: DataFrame, value: str, weight: str, share: float) -> float:
+    """The interpolated percentile of ``value``, each counted ``weight`` times, as one job per
+    narrowing of the range; only the last few values reach the driver."""
+    scored = stage(df.groupBy(value).agg(F.sum(weight).alias("n")))
+    ends = scored.agg(F.min(value), F.max(value), F.sum("n")).first()
+    low, high, total = ends
+    place = share * (total - 1)
+
+    def at(rank: int) -> float:
+        """The value with at most ``rank`` counts below it."""
+        a, b = low, high
+        while scored.filter(F.col(value).between(a, b)).count() > _LAST_VALUES:
+            cuts = sorted({a + (b - a) * k / 32 for k in range(1, 33)} | {b})
+            got = scored.agg(*[
+                F.sum(F.when(F.col(value) <= c, F.col("n"))).alias(f"c{k}")
+                for k, c in enumerate(cuts)]).first()
+            k = next(k for k in range(len(cuts)) if (got[k] or 0) > rank)
+            a, b = (cuts[k - 1] if k else a), cuts[k]
+        below = scored.filter(F.col(value) < a).agg(F.sum("n")).first()[0] or 0
+        for r in sorted(scored.filter(F.col(value).between(a, b)).collect()):
+            below += r.n
+            if below > rank:
+                return float(r[value])
+        return float(high)
+
+    lower = at(int(place))
+    part = place - int(place)
+    return lower + part * (at(int(place) + 1) - lower) if part else lower

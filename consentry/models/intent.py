@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_INTENT = "general_faq"
-_ROWS_PER_TASK = 20_000
 
 # The labelled phrases the classifier is trained on.
 PHRASES: dict[str, tuple[str, ...]] = {
@@ -115,17 +114,20 @@ def fit(labelled: DataFrame, max_vocabulary: int = 1 << 18) -> PipelineModel:
 
     Inverse document frequencies are smoothed and shifted by one, vectors have unit length, and
     the penalty is that of C = 1: half the squared weights against the summed loss. The model, a
-    weight per gram and intent, is held by the driver; ``max_vocabulary`` bounds it.
+    weight per gram and intent, is held by the driver. Rows with more than ``max_vocabulary`` grams
+    between them are refused with ``ValueError``; no gram is left out.
     """
-    rows = labelled.select("text", "intent").persist()
+    labelled = labelled.select("text", "intent").persist()
     try:
-        # Every iteration is a job over all rows, so no task should hold only a handful.
-        size = rows.count()
-        labelled = rows.coalesce(-(-size // _ROWS_PER_TASK))
+        size = labelled.count()
         counts = Pipeline(
             stages=[*_grams(), CountVectorizer(
-                inputCol="_grams", outputCol="_counts", vocabSize=max_vocabulary)]
+                inputCol="_grams", outputCol="_counts", vocabSize=max_vocabulary + 1)]
         ).fit(labelled)
+        if len(counts.stages[-1].vocabulary) > max_vocabulary:
+            raise ValueError(
+                f"the labelled rows hold more than {max_vocabulary} grams; fit on fewer rows or "
+                "raise max_vocabulary")
         idf = IDF(inputCol="_counts", outputCol="_x").fit(counts.transform(labelled)).idf
         weigh = ElementwiseProduct(
             inputCol="_counts", outputCol="_weighted",
@@ -148,7 +150,7 @@ def fit(labelled: DataFrame, max_vocabulary: int = 1 << 18) -> PipelineModel:
         )
         return PipelineModel([*counts.stages, weigh, normalise, classifier, name])
     finally:
-        rows.unpersist()
+        labelled.unpersist()
 
 
 def predict(messages: DataFrame, model: PipelineModel | None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Governed reads: who sees which rows, and which columns are masked.
 
 Requests with the same effective region, pillar, purpose and masking see the same rows. The
-directory is therefore built per *view*, not per request: at most
-``(regions + 1) * (pillars + 1) * (purposes + 1) * 2`` views exist, each record is in at most 40 of
+directory is therefore built per *view*, not per request, and only for views asked for: at most
+``(regions + 1) * (pillars + 1) * (purposes + 1) * 2`` exist, each record is in at most 40 of
 them, and the work grows with the registry plus the requests, never with their product.
 """
 
@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from consentry.functions.masks import MASKS
+from consentry.sources.staging import lookup
 from consentry.spec import (
-    ALERT_PREFIX, ALERT_SUFFIX, ALL, DEFAULT_SPEC, KEY, REGISTRY_COLUMNS, STAFF_POLICY,
+    ACCESS_DETAILS, ALERT_PREFIX, ALERT_SUFFIX, ALL, DEFAULT_SPEC, KEY, REGISTRY_COLUMNS,
     UNKNOWN_ROLE_CODE, RegistrySpec,
 )
 
@@ -23,8 +24,9 @@ VIEW = ("region_filter", "pillar_filter", "purpose")
 POLICY_SCHEMA = "operator string, role string, region_scope string, pillar_scope string"
 
 
-def staff_policy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(STAFF_POLICY), POLICY_SCHEMA)
+def no_policy(spark: SparkSession) -> DataFrame:
+    """A policy without accounts."""
+    return spark.createDataFrame([], POLICY_SCHEMA)
 
 
 def people_policy(registry: DataFrame) -> DataFrame:
@@ -110,24 +112,12 @@ def view_keys(spec: RegistrySpec = DEFAULT_SPEC) -> Column:
     return F.array_compact(F.array(*combos))
 
 
-def in_domain(views: DataFrame, spec: RegistrySpec = DEFAULT_SPEC) -> DataFrame:
-    """Views that can hold a record. The gate lets no other region or pillar into the registry,
-    so this drops nothing and bounds the number of distinct views by the spec."""
-    return views.filter(
-        F.col("region_filter").isin(ALL, *spec.regions)
-        & F.col("pillar_filter").isin(ALL, *spec.pillars)
-        & F.col("purpose").isin(ALL, *spec.purposes)
-    )
-
-
 def view_volumes(registry: DataFrame, spec: RegistrySpec = DEFAULT_SPEC) -> DataFrame:
     """Record count per view. Records are first counted per (region, pillar, flags) cell, of which
-    the domains allow 512, so the explosion into views works on cells."""
+    the gate's domains allow 512, so the explosion into views works on cells. Other regions and
+    pillars, should a registry hold any, are counted as well."""
     flags = [f"consent_{p}" for p in spec.purposes]
-    cells = (
-        registry.filter(F.col("region").isin(*spec.regions) & F.col("pillar").isin(*spec.pillars))
-        .groupBy("region", "pillar", *flags).agg(F.count(F.lit(1)).alias("_n"))
-    )
+    cells = registry.groupBy("region", "pillar", *flags).agg(F.count(F.lit(1)).alias("_n"))
     return (
         cells.select(F.explode(view_keys(spec)).alias("v"), "_n").select("v.*", "_n")
         .groupBy(*VIEW).agg(F.sum("_n").alias("query_volume"))
@@ -137,11 +127,11 @@ def view_volumes(registry: DataFrame, spec: RegistrySpec = DEFAULT_SPEC) -> Data
 def with_volume(filtered: DataFrame, volumes: DataFrame) -> DataFrame:
     """Adds ``query_volume``, the rows each request returns; 0 when denied.
 
-    ``volumes`` is at most one row per view in the domains (225 with the default spec), which is
-    what makes the broadcast safe.
+    ``volumes`` has a row per view, 225 with the default spec's domains; Spark knows its size and
+    broadcasts it if it is small.
     """
     volume = F.when(F.col("allowed"), F.coalesce(F.col("query_volume"), F.lit(0))).otherwise(0)
-    return filtered.join(F.broadcast(volumes), list(VIEW), "left").withColumn(
+    return filtered.join(volumes, list(VIEW), "left").withColumn(
         "query_volume", volume.cast("bigint")
     )
 
@@ -178,26 +168,55 @@ def _shown(when: Column, masked: dict[str, Column]) -> list[Column]:
 
 def requested_views(decided: DataFrame, spec: RegistrySpec = DEFAULT_SPEC) -> DataFrame:
     """Distinct views asked for, with the number of requests each serves."""
-    views = decided.filter("allowed").groupBy(*VIEW, "masked").agg(
+    return lookup(decided.filter("allowed").groupBy(*VIEW, "masked").agg(
         F.count(F.lit(1)).alias("n_requests")
-    )
-    return in_domain(views, spec)
+    ))
+
+
+def _place(region: Column, pillar: Column, purpose: Column, spec: RegistrySpec) -> Column:
+    """The number of a view among all views of the domains; null for one outside them."""
+    def at(value: Column, domain: tuple[str, ...]) -> Column:
+        found = F.array_position(F.array(*[F.lit(v) for v in (ALL, *domain)]), value)
+        return F.nullif(found, F.lit(0).cast("bigint")) - 1
+
+    rows = at(region, spec.regions) * (len(spec.pillars) + 1) + at(pillar, spec.pillars)
+    return (rows * (len(spec.purposes) + 1) + at(purpose, spec.purposes)).cast("int")
+
+
+def _asked(views: DataFrame, spec: RegistrySpec) -> Column:
+    """For each view of the domains whether it is asked for: one array, whatever the requests."""
+    size = (len(spec.regions) + 1) * (len(spec.pillars) + 1) * (len(spec.purposes) + 1)
+    places = views.select(_place(*map(F.col, VIEW), spec).alias("at")).agg(
+        F.collect_set("at").alias("asked"))
+    return places.select(F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.array_contains("asked", k))).scalar()
 
 
 def directory(
     decided: DataFrame, registry: DataFrame, spec: RegistrySpec = DEFAULT_SPEC
 ) -> DataFrame:
-    """The governed directory, one row per (view, record), masked as the view demands.
+    """The governed directory, one row per (requested view, record), masked as the view demands.
 
-    A request's answer is the rows whose view columns equal its own, see ``request_rows``.
+    A record's views are cut to those asked for before the record is repeated for them, so one view
+    costs one copy of its records. A request's answer is the rows whose view columns equal its own,
+    see ``request_rows``.
     """
-    views = F.broadcast(requested_views(decided, spec))
+    views = requested_views(decided, spec)
+
+    def wanted(view: Column) -> Column:
+        place = _place(view["region_filter"], view["pillar_filter"], view["purpose"], spec)
+        # Views outside the domains are left to the join.
+        return F.coalesce(F.get(F.col("_asked"), place), F.lit(True))
+
     # Masked once per record, before the record is repeated for its views.
     masked = {c: f"_m_{c}" for c in MASKS}
     members = registry.select(
         *REGISTRY_COLUMNS,
         *[MASKS[c](F.col(c), spec.redacted).alias(m) for c, m in masked.items()],
-        F.explode(view_keys(spec)).alias("_v"),
+        _asked(views, spec).alias("_asked"),
+    )
+    members = members.select(
+        *REGISTRY_COLUMNS, *masked.values(), F.explode(F.filter(view_keys(spec), wanted)).alias("_v"),
     ).select("*", "_v.*")
     return members.join(views, list(VIEW)).select(
         *VIEW, "masked", "n_requests",
@@ -237,9 +256,7 @@ def access_features(requests: DataFrame, spec: RegistrySpec = DEFAULT_SPEC) -> D
 def access_audit(decided: DataFrame) -> DataFrame:
     """One audit row per request: what was queried, how much came back, whether it was masked."""
     details = F.format_string(
-        "Query Directory (Region: %s, Pillar: %s, Purpose: %s). Returned %d records. "
-        "Anonymization applied: %s.",
-        "region_filter", "pillar_filter", "purpose", "query_volume",
+        ACCESS_DETAILS, "region_filter", "pillar_filter", "purpose", "query_volume",
         F.when(F.col("masked"), "True").otherwise("False"),
     )
     flagged = F.concat(F.lit(ALERT_PREFIX), details, F.lit(ALERT_SUFFIX))

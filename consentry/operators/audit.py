@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from consentry.operators import quality, state
+from consentry.sources.staging import stage
 from consentry.spec import (
-    INGEST_OPERATOR, KEY, LOCAL_ADDRESS, MESSAGE_OPERATOR, STARTUP_DETAILS,
+    DEFAULT_OPERATOR, DISCLOSURE_DETAILS, ERASE_DETAILS, INGEST_DETAILS,
+    INGEST_OPERATOR, KEY, LOCAL_ADDRESS, MESSAGE_ERASE_DETAILS, MESSAGE_OPERATOR, REPORT_DETAILS,
+    SELF_UPDATE_DETAILS, TEXT_UPDATE_DETAILS, UPDATE_DETAILS,
 )
 
 AUDIT_COLUMNS = (
@@ -40,9 +43,7 @@ def ingest_audit(routed: DataFrame, seq: str, at: Column) -> DataFrame:
     return _rows(
         routed.filter(F.col("ingest_status") == quality.SUCCESS), seq, at,
         F.lit(INGEST_OPERATOR), F.lit("BENEFICIARY_INGEST"), F.col(KEY),
-        F.format_string(
-            "Real-time stream registered beneficiary: %s under %s pillar.", KEY, "pillar"
-        ),
+        F.format_string(INGEST_DETAILS, KEY, "pillar"),
     )
 
 
@@ -56,7 +57,7 @@ def change_audit(
     found = F.col("seq") >= F.col("first_ingest")
     alive = F.col("erased_at").isNull() | (F.col("seq") <= F.col("erased_at"))
     lost = F.coalesce(~found, F.lit(True))
-    logged = (
+    logged = stage(
         writes.filter(F.col("op") != state.HOLD)
         .join(born, KEY, "left")
         .filter(F.when(lost, F.col("op") == state.SELF_UPDATE).otherwise(alive))
@@ -64,28 +65,22 @@ def change_audit(
     )
     known = state.previous_value(logged, KEY, "seq", "consent_status", "old_status", block)
     op = F.col("op")
-    flags = [F.col(f).cast("string") for f in (
-        "consent_data_sharing", "consent_photo_use", "consent_sms_contact",
-        "consent_external_reporting")]
+    by_message = F.col("operator").eqNullSafe(F.lit(MESSAGE_OPERATOR))
     details = (
-        F.when(op == state.UPDATE, F.concat(
-            F.lit("Changed consent status for "), F.col(KEY), F.lit(" from "), F.col("old_status"),
-            F.lit(" to "), F.col("new_status"), F.lit(" via "), F.col("consent_type"), F.lit(".")))
-        .when(op == state.SELF_UPDATE, F.concat(
-            F.lit("Beneficiary self-updated consent settings: DataSharing="), flags[0],
-            F.lit(", PhotoUse="), flags[1], F.lit(", SMS="), flags[2], F.lit(", ExtReport="),
-            flags[3], F.lit(". Status set to: "), F.col("enrollment_status"), F.lit(".")))
+        F.when(op == state.UPDATE, F.format_string(
+            UPDATE_DETAILS, KEY, "old_status", "new_status", "consent_type"))
+        .when(op == state.SELF_UPDATE, F.format_string(
+            SELF_UPDATE_DETAILS, "consent_data_sharing", "consent_photo_use",
+            "consent_sms_contact", "consent_external_reporting", "enrollment_status"))
         .when(op == state.TEXT_UPDATE, F.concat(
-            F.when(F.col("new_status") == "Withdrawn", "Withdrew consent")
-            .otherwise("Granted consent"),
-            F.lit(" via AI Chatbot self-service.")))
-        .otherwise(F.concat(
-            F.lit("Executed Right to be Forgotten (KDPA redaction) for beneficiary profile "),
-            F.col(KEY), F.lit(".")))
+            F.when(F.col("new_status") == "Withdrawn", "Withdrew").otherwise("Granted"),
+            F.lit(TEXT_UPDATE_DETAILS)))
+        .when(by_message, MESSAGE_ERASE_DETAILS)
+        .otherwise(F.format_string(ERASE_DETAILS, KEY))
     )
     operator = (
         F.when(op == state.SELF_UPDATE, F.col(KEY)).when(op == state.TEXT_UPDATE, MESSAGE_OPERATOR)
-        .otherwise("system")
+        .otherwise(F.coalesce("operator", F.lit(DEFAULT_OPERATOR)))
     )
     action = F.when(op == state.ERASE, "ANONYMIZATION").otherwise("CONSENT_CHANGE")
     return _rows(
@@ -93,25 +88,18 @@ def change_audit(
     )
 
 
-def startup_audit(spark: SparkSession, at: Column) -> DataFrame:
-    return _rows(
-        spark.range(1).withColumnRenamed("id", "seq"), "seq", at, F.lit("system"),
-        F.lit("SYSTEM_STARTUP"), F.lit(None).cast("string"), F.lit(STARTUP_DETAILS),
-    )
-
-
 def report_audit(reports: DataFrame, seq: str, at: Column) -> DataFrame:
     return _rows(
         reports, seq, at, F.lit(MESSAGE_OPERATOR), F.lit("COMPLIANCE_REPORT"),
         F.lit(None).cast("string"),
-        F.lit("Generated compliance status report via chatbot query."),
+        F.lit(REPORT_DETAILS),
     )
 
 
 def disclosure_audit(gated: DataFrame, seq: str, at: Column) -> DataFrame:
     return _rows(
         gated.filter("disclosed"), seq, at, F.lit(MESSAGE_OPERATOR), F.lit("PII_ACCESS"),
-        F.col(KEY), F.lit("Beneficiary accessed profile info via chatbot query."),
+        F.col(KEY), F.lit(DISCLOSURE_DETAILS),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from consentry.functions.text import contains_any, first_contained
+from consentry.sources.staging import lookup
 from consentry.spec import DEFAULT_SPEC, TOPIC_WORDS, RegistrySpec
 
 COUNTS = ("total", "consented", "pending", "withdrawn", "erasures")
@@ -89,10 +90,9 @@ def report_scope(messages: DataFrame, spec: RegistrySpec = DEFAULT_SPEC) -> Data
 
 
 def scoped_reports(messages: DataFrame, registry: DataFrame) -> DataFrame:
-    """The report each message asks for. The reports are 13 rows with the default domains."""
-    return report_scope(messages).join(
-        F.broadcast(report_all(registry)), ["scope", "name"], "left"
-    )
+    """The report each message asks for. The reports are 13 rows with the default domains; they are
+    staged, so Spark knows their size and broadcasts them if they are as small as that."""
+    return report_scope(messages).join(lookup(report_all(registry)), ["scope", "name"], "left")
 
 
 def message_topic(messages: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ Every operation writes a fixed set of columns of one key, and the last writer of
 That fold is associative: it needs no ordered loop, map tasks reduce their rows to one per key
 before the shuffle, and a key with a third of all writes costs one row per map task.
 
-A *write* is a row ``(seq, op, <registry columns>)``; columns its ``op`` does not write are null
-and ignored. ``seq`` is the arrival order and unique.
+A *write* is a row ``(seq, op, operator, <registry columns>)``; columns its ``op`` does not write
+are null and ignored. ``operator`` is who asked for it, null if that is not known. ``seq`` is the arrival order and unique.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from consentry.functions import consent, text
-from consentry.sources.staging import lookup
+from consentry.sources.staging import lookup, stage
 from consentry.spec import (
-    DEFAULT_CONSENT_TYPE, DEFAULT_SPEC, FLAGS, KEY, MESSAGE_CONSENT_TYPE, PII, REGISTRY_COLUMNS,
+    DEFAULT_CONSENT_TYPE, DEFAULT_SPEC, FLAGS, KEY, MESSAGE_CONSENT_TYPE, MESSAGE_OPERATOR, PII,
+    REGISTRY_COLUMNS,
     WITHDRAW_WORDS, RegistrySpec,
 )
 
@@ -37,18 +38,23 @@ _WRITERS: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = (
     (("consent_date",), (INGEST, UPDATE, SELF_UPDATE, TEXT_UPDATE)),
 )
 
-WRITE_COLUMNS = ("seq", "op", *REGISTRY_COLUMNS)
+WRITE_COLUMNS = ("seq", "op", "operator", *REGISTRY_COLUMNS)
 
 
 def ingest_writes(rows: DataFrame, seq: Column) -> DataFrame:
     """Accepted registrations as writes of all columns."""
-    return rows.select(seq.cast("bigint").alias("seq"), F.lit(INGEST).alias("op"), *REGISTRY_COLUMNS)
+    return rows.select(
+        seq.cast("bigint").alias("seq"), F.lit(INGEST).alias("op"), _nobody(), *REGISTRY_COLUMNS)
+
+
+def _nobody() -> Column:
+    return F.lit(None).cast("string").alias("operator")
 
 
 def change_writes(
     changes: DataFrame, seq: Column | None = None, spec: RegistrySpec = DEFAULT_SPEC
 ) -> DataFrame:
-    """Typed change requests (``op, new_status, consent_type, f_*, as_of``) as writes."""
+    """Typed change requests (``op, new_status, consent_type, f_*, as_of[, operator]``) as writes."""
     op = F.col("op")
     by_status = op.isin(UPDATE, TEXT_UPDATE)
     requested = dict(zip(FLAGS, ("f_sharing", "f_photo", "f_sms", "f_report")))
@@ -83,6 +89,7 @@ def change_writes(
     return changes.select(
         (F.col("seq") if seq is None else seq).cast("bigint").alias("seq"),
         "op",
+        F.col("operator") if "operator" in changes.columns else _nobody(),
         KEY,
         *[values[c].alias(c) for c in REGISTRY_COLUMNS if c != KEY],
     )
@@ -98,7 +105,7 @@ def snapshot_writes(registry: DataFrame) -> DataFrame:
         F.array(F.lit(INGEST))
     )
     return registry.select(
-        F.col("row_order").alias("seq"), F.explode(ops).alias("op"), *REGISTRY_COLUMNS
+        F.col("row_order").alias("seq"), F.explode(ops).alias("op"), _nobody(), *REGISTRY_COLUMNS
     )
 
 
@@ -142,8 +149,16 @@ def lifetimes(writes: DataFrame) -> DataFrame:
 
 
 def drop_after_erasure(writes: DataFrame) -> DataFrame:
-    """Writes up to and including the erasure of their key: an erased person stays erased."""
-    erased = lifetimes(writes).filter(F.col("erased_at").isNotNull()).select(KEY, "erased_at")
+    """Writes up to and including the erasure of their key: an erased person stays erased.
+
+    Only keys with an erase, which are few, are looked at for when it took effect. The staged table
+    has a row for each erased key, so Spark broadcasts it below its threshold, and then the fold
+    that follows combines its rows before any shuffle.
+    """
+    asked = lookup(writes.filter(F.col("op") == ERASE).select(KEY).distinct())
+    marks = writes.filter(F.col("op").isin(INGEST, ERASE)).select(KEY, "seq", "op")
+    lives = lifetimes(marks.join(asked, KEY, "left_semi"))
+    erased = lookup(lives.filter(F.col("erased_at").isNotNull()).select(KEY, "erased_at"))
     return (
         writes.join(erased, KEY, "left")
         .filter(F.col("erased_at").isNull() | (F.col("seq") <= F.col("erased_at")))
@@ -247,7 +262,8 @@ def consent_transitions(
     writes: DataFrame, sticky_erasure: bool = True, block: int = 1 << 20
 ) -> DataFrame:
     """Old and new status of each staff update that took effect."""
-    statuses = (
+    # Read twice below, so it is written once.
+    statuses = stage(
         effective_writes(writes, sticky_erasure)
         .filter(F.col("op") != HOLD)
         .select("seq", KEY, "op", F.col("consent_status").alias("new_status"))
@@ -282,6 +298,7 @@ def request_rows(
         none.cast("string").alias("consent_type"),
         *[none.cast("int").alias(f) for f in ("f_sharing", "f_photo", "f_sms", "f_report")],
         as_of.alias("as_of"),
+        F.lit(MESSAGE_OPERATOR).alias("operator"),
     )
 
 

@@ -153,14 +153,14 @@ STEPS: dict[str, str] = {
     ),
     # Change requests with the status they set.
     "settled": (
-        "select seq, beneficiary_id, op, as_of, consent_type as asked_type, "
+        "select seq, beneficiary_id, op, operator, as_of, consent_type as asked_type, "
         "case when op in ('consent_update', 'consent_text_update') then new_status "
         "when op = 'consent_self_update' and f_sharing <> 0 then 'Consented' "
         "when op in ('consent_self_update', 'erase_subject') then 'Withdrawn' end as consent_status, "
         "f_sharing, f_photo, f_sms, f_report from changes"
     ),
     "change_writes": (
-        f"select seq, op, beneficiary_id, "
+        "select seq, op, operator, beneficiary_id, "
         + ", ".join(f"case when op = 'erase_subject' then '{REDACTED}' end as {c}" for c in PII)
         + ", cast(null as varchar) as pillar, cast(null as varchar) as region, consent_status, "
         "case op when 'consent_update' then coalesce(asked_type, 'Digital Signature') "
@@ -385,7 +385,8 @@ STEPS["routed_audit"] = (
 )
 STEPS["change_audit"] = (
     "select seq, consent_date as timestamp, case op when 'consent_self_update' then beneficiary_id "
-    "when 'consent_text_update' then 'chatbot_interface' else 'system' end as operator, "
+    "when 'consent_text_update' then 'chatbot_interface' else coalesce(operator, 'system') end "
+    "as operator, "
     "case op when 'erase_subject' then 'ANONYMIZATION' else 'CONSENT_CHANGE' end as action_type, "
     "beneficiary_id as target_beneficiary_id, case op when 'consent_update' then "
     "'Changed consent status for ' || beneficiary_id || ' from ' || old_status || ' to ' || "
@@ -394,10 +395,11 @@ STEPS["change_audit"] = (
     "', PhotoUse=' || consent_photo_use || ', SMS=' || consent_sms_contact || ', ExtReport=' || "
     "consent_external_reporting || '. Status set to: ' || enrollment_status || '.' "
     "when 'consent_text_update' then case consent_status when 'Withdrawn' then 'Withdrew consent' "
-    "else 'Granted consent' end || ' via AI Chatbot self-service.' else "
-    "'Executed Right to be Forgotten (KDPA redaction) for beneficiary profile ' || beneficiary_id "
-    "|| '.' end as details, '127.0.0.1' as ip_address, cast(0 as int) as is_anomaly from (select *, "
-    "lag(consent_status) over (partition by beneficiary_id order by seq) as old_status from "
+    "else 'Granted consent' end || ' via AI Chatbot self-service.' else case operator "
+    "when 'chatbot_interface' then 'Right to be Forgotten request executed via AI Chatbot "
+    "self-service.' else 'Executed Right to be Forgotten (KDPA redaction) for beneficiary profile ' || beneficiary_id "
+    "|| '.' end end as details, '127.0.0.1' as ip_address, cast(0 as int) as is_anomaly "
+    "from (select *, lag(consent_status) over (partition by beneficiary_id order by seq) as old_status from "
     f"(select w.* from interleaved w left join ({lives_sql('interleaved')}) l "
     "on l.beneficiary_id = w.beneficiary_id where case when l.first_ingest is null "
     "or w.seq < l.first_ingest then w.op = 'consent_self_update' else l.erased_at is null "

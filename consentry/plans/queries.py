@@ -127,10 +127,10 @@ def _log_order(df: DataFrame) -> DataFrame:
 
 @query
 def append_audit(i: Inputs) -> DataFrame:
-    """Audit rows of ingest, changes and reads, appended to one dated log."""
+    """Audit rows of ingest, changes and reads, appended to the registry's log."""
     out = shared_dir(i.spark)
-    files.append_dated(_audit_frame(i), out, "timestamp", "seq")
-    return files.read_dated(i.spark, out, ingest.AUDIT_SCHEMA).drop("dt")
+    files.append_batch(_audit_frame(i).select(*audit.AUDIT_COLUMNS), f"{out}/audit", 0)
+    return ingest.audited(i.spark, out).drop("batch_id")
 
 
 @query

@@ -48,7 +48,10 @@ def slot(batch_id: int, kind: int = _INGEST) -> int:
 class Registry:
     """All calls that write take a ``batch_id``, which orders them; a call repeated with the same
     number replaces what it wrote. Numbers must grow over time, also between kinds of calls: what
-    ``compact`` has folded counts as earlier than everything that comes after."""
+    ``compact`` has folded counts as earlier than everything that comes after.
+
+    ``policy`` has the accounts ``(operator, role, region_scope, pillar_scope)``. Without one, only
+    registered people may read, under their own id; everybody else is refused."""
 
     def __init__(
         self,
@@ -60,7 +63,7 @@ class Registry:
         spec: RegistrySpec = DEFAULT_SPEC,
     ):
         self.spark, self.root, self.spec = spark, root.rstrip("/"), spec
-        self.policy = policy if policy is not None else access.staff_policy(spark)
+        self.policy = policy if policy is not None else access.no_policy(spark)
         self.forest, self.intents = forest, intents
 
     # --- writing ------------------------------------------------------------------------------

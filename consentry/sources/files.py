@@ -12,20 +12,24 @@ from consentry.spec import EVENT_COLUMNS, EVENT_SCHEMA, REGISTRY_CSV_SCHEMA
 # Blanks around values are data for the cleansing step, so neither side may trim them.
 _CSV = {
     "header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-    "escape": '"', "multiLine": "false",
+    "escape": '"',
 }
 CORRUPT = "_corrupt_record"
 
 
 def read_registry_csv(
-    spark: SparkSession, path: str, schema: T.StructType = REGISTRY_CSV_SCHEMA
+    spark: SparkSession, path: str, schema: T.StructType = REGISTRY_CSV_SCHEMA,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """A headered CSV as text columns; leading zeros and plus signs survive.
 
+    Quoted values may hold line breaks, which costs splitting: a file is read by one task. Without
+    ``line_breaks`` large files are split, and a row that such a value tears apart is refused.
     Raises ``FileNotFoundError`` if there is no such path.
     """
+    how = {"multiLine": "true"} if line_breaks else {"multiLine": "false", "mode": "FAILFAST"}
     try:
-        return spark.read.schema(schema).options(**_CSV, enforceSchema="false").csv(path)
+        return spark.read.schema(schema).options(**_CSV, **how, enforceSchema="false").csv(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(path) from e
@@ -69,27 +73,8 @@ def read_event_lines(spark: SparkSession, path: str, streaming: bool = False) ->
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Append one batch to a Parquet log; writing the same batch again replaces it."""
-    (
-        df.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id").parquet(path)
-    )
-
-
-def append_dated(df: DataFrame, path: str, at: str, order: str, unit: str = "month") -> None:
-    """Append to a Parquet log partitioned by ``dt``, the start of the ``unit`` of ``at``.
-
-    Rows are range-partitioned by date and ``order`` first: each task writes few folders, and a
-    date that holds much of the log is spread over several tasks.
-    """
-    dated = df.withColumn("dt", F.to_date(F.date_trunc(unit, at)))
-    dated.repartitionByRange("dt", order).write.mode("append").partitionBy("dt").parquet(path)
-
-
-def read_dated(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    full = T.StructType([*schema.fields, T.StructField("dt", T.DateType())])
-    return spark.read.schema(full).parquet(path)
+    """Append one batch to a Parquet log; writing the same batch again replaces it, also by none."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -62,13 +62,3 @@ def stored(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFr
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its files come in fewer splits than that; unchanged otherwise.
-
-    For the text-heavy work that follows a scan, one small exchange beats one busy core. A table
-    large enough to have splits for every core is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -25,7 +25,8 @@ _FIELDS = [
 ]
 REGISTRY_SCHEMA = T.StructType([*_FIELDS, T.StructField("row_order", T.LongType())])
 WRITES_SCHEMA = T.StructType(
-    [T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), *_FIELDS]
+    [T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()),
+     T.StructField("operator", T.StringType()), *_FIELDS]
 )
 
 

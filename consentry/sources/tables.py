@@ -10,8 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from consentry.sources.staging import spread
-
 _FIRST = "'Jane,Asha,Joseph,GRACE,kevin,Halima,Moses,Ruth,Élan,Ali,Alice,Mercy'"
 _LAST = "'achieng,o''brien,Anne-Marie,KIPROP,mohamed 3rd,Wambui,Otieno'"
 _FIRST_NAME = f"split_part({_FIRST}, ',', cast(o.o_custkey % 12 as int) + 1)"
@@ -122,21 +120,26 @@ ADAPTERS: dict[str, Adapter] = {
             ("f_sms", "cast(event_id % 5 % 2 as int)"),
             ("f_report", "cast(event_id % 7 % 2 as int)"),
             ("as_of", "ts"),
+            ("operator",
+             "case when event_id % 4 = 0 then null when event_id % 13 = 0 then 'chatbot_interface' "
+             "else 'op_' || cast(user_id as string) end"),
         ),
     ),
     "messages": Adapter(
         "conversations",
         (
             ("msg_id", "conv_id * 1000 + turn"),
+            # The message as it is; to most, a request is added so that links and intents occur.
             ("text",
-             "case conv_id % 10 when 0 then 'show profile for jane' "
-             "when 1 then 'withdraw consent for REG-' || lpad(cast(conv_id as string), 8, '0') "
-             "when 2 then 'futa data yangu ' || 'reg-' || lpad(cast(conv_id as string), 8, '0') "
-             "when 3 then 'ripoti ya nyanza' when 4 then 'report on the tech pillar' "
-             "when 5 then 'how do you protect my privacy?' "
-             "when 6 then 'angalia data ' || "
+             "coalesce(text, '') || "
+             "case conv_id % 10 when 0 then ' show profile for jane' "
+             "when 1 then ' withdraw consent for REG-' || lpad(cast(conv_id as string), 8, '0') "
+             "when 2 then ' futa data yangu ' || 'reg-' || lpad(cast(conv_id as string), 8, '0') "
+             "when 3 then ' ripoti ya nyanza' when 4 then ' report on the tech pillar' "
+             "when 5 then ' how do you protect my privacy?' "
+             "when 6 then ' angalia data ' || "
              "lpad(cast((conv_id * 17) % 100000000 as string), 8, '0') "
-             "when 7 then 'opt in for alice' when 8 then 'generate report' else text end"),
+             "when 7 then ' opt in for alice' when 8 then ' generate report' else '' end"),
         ),
         "WHERE role = 'user'",
     ),
@@ -185,11 +188,5 @@ def adapt(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataF
     )
 
 
-_TEXT_HEAVY = {"registrations": "orders", "messages": "conversations"}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    frames = {t: load(spark, sf_dir, t) for t in _tables_of(name)}
-    if name in _TEXT_HEAVY:
-        frames[_TEXT_HEAVY[name]] = spread(frames[_TEXT_HEAVY[name]])
-    return adapt(spark, name, frames)
+    return adapt(spark, name, {t: load(spark, sf_dir, t) for t in _tables_of(name)})

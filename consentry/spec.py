@@ -6,7 +6,7 @@ is another spec.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import types as T
 
@@ -34,20 +34,33 @@ TOPIC_WORDS = {"privacy": ("kpc", "linda", "protect"), "rights": ("futa", "delet
 LOCAL_ADDRESS = "127.0.0.1"
 INGEST_OPERATOR = "streaming_pipeline"
 MESSAGE_OPERATOR = "chatbot_interface"
+DEFAULT_OPERATOR = "system"
 REASON_FORMAT = "Validation failed on column '{column}' for check '{check}'"
-STARTUP_DETAILS = "Privacy database and consent purposes initialised."
-# (operator, role, region scope, pillar scope) of the staff accounts.
-STAFF_POLICY = (
-    ("hq_director", "hq_admin", "All", "All"),
-    ("scholarship_hq", "pillar_coord", "All", "Scholarship"),
-    ("tech_hq", "pillar_coord", "All", "Tech"),
-    ("nyanza_field", "field_officer", "Nyanza", "All"),
-    ("nairobi_field", "field_officer", "Nairobi", "All"),
-    ("coastal_field", "field_officer", "Coastal", "All"),
-    ("kdpa_auditor", "compliance_auditor", "All", "All"),
-)
 ALERT_PREFIX = "[SECURITY ALERT] "
 ALERT_SUFFIX = " Access flagged as ANOMALOUS by Machine Learning."
+ACCESS_DETAILS = (
+    "Query Directory (Region: %s, Pillar: %s, Purpose: %s). Returned %d records. "
+    "Anonymization applied: %s."
+)
+INGEST_DETAILS = "Real-time stream registered beneficiary: %s under %s pillar."
+UPDATE_DETAILS = "Changed consent status for %s from %s to %s via %s."
+SELF_UPDATE_DETAILS = (
+    "Beneficiary self-updated consent settings: DataSharing=%s, PhotoUse=%s, SMS=%s, ExtReport=%s. "
+    "Status set to: %s."
+)
+TEXT_UPDATE_DETAILS = " consent via AI Chatbot self-service."
+MESSAGE_ERASE_DETAILS = "Right to be Forgotten request executed via AI Chatbot self-service."
+ERASE_DETAILS = "Executed Right to be Forgotten (KDPA redaction) for beneficiary profile %s."
+REPORT_DETAILS = "Generated compliance status report via chatbot query."
+DISCLOSURE_DETAILS = "Beneficiary accessed profile info via chatbot query."
+STRICT_MESSAGES = {
+    "beneficiary_id": "beneficiary_id cannot be null",
+    "full_name": "full_name cannot be null",
+    "pillar": "pillar must be Scholarship, Plus, Vocational, or Tech",
+    "region": f"region must be one of {list(REGIONS)}",
+    "consent_status": "consent_status must be Consented, Pending, or Withdrawn",
+    "email": "email format is invalid",
+}
 # ---------------------------------------------------------------------------------------------
 
 ALL = "All"
@@ -104,16 +117,9 @@ ROW_RULES = (
     Rule("regex", "email", pattern=EMAIL_PATTERN),
 )
 BATCH_RULES = ROW_RULES[:1] + (Rule("unique", KEY),) + ROW_RULES[1:]
-STRICT_RULES = (
-    Rule("not_null", KEY, message="beneficiary_id cannot be null"),
-    Rule("not_null", "full_name", message="full_name cannot be null"),
-    Rule("in_set", "pillar", values=PILLARS, null_fails=True,
-         message="pillar must be Scholarship, Plus, Vocational, or Tech"),
-    Rule("in_set", "region", values=REGIONS, null_fails=True,
-         message=f"region must be one of {list(REGIONS)}"),
-    Rule("in_set", "consent_status", values=CONSENT_STATUSES, null_fails=True,
-         message="consent_status must be Consented, Pending, or Withdrawn"),
-    Rule("regex", "email", pattern=EMAIL_PATTERN, message="email format is invalid"),
+STRICT_RULES = tuple(
+    replace(rule, null_fails=rule.kind == "in_set", message=STRICT_MESSAGES[rule.column])
+    for rule in ROW_RULES
 )
 
 

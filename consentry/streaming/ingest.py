@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 from consentry.operators import audit, quality, standardise, state
 from consentry.sources import store
 from consentry.sources.files import CORRUPT, append_batch, read_log
-from consentry.sources.staging import spread
 from consentry.sources.store import REGISTRY_SCHEMA
 from consentry.spec import DEFAULT_SPEC, EVENT_COLUMNS, REGISTRY_COLUMNS, RegistrySpec
 
@@ -84,7 +83,7 @@ def quarantine(routed: DataFrame) -> DataFrame:
 
 def write_batch(events: DataFrame, batch_id: int, root: str) -> None:
     """Route one micro-batch and append to the registry, quarantine and audit logs."""
-    routed = route_events(spread(events)).persist()
+    routed = route_events(events).persist()
     try:
         accepted = routed.filter(F.col("ingest_status") == quality.SUCCESS)
         append_batch(
@@ -101,7 +100,7 @@ def write_batch(events: DataFrame, batch_id: int, root: str) -> None:
 def store_batch(events: DataFrame, batch_id: int, root: str) -> None:
     """Like ``write_batch``, into the write log of a stored registry. Positions in the log are the
     batch number and then ``event_seq``, which must stay below ``BATCH_SPAN``."""
-    routed = route_events(spread(events)).withColumn(
+    routed = route_events(events).withColumn(
         "event_seq", F.lit(batch_id * BATCH_SPAN) + F.col("event_seq")
     ).persist()
     try:

@@ -18,4 +18,5 @@ def writes(spark, rows, keys):
         "consent_date": F.lit(None).cast("timestamp_ntz")}
     values |= {f: (n % 2).cast("int") for f in FLAGS}
     return spark.range(0, rows, 1, 8).select(
-        n.alias("seq"), op.alias("op"), *[values[c].alias(c) for c in REGISTRY_COLUMNS])
+        n.alias("seq"), op.alias("op"),
+        F.lit(None).cast("string").alias("operator"), *[values[c].alias(c) for c in REGISTRY_COLUMNS])

@@ -1,4 +1,4 @@
-"""Governed reads against one-request-at-a-time evaluation on a small registry."""
+"""Governed reads: expected answers written out, on a small registry."""
 
 import datetime as dt
 import itertools
@@ -9,6 +9,7 @@ from test_state import frames, history
 
 from consentry.functions import masks
 from consentry.operators import access, state
+from consentry.sources.store import REGISTRY_SCHEMA
 from consentry.spec import ALL, KEY, PII, REDACTED, REGISTRY_COLUMNS
 
 REQUEST = ("request_id bigint, ts timestamp_ntz, operator string, role string, "
@@ -36,57 +37,67 @@ def requests(spark):
     return spark.createDataFrame(rows, REQUEST)
 
 
-def mask(row):
-    """The masks written with plain string methods."""
-    out = dict(row)
-    for c in PII:
-        v = row[c]
-        if not v or v == REDACTED:
-            continue
-        if c == "full_name":
-            parts = v.split()
-            out[c] = (f"{parts[0][0]}. {' '.join(parts[1:])[:3]}***" if len(parts) > 1
-                      else v[:2] + "***")
-        elif c == "national_id":
-            out[c] = "*****" + v[-3:]
-        elif c == "email":
-            at = v.split("@")
-            out[c] = at[0][:2] + "***@" + (at[1] if len(at) > 1 else "")
-        else:
-            out[c] = v[:4] + " *** *** " + v[-2:]
-    return out
-
-
-def answer(request, rows, anomaly):
-    r = request
-    region = r.region_scope if r.role == "field_officer" else r.region
-    pillar = r.pillar_scope if r.role == "pillar_coord" else r.pillar
-    if r.role == "stranger" or r.purpose == "nonsense":
-        return []
-    hide = r.force_anonymize or r.role in ("compliance_auditor", "beneficiary") or anomaly
-    return [
-        mask(b) if hide or b["status"] == "Anonymized" else b for b in rows
-        if region in (ALL, b["region"]) and pillar in (ALL, b["pillar"])
-        and (r.purpose == ALL or b[f"consent_{r.purpose}"] == 1)
-    ]
-
-
-def test_directory_per_request(spark, registry, requests):
-    rows = [{c: r[c] for c in REGISTRY_COLUMNS} for r in registry.collect()]
-    assert any(r["status"] == "Anonymized" for r in rows)
-    scoped = access.row_policy(access.policy_join(requests, access.policy_of(requests)))
-    volumes = access.request_volume(scoped, registry)
-    decided = access.mask_decision(
-        access.access_features(volumes).withColumn("is_anomaly", (F.col("request_id") % 5 == 0).cast("int")))
+#: Five records: id, region, pillar, sharing, photo, status; and how each looks when masked.
+PEOPLE = {
+    "P1": ("Nyanza", "Tech", 1, 0, "Active"),
+    "P2": ("Nyanza", "Plus", 1, 1, "Active"),
+    "P3": ("Coastal", "Tech", 0, 1, "Active"),
+    "P4": ("Coastal", "Plus", 0, 0, "Active"),
+    "P5": ("Nyanza", "Tech", 0, 0, "Anonymized"),
+}
+PLAIN = ("Wanja Maina Otieno", "55512345", "wanja@post.example", "+254700111222")
+HIDDEN = ("W. Mai***", "*****345", "wa***@post.example", "+254 *** *** 22")
+GONE = (REDACTED,) * 4
+#: Operator, what is asked for, whether it is forced or anomalous; ids seen, and whether masked.
+ANSWERS = [
+    ("hq_admin", ALL, ALL, ALL, False, 0, "P1 P2 P3 P4 P5", False),
+    ("hq_admin", "Nyanza", ALL, ALL, False, 0, "P1 P2 P5", False),
+    ("hq_admin", "Nyanza", "Plus", ALL, False, 0, "P2", False),
+    ("hq_admin", ALL, ALL, "data_sharing", False, 0, "P1 P2", False),
+    ("hq_admin", "Coastal", ALL, "photo_use", False, 0, "P3", False),
+    ("hq_admin", ALL, "Tech", ALL, True, 0, "P1 P3 P5", True),
+    ("hq_admin", ALL, "Tech", ALL, False, 1, "P1 P3 P5", True),
+    ("hq_admin", "Western", ALL, ALL, False, 0, "", False),
+    ("hq_admin", ALL, ALL, "nonsense", False, 0, "", None),
+    ("pillar_coord", ALL, ALL, ALL, False, 0, "P1 P3 P5", False),
+    ("pillar_coord", "Nyanza", "Plus", ALL, False, 0, "P1 P5", False),
+    ("field_officer", "Coastal", ALL, ALL, False, 0, "P1 P2 P5", False),
+    ("field_officer", ALL, "Plus", "photo_use", False, 0, "P2", False),
+    ("compliance_auditor", "Coastal", ALL, ALL, False, 0, "P3 P4", True),
+    ("beneficiary", ALL, ALL, "data_sharing", False, 0, "P1 P2", True),
+    ("stranger", ALL, ALL, ALL, False, 0, "", None),
+]
+
+
+def test_directory_per_request(spark):
+    values = dict.fromkeys(REGISTRY_COLUMNS)
+    rows = []
+    for who, (region, pillar, sharing, photo, status) in PEOPLE.items():
+        private = GONE if status == "Anonymized" else PLAIN
+        row = values | dict(zip(PII, private)) | {
+            KEY: who, "region": region, "pillar": pillar, "status": status,
+            "consent_data_sharing": sharing, "consent_photo_use": photo,
+            "consent_sms_contact": 0, "consent_external_reporting": 0}
+        rows.append((*[row[c] for c in REGISTRY_COLUMNS], len(rows)))
+    people = spark.createDataFrame(rows, REGISTRY_SCHEMA)
+    scope = {"pillar_coord": (ALL, "Tech"), "field_officer": ("Nyanza", ALL)}
+    asked = spark.createDataFrame(
+        [(n, AT, f"op_{a[0]}", a[0], *scope.get(a[0], (ALL, ALL)), *a[1:5])
+         for n, a in enumerate(ANSWERS)], REQUEST)
+    odd = [n for n, a in enumerate(ANSWERS) if a[5]]
+    scoped = access.row_policy(access.policy_join(asked, access.policy_of(asked)))
+    volumes = access.request_volume(scoped, people)
+    decided = access.mask_decision(access.access_features(volumes).withColumn(
+        "is_anomaly", F.col("request_id").isin(odd).cast("int")))
     got = {}
-    for r in access.request_rows(decided, access.directory(decided, registry)).collect():
-        got.setdefault(r.request_id, []).append(tuple(r[c] for c in REGISTRY_COLUMNS))
+    for r in access.request_rows(decided, access.directory(decided, people)).collect():
+        got.setdefault(r.request_id, {})[r[KEY]] = tuple(r[c] for c in PII)
     counts = {r.request_id: r.query_volume for r in volumes.collect()}
-    for r in requests.collect():
-        want = answer(r, rows, r.request_id % 5 == 0)
-        assert counts[r.request_id] == len(want)
-        assert sorted(got.get(r.request_id, []), key=repr) == sorted(
-            (tuple(b[c] for c in REGISTRY_COLUMNS) for b in want), key=repr), r
+    for n, (*_, ids, masked) in enumerate(ANSWERS):
+        want = {k: GONE if PEOPLE[k][4] == "Anonymized" else HIDDEN if masked else PLAIN
+                for k in ids.split()}
+        assert got.get(n, {}) == want, ANSWERS[n]
+        assert counts[n] == len(want), ANSWERS[n]
 
 
 def test_scope_comes_from_the_policy_not_from_the_request(spark, requests):

@@ -1,8 +1,7 @@
 """The two models, on the cases they must get right."""
 
-import random
-
 import pytest
+from pyspark.sql import functions as F
 
 from consentry.models import forest, intent
 
@@ -12,17 +11,16 @@ SCHEMA = "request_id bigint, hour_of_day int, role_code int, region_mismatch int
 
 @pytest.fixture(scope="module")
 def accesses(spark):
-    """Mostly daytime in-scope accesses of few rows, and one in twenty that is none of that."""
-    rng = random.Random(42)
-    rows = []
-    for n in range(1050):
-        if n < 1000:
-            rows.append((n, min(max(int(rng.gauss(12, 3)), 7), 21), rng.choices([0, 1, 2], [4, 5, 1])[0],
-                         0, rng.randrange(1, 10)))
-        else:
-            rows.append((n, rng.choice([1, 2, 3, 4, 23]), rng.choice([1, 3]),
-                         int(rng.random() < .8), rng.randrange(50, 150)))
-    return spark.createDataFrame(rows, SCHEMA)
+    """Office hours and small answers on a regular grid; every 21st access is at night, out of scope
+    and large."""
+    n = F.col("id")
+    odd = n % 21 == 20
+    return spark.range(1050).select(
+        n.alias("request_id"),
+        F.when(odd, n % 4 + 1).otherwise(8 + n * 7 % 11).cast("int").alias("hour_of_day"),
+        F.when(odd, 1 + 2 * (n % 2)).otherwise(n % 3).cast("int").alias("role_code"),
+        F.when(odd, (n % 5 > 0).cast("int")).otherwise(0).alias("region_mismatch"),
+        F.when(odd, 60 + n * 13 % 100).otherwise(1 + n * 5 % 12).alias("query_volume"))
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +60,40 @@ def test_few_rows(spark):
         forest.fit(df.limit(0), FEATURES, "request_id")
 
 
+def test_trees_draw_independently(spark, monkeypatch):
+    """Also from a table much larger than all samples together, two trees share few rows."""
+    seen = {}
+    df = spark.range(40_000).select(
+        "id", F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    model = forest.fit(df, ("x", "y"), "id", trees=12, sample=64)
+    for tree, part in model.nodes[model.nodes["feature"] >= 0].groupby("tree"):
+        seen[tree] = set(part["threshold"])
+    assert len(seen) == 12
+    assert not set.intersection(*seen.values())
+
+
+def test_percentile_is_exact(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(forest, "_LAST_VALUES", 5)
+    rng = np.random.default_rng(1)
+    values, counts = rng.normal(size=300).round(2), rng.integers(1, 9, 300)
+    df = spark.createDataFrame(
+        [(float(v), int(n)) for v, n in zip(values, counts)], "v double, n bigint")
+    for share in (0.0, 0.05, 0.31, 0.5, 1.0):
+        want = np.percentile(np.repeat(values, counts), 100 * share)
+        assert forest.weighted_percentile(df, "v", "n", share) == pytest.approx(want, abs=1e-12)
+
+
+def test_too_many_grams_are_refused_and_none_dropped(spark):
+    rows = [(f"word{k} other{k}", "a" if k % 2 else "b") for k in range(20)]
+    df = spark.createDataFrame(rows, "text string, intent string")
+    with pytest.raises(ValueError, match="more than 59 grams"):
+        intent.fit(df, max_vocabulary=59)
+    model = intent.fit(df, max_vocabulary=60)
+    assert intent.weights(spark, model).select("gram").distinct().count() == 60
+
+
 @pytest.mark.parametrize("message, expected", [
     ("show my profile details", "view_data"),
     ("nataka kufuta maelezo yangu", "request_deletion"),

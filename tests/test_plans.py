@@ -48,6 +48,21 @@ def test_no_product_joins_and_no_python(spark, sf_dir, without_broadcast, name):
     assert text.count("SinglePartition") <= 2
 
 
+def test_records_are_repeated_for_requested_views_only(spark, sf_dir):
+    """One view asked for: the generator makes as many rows as the view has records."""
+    i = Inputs(spark, sf_dir)
+    asked = spark.createDataFrame(
+        [(1, "Nyanza", "Tech", "All", False, True)],
+        "request_id bigint, region_filter string, pillar_filter string, purpose string, "
+        "masked boolean, allowed boolean")
+    df = access.directory(asked, i.registry)
+    rows = df.collect()
+    n = i.registry.filter("region = 'Nyanza' AND pillar = 'Tech'").count()
+    assert len(rows) == n > 0
+    text = plan(df)
+    assert "Generate" in text and "filter(" in text.replace("Filter", "filter")
+
+
 def test_directory_filters_reach_the_scan(spark, sf_dir):
     rows = access.directory_filter(
         Inputs(spark, sf_dir).registry, region="Nyanza", pillar="Tech", purpose="sms_contact")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from consentry.models import intent
+from consentry.operators import access
 from consentry.plans.inputs import Inputs
 from consentry.registry import Registry, slot
 from consentry.sources import files
@@ -17,8 +18,12 @@ CHANGE = ("seq bigint, beneficiary_id string, op string, new_status string, cons
 @pytest.fixture(scope="module")
 def loaded(spark, sf_dir, tmp_path_factory):
     i = Inputs(spark, sf_dir)
+    accounts = spark.createDataFrame(
+        [("lake_desk", "field_officer", "Nyanza", "All"),
+         ("outside_check", "compliance_auditor", "All", "All")], access.POLICY_SCHEMA)
     registry = Registry(
-        spark, str(tmp_path_factory.mktemp("registry")), intents=intent.default_model(spark))
+        spark, str(tmp_path_factory.mktemp("registry")), accounts,
+        intents=intent.default_model(spark))
     registry.ingest(i.events, 0)
     return registry, i
 
@@ -69,10 +74,10 @@ def test_life_of_a_record(spark, loaded):
 def test_reads_are_scoped_masked_and_logged(loaded):
     registry, _ = loaded
     at = "2025-01-01 12:00:00"
-    field = registry.read("nyanza_field", at, 10, region="Coastal")
+    field = registry.read("lake_desk", at, 10, region="Coastal")
     assert {r.region for r in field.rows.collect()} == {"Nyanza"} and not field.masked
     assert field.query_volume == field.rows.count()
-    auditor = registry.read("kdpa_auditor", at, 11, pillar="Tech")
+    auditor = registry.read("outside_check", at, 11, pillar="Tech")
     assert auditor.masked and all("***" in r.phone or r.phone == REDACTED
                                   for r in auditor.rows.collect())
     refused = registry.read("nobody", at, 12)
@@ -80,7 +85,7 @@ def test_reads_are_scoped_masked_and_logged(loaded):
     person = registry.current().filter("status = 'Active'").first()[KEY]
     assert registry.read(person, at, 13, region="Nyanza").masked
     log = registry.audit_log(4).collect()
-    assert [r.operator for r in log] == [person, "nobody", "kdpa_auditor", "nyanza_field"]
+    assert [r.operator for r in log] == [person, "nobody", "outside_check", "lake_desk"]
     assert all(r.action_type == "PII_ACCESS" for r in log)
 
 

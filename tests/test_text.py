@@ -67,8 +67,8 @@ def test_masks(spark, mask, raw, expected):
 
 
 GOOD = {
-    "beneficiary_id": "REG-1", "full_name": "Joseph Kiprop", "national_id": "34567890",
-    "email": "joseph@example.org", "phone": "+254712345678", "pillar": "Scholarship",
+    "beneficiary_id": "REG-1", "full_name": "Wanja Maina", "national_id": "55512345",
+    "email": "wanja@post.example", "phone": "+254700111222", "pillar": "Scholarship",
     "region": "Nairobi", "consent_status": "Consented",
 }
 
