@@ -48,11 +48,12 @@ def ingest_audit(routed: DataFrame, seq: str, at: Column) -> DataFrame:
 
 
 def change_audit(
-    writes: DataFrame, at: Column, block: int = 1 << 20, since: int = 0
+    writes: DataFrame, at: Column, block: int = 1 << 20, only: Column | None = None,
+    seq: str = "seq",
 ) -> DataFrame:
     """One row per change that took effect, with the status it replaced, and one per self-service
-    update of an unknown record, which is logged before it fails. Only changes from ``since`` on
-    are reported; earlier writes are their history."""
+    update of an unknown record, which is logged before it fails. Only the changes ``only`` holds
+    for are reported; the other writes are their history. ``seq`` names the number logged."""
     born = state.lifetimes(writes)
     found = F.col("seq") >= F.col("first_ingest")
     alive = F.col("erased_at").isNull() | (F.col("seq") <= F.col("erased_at"))
@@ -84,7 +85,8 @@ def change_audit(
     )
     action = F.when(op == state.ERASE, "ANONYMIZATION").otherwise("CONSENT_CHANGE")
     return _rows(
-        known.filter((op != state.INGEST) & (F.col("seq") >= since)), "seq", at, operator, action, F.col(KEY), details
+        known.filter((op != state.INGEST) & (F.lit(True) if only is None else only)),
+        seq, at, operator, action, F.col(KEY), details,
     )
 
 
@@ -104,16 +106,16 @@ def disclosure_audit(gated: DataFrame, seq: str, at: Column) -> DataFrame:
 
 
 def quarantine_rows(routed: DataFrame, seq: str, at: Column) -> DataFrame:
-    """Rejected events with the reasons and, as JSON, the payload as it came (column ``raw``)."""
+    """Rejected events with the reasons and the payload as it came (column ``raw``)."""
     return routed.filter(F.col("ingest_status") != quality.SUCCESS).select(
         F.col(seq).cast("bigint").alias("event_id"),
         at.alias("timestamp"),
-        F.to_json("raw", {"ignoreNullFields": "false"}).alias("raw_payload"),
+        F.col("raw").alias("raw_payload"),
         "failure_reasons",
     )
 
 
-def newest_first(log: DataFrame, order: str, limit: int | None = None) -> DataFrame:
+def newest_first(log: DataFrame, *order: str, limit: int | None = None) -> DataFrame:
     """The log newest first. With a limit Spark keeps the top rows per task and never sorts all."""
-    ordered = log.orderBy(F.col(order).desc())
+    ordered = log.orderBy(*[F.col(c).desc() for c in order])
     return ordered if limit is None else ordered.limit(limit)

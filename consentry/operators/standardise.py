@@ -10,6 +10,10 @@ from consentry.functions import consent, text
 from consentry.spec import DEFAULT_SPEC, EVENT_COLUMNS, FLAGS, REGISTRY_COLUMNS, RegistrySpec
 
 
+#: Where a row stood in its file, if the reader says so.
+FILE_ORDER = "_file_order"
+
+
 def _present(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -68,9 +72,11 @@ def standardise_events(
     )
 
 
-def type_registry(csv_rows: DataFrame) -> DataFrame:
-    """Registry rows read as text to registry types; the sentinels for "nothing" become null."""
+def type_registry(csv_rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Registry rows read as text to registry types, plus ``keep`` unchanged; the sentinels for
+    "nothing" become null."""
     return csv_rows.select(
+        *keep,
         *[
             F.nullif(F.col(c), F.lit("None")).alias(c) if c == "consent_type"
             else F.nullif(F.col(c), F.lit("")).try_cast("timestamp_ntz").alias(c)
@@ -94,9 +100,12 @@ def dedupe_rows(df: DataFrame) -> DataFrame:
     """Drop rows equal in every column, as they came: copies that differ in blanks both stay.
 
     Spark drops copies inside each map task before the shuffle, so a row that makes up a third
-    of the table reaches the reducers once per task.
+    of the table reaches the reducers once per task. Of copies, the first in the file stays.
     """
-    return df.dropDuplicates()
+    if FILE_ORDER not in df.columns:
+        return df.dropDuplicates()
+    values = [c for c in df.columns if c != FILE_ORDER]
+    return df.groupBy(*values).agg(F.min(FILE_ORDER).alias(FILE_ORDER))
 
 
 def clean_batch(batch: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def scan_report(i: Inputs) -> DataFrame:
 
 @query
 def stage_extract(i: Inputs) -> DataFrame:
-    return batch.extract(i.spark, _raw_csv(i))
+    return batch.extract(i.spark, _raw_csv(i)).drop(standardise.FILE_ORDER)
 
 
 @query

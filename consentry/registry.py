@@ -19,7 +19,7 @@ from consentry.plans import batch
 from consentry.plans.messages import MessageOutcome, handle_messages
 from consentry.sources import store
 from consentry.sources.files import append_batch, write_csv
-from consentry.sources.staging import lookup, stage
+from consentry.sources.staging import discard, lookup, recorded, stage
 from consentry.spec import ALL, DEFAULT_SPEC, KEY, RegistrySpec
 from consentry.streaming import ingest
 
@@ -41,7 +41,7 @@ _INGEST, _CHANGE, _READ, _MESSAGE, _KINDS = 0, 1, 2, 3, 4
 
 
 def slot(batch_id: int, kind: int = _INGEST) -> int:
-    """The place of a batch in the logs; its rows start at ``slot * BATCH_SPAN``."""
+    """The number of a batch in the logs."""
     return batch_id * _KINDS + kind
 
 
@@ -51,7 +51,8 @@ class Registry:
     ``compact`` has folded counts as earlier than everything that comes after.
 
     ``policy`` has the accounts ``(operator, role, region_scope, pillar_scope)``. Without one, only
-    registered people may read, under their own id; everybody else is refused."""
+    registered people may read, under their own id; everybody else is refused. Without
+    ``sticky_erasure`` a later registration brings an erased record back."""
 
     def __init__(
         self,
@@ -61,7 +62,9 @@ class Registry:
         forest: IsolationForest | None = None,
         intents: PipelineModel | None = None,
         spec: RegistrySpec = DEFAULT_SPEC,
+        sticky_erasure: bool = True,
     ):
+        self.sticky_erasure, self._staged = sticky_erasure, []
         self.spark, self.root, self.spec = spark, root.rstrip("/"), spec
         self.policy = policy if policy is not None else access.no_policy(spark)
         self.forest, self.intents = forest, intents
@@ -73,8 +76,13 @@ class Registry:
         return batch.run(self.spark, path, clean_csv, self.root)
 
     def ingest(self, events: DataFrame, batch_id: int) -> None:
-        """One batch of events ``(event_seq, arrived_at, …)``; running it again changes nothing."""
-        ingest.store_batch(events, slot(batch_id), self.root)
+        """One batch of events; running it again changes nothing.
+
+        ``events`` has the event columns, or is what ``files.parse_events`` makes of payload lines.
+        ``event_seq`` (an offset of the source) and ``arrived_at`` are added if they are missing.
+        """
+        with recorded(self._staged):
+            ingest.store_batch(events, slot(batch_id), self.root)
 
     def ingest_stream(self, events: DataFrame):
         """Drain a stream of events; its batch numbers become the registry's."""
@@ -89,37 +97,56 @@ class Registry:
 
         ``seq`` orders the requests within the batch.
         """
+        with recorded(self._staged):
+            return self._change(requests, batch_id)
+
+    def _change(self, requests: DataFrame, batch_id: int) -> DataFrame:
         place = slot(batch_id, _CHANGE)
-        first = place * ingest.BATCH_SPAN
-        changes = stage(state.change_writes(requests, F.lit(first) + F.col("seq"), self.spec))
+        logged = stage(state.change_writes(requests, spec=self.spec))
+        changes = logged.withColumn("seq", store.place(place, F.col("seq")))
         before = store.read_writes(self.spark, self.root).filter(F.col("batch_id") < place)
         # Only the records somebody asks to change matter, so nothing else is shuffled or staged.
         touched = lookup(changes.select(KEY).distinct())
         history = stage(state.union_writes(
             state.snapshot_writes(store.snapshot(self.spark, self.root)), before, changes,
         ).join(touched, KEY, "left_semi"))
-        lost = stage(state.change_not_found(history, changes))
+        lost = stage(state.change_not_found(history, changes).withColumn("seq", F.col("seq.seq")))
         at = F.coalesce("consent_date", F.timestamp_micros(F.lit(0)).cast("timestamp_ntz"))
         asked = requests.select(
-            (F.lit(first) + F.col("seq")).alias("seq"), F.col("as_of").alias("timestamp"))
-        rows = audit.change_audit(history, at, since=first).drop("timestamp").join(asked, "seq")
+            F.col("seq").cast("bigint").alias("seq"), F.col("as_of").alias("timestamp"))
+        rows = audit.change_audit(
+            history, at, only=F.col("seq.batch_id") == place, seq="seq.seq"
+        ).drop("timestamp").join(asked, "seq")
         append_batch(rows.select(*audit.AUDIT_COLUMNS), f"{self.root}/audit", place)
-        store.append_writes(changes, self.root, place)
+        store.append_writes(logged, self.root, place)
         return lost
 
-    def compact(self) -> int:
-        return store.compact(self.spark, self.root)
+    def compact(self, retain: int = 0) -> int:
+        """Fold the log; afterwards no file holds what an erasure replaced: not the log, the older
+        snapshots (but for ``retain`` of them), the quarantine, nor what calls have staged. Frames
+        that earlier calls returned end with that."""
+        with recorded(self._staged):
+            version = store.compact(self.spark, self.root, self.sticky_erasure, retain)
+            store.purge_quarantine(self.spark, self.root, ingest.QUARANTINE_SCHEMA)
+        discard(self.spark, self._staged)
+        return version
 
     # --- reading ------------------------------------------------------------------------------
 
     def current(self) -> DataFrame:
-        return store.current(self.spark, self.root)
+        with recorded(self._staged):
+            return store.current(self.spark, self.root, self.sticky_erasure)
+
+    def _has_log(self) -> bool:
+        return not store.read_writes(self.spark, self.root).isEmpty()
 
     def audit_log(self, limit: int | None = None) -> DataFrame:
-        return audit.newest_first(ingest.audited(self.spark, self.root), "seq", limit)
+        return audit.newest_first(
+            ingest.audited(self.spark, self.root), "batch_id", "seq", limit=limit)
 
     def quarantine(self, limit: int | None = None) -> DataFrame:
-        return audit.newest_first(ingest.quarantined(self.spark, self.root), "event_id", limit)
+        return audit.newest_first(
+            ingest.quarantined(self.spark, self.root), "batch_id", "event_id", limit=limit)
 
     def reports(self) -> DataFrame:
         return report.report_all(self.current())
@@ -133,9 +160,18 @@ class Registry:
         Only the verdict, one row, comes to the driver. After ``compact`` the filters reach the
         snapshot's files. A batch of requests goes through ``access.directory`` instead.
         """
+        with recorded(self._staged):
+            return self._read(operator, at, batch_id, region, pillar, purpose, force_anonymize)
+
+    def _read(
+        self, operator: str, at: str, batch_id: int, region: str, pillar: str, purpose: str,
+        force_anonymize: bool,
+    ) -> Answer:
+        # Folded once; the policy, the volumes and the rows read the written table.
         registry, place = self.current(), slot(batch_id, _READ)
+        registry = stage(registry) if self._has_log() else registry
         request = self.spark.createDataFrame(
-            [(place * ingest.BATCH_SPAN, at, operator, region, pillar, purpose, force_anonymize)],
+            [(0, at, operator, region, pillar, purpose, force_anonymize)],
             "request_id bigint, ts string, operator string, region string, pillar string, "
             "purpose string, force_anonymize boolean",
         ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
@@ -165,12 +201,13 @@ class Registry:
     def messages(self, messages: DataFrame, at: str, batch_id: int) -> MessageOutcome:
         """Handle a batch of messages ``(msg_id, text)`` and apply the changes they ask for."""
         when = F.lit(at).cast("timestamp_ntz")
-        done = handle_messages(messages, stage(self.current()), self.intents, when)
-        self.change(done.changes, batch_id)
-        # Reports and disclosures are logged beside the changes.
-        place = slot(batch_id, _MESSAGE)
-        log = done.audit(when).withColumn("seq", F.lit(place * ingest.BATCH_SPAN) + F.col("seq"))
-        append_batch(log.select(*audit.AUDIT_COLUMNS), f"{self.root}/audit", place)
+        with recorded(self._staged):
+            done = handle_messages(messages, stage(self.current()), self.intents, when)
+            self._change(done.changes, batch_id)
+            # Reports and disclosures are logged beside the changes.
+            append_batch(
+                done.audit(when).select(*audit.AUDIT_COLUMNS), f"{self.root}/audit",
+                slot(batch_id, _MESSAGE))
         return done
 
     def export(self, path: str) -> None:

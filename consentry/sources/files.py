@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ _CSV = {
     "escape": '"',
 }
 CORRUPT = "_corrupt_record"
+PAYLOAD = "payload"
 
 
 def read_registry_csv(
@@ -51,7 +52,8 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     """JSON registration payloads, one per row, to event columns plus ``_corrupt_record``.
 
     Works on batches and streams, and on the binary ``value`` of a message queue; other columns are
-    kept. A line that is no JSON object keeps its text in ``_corrupt_record``.
+    kept. The text stays as it came in ``payload``, with keys no column is known for; of a line that
+    is no JSON object it is also in ``_corrupt_record``.
     """
     schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(
@@ -63,9 +65,21 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
         *others,
         *[F.when(whole, F.col(f"_e.{c}")).alias(c) for c in EVENT_COLUMNS],
         F.col(f"_e.{CORRUPT}").alias(CORRUPT),
+        F.col(column).cast("string").alias(PAYLOAD),
     )
 
 
+def numbered(events: DataFrame, at: Column) -> DataFrame:
+    """Events with ``event_seq`` and ``arrived_at``, which a queue or a folder may not give.
+
+    Without an offset of the source, the place in the batch is the order; a batch that is read again
+    from the same files is numbered the same.
+    """
+    if "event_seq" not in events.columns:
+        events = events.withColumn("event_seq", F.monotonically_increasing_id())
+    return events if "arrived_at" in events.columns else events.withColumn("arrived_at", at)
+
+
 def read_event_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Payload files with one JSON object per line, as text."""
     reader = spark.readStream if streaming else spark.read
@@ -79,7 +93,7 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet log written by ``append_batch``; a log nobody wrote yet is empty."""
-    full = T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])
+    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
     try:
         return spark.read.schema(full).parquet(path)
     except AnalysisException as e:

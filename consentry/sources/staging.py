@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _STORED: dict[tuple[str, ...], tuple[str, object]] = {}
 _LOCAL: dict[str, str] = {}
+_RECORDS: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,13 +28,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/consentry-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Folders staged inside are added to ``paths``, for ``discard``."""
+    _RECORDS.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDS.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged folders; frames that read them end with that."""
+    while paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet and return the written table.
 
     Later readers start from files, so a lost executor costs a re-read and not the lineage.
     """
     spark = df.sparkSession
-    path = path or shared_dir(spark)
+    if not path:
+        path = shared_dir(spark)
+        for paths in _RECORDS:
+            paths.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,12 +7,13 @@ is ever overwritten under a reader.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from consentry.operators import state
 from consentry.sources.files import append_batch, read_log
+from consentry.sources.staging import stage
 from consentry.spec import FLAGS, KEY, REGISTRY_COLUMNS
 
 _FIELDS = [
@@ -23,7 +24,10 @@ _FIELDS = [
     )
     for c in REGISTRY_COLUMNS
 ]
-REGISTRY_SCHEMA = T.StructType([*_FIELDS, T.StructField("row_order", T.LongType())])
+#: Where a write stands in the log: its batch, and its number within the batch.
+PLACE = T.StructType(
+    [T.StructField("batch_id", T.LongType()), T.StructField("seq", T.LongType())])
+REGISTRY_SCHEMA = T.StructType([*_FIELDS, T.StructField("row_order", PLACE)])
 WRITES_SCHEMA = T.StructType(
     [T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()),
      T.StructField("operator", T.StringType()), *_FIELDS]
@@ -62,8 +66,15 @@ def append_writes(writes: DataFrame, root: str, batch_id: int) -> None:
     append_batch(writes.select(*state.WRITE_COLUMNS), f"{root}/writes", batch_id)
 
 
+def place(batch_id: Column | int, seq: Column) -> Column:
+    batch = F.lit(batch_id) if isinstance(batch_id, int) else batch_id
+    return F.struct(batch.cast("bigint").alias("batch_id"), seq.cast("bigint").alias("seq"))
+
+
 def read_writes(spark: SparkSession, root: str) -> DataFrame:
-    return read_log(spark, f"{root}/writes", WRITES_SCHEMA)
+    """The log with ``seq`` as the ``place`` of each write."""
+    log = read_log(spark, f"{root}/writes", WRITES_SCHEMA)
+    return log.withColumn("seq", place(F.col("batch_id"), F.col("seq")))
 
 
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
@@ -103,20 +114,24 @@ def _drop(spark: SparkSession, root: str, batches: list[int], old: list[int]) ->
         _delete(spark, f"{root}/registry/version={version}")
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
+def current(spark: SparkSession, root: str, sticky_erasure: bool = True) -> DataFrame:
     """The registry as of now: newest snapshot with the logged writes folded in."""
     if not _numbered(spark, f"{root}/writes", "batch_id=", complete=False):
         return snapshot(spark, root)
     return state.apply_changes(
-        state.snapshot_writes(snapshot(spark, root)), read_writes(spark, root)
+        state.snapshot_writes(snapshot(spark, root)), read_writes(spark, root),
+        sticky_erasure=sticky_erasure,
     )
 
 
-def compact(spark: SparkSession, root: str) -> int:
+def compact(
+    spark: SparkSession, root: str, sticky_erasure: bool = True, retain: int = 0
+) -> int:
     """Fold the log into a new snapshot, then delete the folded batches and older snapshots.
 
-    What an erasure replaced is gone from storage afterwards. Batches that arrive meanwhile stay
-    in the log. A crash in between leaves a log whose folded part is folded again, which changes
+    What an erasure replaced is gone from storage afterwards, unless ``retain`` asks to keep that
+    many older snapshots for readers that still hold them; the compaction after those drops them.
+    Batches that arrive meanwhile stay in the log. A crash in between leaves a log whose folded part is folded again, which changes
     nothing.
     """
     batches = _numbered(spark, f"{root}/writes", "batch_id=", complete=False)
@@ -124,7 +139,24 @@ def compact(spark: SparkSession, root: str) -> int:
     log = read_writes(spark, root).filter(F.col("batch_id").isin(*batches)) if batches else (
         read_writes(spark, root)
     )
-    folded = state.apply_changes(state.snapshot_writes(snapshot(spark, root)), log)
+    folded = state.apply_changes(
+        state.snapshot_writes(snapshot(spark, root)), log, sticky_erasure=sticky_erasure)
     version = replace_registry(folded, root)
-    _drop(spark, root, batches, old)
+    _drop(spark, root, batches, old[:len(old) - retain] if retain else old)
     return version
+
+
+_PAYLOAD_KEY = rf'"{KEY}"\s*:\s*"((?:[^"\\]|\\.)*)"'
+
+
+def purge_quarantine(spark: SparkSession, root: str, schema: T.StructType) -> None:
+    """Blank the payloads of erased people in the quarantine log. Only batches that hold one are
+    written again."""
+    log = read_log(spark, f"{root}/quarantine", schema).withColumn(
+        KEY, F.trim(F.regexp_extract("raw_payload", _PAYLOAD_KEY, 1)))
+    erased = state.erased_keys(snapshot(spark, root))
+    held = log.filter("raw_payload IS NOT NULL").join(erased, KEY, "left_semi")
+    for row in held.select("batch_id").distinct().collect():
+        batch = log.filter(F.col("batch_id") == row.batch_id)
+        clean = stage(state.purge_erased(batch, erased, ("raw_payload",)).select(*schema.names))
+        append_batch(clean, f"{root}/quarantine", row.batch_id)

@@ -13,18 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from consentry.operators import audit, quality, standardise, state
 from consentry.sources import store
-from consentry.sources.files import CORRUPT, append_batch, read_log
-from consentry.sources.store import REGISTRY_SCHEMA
+from consentry.sources.files import CORRUPT, PAYLOAD, append_batch, numbered, read_log
 from consentry.spec import DEFAULT_SPEC, EVENT_COLUMNS, REGISTRY_COLUMNS, RegistrySpec
 
-BATCH_SPAN = 1 << 40
 CORRUPT_REASON = "payload is not a JSON object"
 
-_ROWS = T.StructType(
-    [T.StructField("event_seq", T.LongType())]
-    + [f for f in REGISTRY_SCHEMA.fields if f.name != "row_order"]
-)
-_QUARANTINE = T.StructType(
+QUARANTINE_SCHEMA = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
         T.StructField("timestamp", T.TimestampNTZType()),
@@ -47,17 +41,19 @@ AUDIT_SCHEMA = T.StructType(
 
 
 def route_events(events: DataFrame, spec: RegistrySpec = DEFAULT_SPEC) -> DataFrame:
-    """Raw events ``(event_seq, arrived_at, <event columns>[, _corrupt_record])`` standardised,
-    gated and routed. ``raw`` keeps the payload as it came."""
-    keep = ("event_seq", "arrived_at", "raw")
-    raw = F.struct(*EVENT_COLUMNS)
-    if CORRUPT not in events.columns:
-        return quality.route_ingest(
-            standardise.standardise_events(events.withColumn("raw", raw), spec, keep), spec
-        )
+    """Raw events ``(event_seq, arrived_at, <event columns>[, _corrupt_record, payload])``
+    standardised, gated and routed. ``raw`` keeps the payload as it came; of events that came as
+    columns it is these as JSON."""
+    raw = (
+        F.col(PAYLOAD) if PAYLOAD in events.columns
+        else F.to_json(F.struct(*EVENT_COLUMNS), {"ignoreNullFields": "false"})
+    )
+    keep = ("event_seq", "arrived_at", "raw", *[c for c in (CORRUPT,) if c in events.columns])
     routed = quality.route_ingest(
-        standardise.standardise_events(events.withColumn("raw", raw), spec, (*keep, CORRUPT)), spec
+        standardise.standardise_events(events.withColumn("raw", raw), spec, keep), spec
     )
+    if CORRUPT not in events.columns:
+        return routed
     broken = F.col(CORRUPT).isNotNull()
     return routed.withColumns(
         {
@@ -68,41 +64,13 @@ def route_events(events: DataFrame, spec: RegistrySpec = DEFAULT_SPEC) -> DataFr
 
 
 def quarantine(routed: DataFrame) -> DataFrame:
-    rows = audit.quarantine_rows(routed, "event_seq", F.col("arrived_at"))
-    if CORRUPT not in routed.columns:
-        return rows
-    whole = audit.quarantine_rows(
-        routed.filter(F.col(CORRUPT).isNull()), "event_seq", F.col("arrived_at")
-    )
-    broken = routed.filter(F.col(CORRUPT).isNotNull()).select(
-        F.col("event_seq").alias("event_id"), F.col("arrived_at").alias("timestamp"),
-        F.col(CORRUPT).alias("raw_payload"), "failure_reasons",
-    )
-    return whole.unionByName(broken)
-
-
-def write_batch(events: DataFrame, batch_id: int, root: str) -> None:
-    """Route one micro-batch and append to the registry, quarantine and audit logs."""
-    routed = route_events(events).persist()
-    try:
-        accepted = routed.filter(F.col("ingest_status") == quality.SUCCESS)
-        append_batch(
-            accepted.select("event_seq", *REGISTRY_COLUMNS), f"{root}/accepted", batch_id
-        )
-        append_batch(quarantine(routed), f"{root}/quarantine", batch_id)
-        append_batch(
-            audit.ingest_audit(routed, "event_seq", F.col("arrived_at")), f"{root}/audit", batch_id
-        )
-    finally:
-        routed.unpersist()
+    return audit.quarantine_rows(routed, "event_seq", F.col("arrived_at"))
 
 
 def store_batch(events: DataFrame, batch_id: int, root: str) -> None:
-    """Like ``write_batch``, into the write log of a stored registry. Positions in the log are the
-    batch number and then ``event_seq``, which must stay below ``BATCH_SPAN``."""
-    routed = route_events(events).withColumn(
-        "event_seq", F.lit(batch_id * BATCH_SPAN) + F.col("event_seq")
-    ).persist()
+    """Route one batch into the write, quarantine and audit logs of a stored registry."""
+    now = F.localtimestamp()
+    routed = route_events(numbered(events, now)).persist()
     try:
         accepted = routed.filter(F.col("ingest_status") == quality.SUCCESS)
         store.append_writes(state.ingest_writes(accepted, F.col("event_seq")), root, batch_id)
@@ -117,7 +85,7 @@ def store_batch(events: DataFrame, batch_id: int, root: str) -> None:
 def start_ingest(events: DataFrame, root: str) -> StreamingQuery:
     """Drain what the source holds now, then stop; progress is kept in ``<root>/checkpoint``."""
     return (
-        events.writeStream.foreachBatch(lambda df, batch_id: write_batch(df, batch_id, root))
+        events.writeStream.foreachBatch(lambda df, batch_id: store_batch(df, batch_id, root))
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -125,11 +93,12 @@ def start_ingest(events: DataFrame, root: str) -> StreamingQuery:
 
 
 def accepted(spark: SparkSession, root: str) -> DataFrame:
-    return read_log(spark, f"{root}/accepted", _ROWS)
+    log = store.read_writes(spark, root).filter(F.col("op") == state.INGEST)
+    return log.select("batch_id", F.col("seq.seq").alias("event_seq"), *REGISTRY_COLUMNS)
 
 
 def quarantined(spark: SparkSession, root: str) -> DataFrame:
-    return read_log(spark, f"{root}/quarantine", _QUARANTINE)
+    return read_log(spark, f"{root}/quarantine", QUARANTINE_SCHEMA)
 
 
 def audited(spark: SparkSession, root: str) -> DataFrame:
@@ -137,7 +106,5 @@ def audited(spark: SparkSession, root: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, root: str) -> DataFrame:
-    """Upsert fold over the accepted log; later batches win over earlier ones."""
-    rows = accepted(spark, root).withColumn("_arrival", F.struct("batch_id", "event_seq"))
-    folded = state.registry_upsert(rows, "_arrival")
-    return folded.withColumn("row_order", F.col("row_order.event_seq"))
+    """The stored registry, with the number of the event that wrote each record last."""
+    return store.current(spark, root).withColumn("row_order", F.col("row_order.seq"))

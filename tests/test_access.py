@@ -78,7 +78,7 @@ def test_directory_per_request(spark):
             KEY: who, "region": region, "pillar": pillar, "status": status,
             "consent_data_sharing": sharing, "consent_photo_use": photo,
             "consent_sms_contact": 0, "consent_external_reporting": 0}
-        rows.append((*[row[c] for c in REGISTRY_COLUMNS], len(rows)))
+        rows.append((*[row[c] for c in REGISTRY_COLUMNS], (0, len(rows))))
     people = spark.createDataFrame(rows, REGISTRY_SCHEMA)
     scope = {"pillar_coord": (ALL, "Tech"), "field_officer": ("Nyanza", ALL)}
     asked = spark.createDataFrame(

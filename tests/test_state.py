@@ -5,11 +5,14 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from consentry.operators import state
 from consentry.spec import FLAGS, KEY, PII, REDACTED, REGISTRY_COLUMNS
-from consentry.sources.store import REGISTRY_SCHEMA
+from consentry.sources import store
 
+NUMBERED = T.StructType(
+    [*store.REGISTRY_SCHEMA.fields[:-1], T.StructField("row_order", T.LongType())])
 T0 = dt.datetime(2024, 1, 1)
 CHANGE = ("seq bigint, beneficiary_id string, op string, new_status string, consent_type string, "
           "f_sharing int, f_photo int, f_sms int, f_report int, as_of timestamp_ntz")
@@ -84,7 +87,7 @@ def frames(spark, log, partitions, seed=0):
     rows = [r for _, op, r in log if op == "ingest"]
     seqs = [s for s, op, _ in log if op == "ingest"]
     ingest = spark.createDataFrame(
-        [[r[c] for c in REGISTRY_COLUMNS] + [s] for r, s in zip(rows, seqs)], REGISTRY_SCHEMA)
+        [[r[c] for c in REGISTRY_COLUMNS] + [s] for r, s in zip(rows, seqs)], NUMBERED)
     changes = [r for _, op, r in log if op != "ingest"]
     random.Random(seed).shuffle(changes)
     change = state.change_writes(spark.createDataFrame(changes, CHANGE))
@@ -114,7 +117,7 @@ def test_upsert_keeps_nulls_of_the_last_row(spark):
     log = history(5)
     ingest = [(s, r) for s, op, r in log if op == "ingest"]
     df = spark.createDataFrame(
-        [[r[c] for c in REGISTRY_COLUMNS] + [s] for s, r in ingest], REGISTRY_SCHEMA)
+        [[r[c] for c in REGISTRY_COLUMNS] + [s] for s, r in ingest], NUMBERED)
     last = {r[KEY]: r | {"row_order": s} for s, r in ingest}
     got = {r[KEY]: r.asDict() for r in state.registry_upsert(
         df.repartition(5), "row_order").collect()}

@@ -36,7 +36,7 @@ def test_many_batches_equal_one(spark, sf_dir, folder):
 def test_a_batch_run_twice_counts_once(spark, sf_dir, folder):
     i = Inputs(spark, sf_dir)
     for _ in range(2):
-        ingest.write_batch(i.events, 3, folder)
+        ingest.store_batch(i.events, 3, folder)
     assert rows(ingest.registry(spark, folder)) == rows(i.registry)
     assert ingest.quarantined(spark, folder).count() == i.routed.filter(
         F.col("ingest_status") != quality.SUCCESS).count()
@@ -51,9 +51,9 @@ def test_payload_lines_and_corrupt_ones(spark, sf_dir, folder):
     broken = lines.limit(3).withColumn("event_seq", F.col("event_seq") + 10_000).withColumn(
         "value", F.expr("left(value, length(value) - 4)"))
     parsed = files.parse_events(lines.unionByName(broken))
-    assert rows(parsed.filter("_corrupt_record IS NULL").drop("_corrupt_record")) == rows(
+    assert rows(parsed.filter("_corrupt_record IS NULL").drop("_corrupt_record", "payload")) == rows(
         good.select("event_seq", "arrived_at", *EVENT_COLUMNS))
-    ingest.write_batch(parsed, 0, folder)
+    ingest.store_batch(parsed, 0, folder)
     lost = ingest.quarantined(spark, folder).filter("event_id >= 10000").collect()
     assert len(lost) == 3
     assert {r.failure_reasons for r in lost} == {ingest.CORRUPT_REASON}
