@@ -16,8 +16,10 @@ be broadcast whole. So shards are made such that equal windows always meet in on
 * Of those, one copy of each different stretch goes to its anchor's shard, as word numbers. Shards
   of at most about ``SHARD_WORDS`` words are held at a time, a task works through many.
 * An anchor with more than ``VARIANTS`` different stretches (a passage very many documents share)
-  has no bounded shard: its windows are counted by their own 128 bits instead, combined before the
-  shuffle. Both ways give the same windows.
+  has no bounded shard. Its stretches are cut again, by a second anchor under another hash, which
+  for most windows lies in the text around the passage, and go through the same steps. What is
+  then still too much for a shard has its windows counted by their own 128 bits, combined before
+  the shuffle. All ways give the same windows.
 
 Words are compared as 64-bit numbers. Windows are judged on the input, not on what is left.
 
@@ -50,6 +52,8 @@ VARIANTS = 400
 _AT = 28
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Orders second anchors.
+_SECOND = 0x2545F4914F6CDD1D
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,7 +84,7 @@ class Hashes:
 
 
 def stretches(
-    words: np.ndarray, starts: np.ndarray, length: int, gram: int
+    words: np.ndarray, starts: np.ndarray, length: int, gram: int, seed: int = 0
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, document, first window and number of windows of every stretch of a batch."""
     width = length - gram + 1
@@ -89,6 +93,7 @@ def stretches(
         empty = np.zeros(0, np.int64)
         return empty.astype(np.uint64), empty, empty, empty
     grams = W.sequences(words, gram)
+    grams = W.mix(grams ^ np.uint64(seed)) if seed else grams
     if len(grams) >= 1 << _AT:
         raise ValueError("a batch has too many words; lower the rows per Arrow batch")
     ordered = (grams >> np.uint64(_AT) << np.uint64(_AT)) | np.arange(len(grams), dtype=np.uint64)
@@ -230,6 +235,64 @@ def _passages(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return found
 
 
+def _refined(passages: DataFrame, length: int, gram: int) -> DataFrame:
+    """``passages`` cut into stretches of a second anchor: ``anchor`` (both in one number),
+    ``content``, ``n``, ``key``, ``hash``, ``start``, ``words``."""
+    key_type = passages.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(5)
+            starts = lists.offsets.to_numpy().astype(np.int64)
+            starts = starts - starts[0]
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            second, row, window, count = stretches(
+                flat.view(np.uint64), starts, length, gram, _SECOND)
+            end = window + count + length - 1
+            first = batch.column(0).to_numpy()[row].view(np.uint64)
+            ends = np.cumsum(np.concatenate([[0], end - window]))
+            pick = np.repeat(window - ends[:-1], end - window) + np.arange(ends[-1])
+            at = batch.column(4).to_numpy()[row] + window - starts[row]
+            content = Hashes(flat.view(np.uint64))(window, end)
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_pydict({
+                "anchor": pa.array(W.mix(first ^ W.mix(second)).view(np.int64)),
+                "content": pa.array(content.view(np.int64)), "n": batch.column(1).take(taken),
+                "key": batch.column(2).take(taken), "hash": batch.column(3).take(taken),
+                "start": pa.array(at.astype(np.int32)),
+                "words": pa.ListArray.from_arrays(
+                    pa.array(ends.astype(np.int32)), pa.array(flat[pick]))})
+
+    return passages.select("anchor", "n", "key", "hash", "start", "words").mapInArrow(
+        run, f"anchor bigint, content bigint, n bigint, key {key_type}, hash bigint, start int, "
+        "words array<bigint>")
+
+
+def _by_second_anchor(passages: DataFrame, length: int, gram: int) -> DataFrame:
+    """``key``, ``hash``, ``start``, ``end`` of words in repeated windows of single stretches whose
+    anchors have many variants."""
+    found = stage(_refined(passages, length, gram))
+    shared = lookup(found.groupBy("anchor").agg(
+        F.sum("n").alias("times"), F.min("content").alias("a"), F.max("content").alias("b"))
+        .filter("times > 1").select("anchor", (F.col("a") == F.col("b")).alias("same")))
+    hits = stage(found.join(shared, "anchor"))
+    end = (F.col("start") + F.size("words")).alias("end")
+    whole = hits.filter("same AND n = 1").select("key", "hash", "start", end)
+
+    open_hits = hits.filter("NOT same").drop("same")
+    # Equal stretches are counted and one of them is chosen by where it stands; words follow.
+    where = F.struct("key", "hash", "start")
+    counted = lookup(open_hits.groupBy("anchor", "content").agg(
+        F.sum("n").alias("times"), F.min(where).alias("one")))
+    many = lookup(counted.groupBy("anchor").agg(F.count("*").alias("variants")))
+    known = stage(open_hits.join(counted, ["anchor", "content"]).join(many, "anchor"))
+    whole_too = known.filter("times > 1 AND n = 1").select("key", "hash", "start", end)
+    chosen = known.filter(where.eqNullSafe(F.col("one"))).withColumn("n", F.col("times"))
+    few = _by_automata(chosen.filter(F.col("variants") <= VARIANTS), length)
+    lots = _by_windows(chosen.filter(F.col("variants") > VARIANTS), length)
+    return whole.unionByName(whole_too).unionByName(few).unionByName(lots)
+
+
 def _by_automata(passages: DataFrame, length: int) -> DataFrame:
     """``key``, ``hash``, ``start``, ``end`` of words in repeated windows of single stretches."""
     sorted_passages = passages.select("anchor", "n", "key", "hash", "start", "words").repartition(
@@ -327,7 +390,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     wanted = variants.join(many, "anchor").select("anchor", "n", "variants", "one.*")
     passages = stage(_passages(docs, wanted, length))
     few = _by_automata(passages.filter(F.col("variants") <= VARIANTS), length)
-    lots = _by_windows(passages.filter(F.col("variants") > VARIANTS), length)
+    lots = _by_second_anchor(passages.filter(F.col("variants") > VARIANTS), length, gram)
 
     spans = whole.unionByName(whole_too).unionByName(few).unionByName(lots)
     return spans.groupBy("key", "hash").agg(
