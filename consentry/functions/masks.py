@@ -17,13 +17,17 @@ def _unless_hidden(c: Column, masked: Column, redacted: str) -> Column:
 
 def mask_name(c: Column, redacted: str = REDACTED) -> Column:
     """``Jane Achieng`` -> ``J. Ach***``; a single word keeps its first two characters."""
-    words = squeeze(c)
-    space = F.instr(words, " ")
-    many = F.concat(
-        F.substring(words, 1, 1), F.lit(". "), words.substr(space + 1, F.lit(3)), F.lit("***")
-    )
-    one = F.concat(F.substring(c, 1, 2), F.lit("***"))
-    return _unless_hidden(c, F.when(space > 0, many).otherwise(one), redacted)
+    def masked(words: Column) -> Column:
+        space = F.instr(words, F.lit(" "))
+        many = F.concat(
+            F.substring(words, 1, 1), F.lit(". "), words.substr(space + 1, F.lit(3)), F.lit("***")
+        )
+        one = F.concat(F.substring(c, 1, 2), F.lit("***"))
+        return F.when(space > 0, many).otherwise(one)
+
+    # A lambda over one value: the squeezed name is computed once, not wherever it is used.
+    once = F.get(F.transform(F.array(squeeze(c)), masked), F.lit(0))
+    return _unless_hidden(c, once, redacted)
 
 
 def mask_national_id(c: Column, redacted: str = REDACTED) -> Column:

@@ -431,6 +431,15 @@ STEPS["quarantine"] = (
     + ") as varchar) as raw_payload, r.failure_reasons from routed r join registrations e "
     "on e.event_seq = r.event_seq where r.ingest_status <> 'SUCCESS'"
 )
+STEPS["quarantined_lines"] = (
+    "select event_seq as event_id, arrived_at as timestamp, case when event_seq % 97 = 0 then "
+    "left(line, length(line) - 5) else line end as raw_payload, case when event_seq % 97 = 0 then "
+    "'payload is not a JSON object' else failure_reasons end as failure_reasons from ("
+    "select e.event_seq, e.arrived_at, r.ingest_status, r.failure_reasons, cast(json_object("
+    + ", ".join(f"'{c}', e.{c}" for c in EVENT_COLUMNS)
+    + ", 'channel', 'kiosk') as varchar) as line from registrations e join routed r "
+    "on e.event_seq = r.event_seq) where ingest_status <> 'SUCCESS' or event_seq % 97 = 0"
+)
 _ORDER = list(STEPS)
 
 
@@ -541,7 +550,7 @@ def _build() -> dict[str, str]:
         "audit_view": "select seq * 3 + case action_type when 'PII_ACCESS' then 2 "
         "when 'BENEFICIARY_INGEST' then 0 else 1 end as audit_id, * exclude (seq) from audit "
         "order by audit_id desc",
-        "append_quarantine": "select * from quarantine",
+        "append_quarantine": "select * from quarantined_lines",
         "quarantine_view": "select * from quarantine order by event_id desc",
         "export_compliant_csv": "select " + ", ".join(
             f"cast({MASKED.get(c, c)} as varchar) as {c}" for c in REGISTRY_COLUMNS

@@ -83,11 +83,18 @@ def sink_registry_replace(i: Inputs) -> DataFrame:
     return store.snapshot(i.spark, out).drop("row_order")
 
 
+def _payloads(events: DataFrame) -> DataFrame:
+    """Registrations as JSON lines, with a key that no column is known for."""
+    fields = F.struct(*EVENT_COLUMNS, F.lit("kiosk").alias("channel"))
+    return events.select(
+        "event_seq", "arrived_at", F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))
+
+
 def _payload_lines(i: Inputs) -> DataFrame:
-    """Registration payloads as JSON lines; every 97th is cut short."""
-    line = F.to_json(F.struct(*EVENT_COLUMNS), {"ignoreNullFields": "false"})
-    cut = F.when(F.col("event_seq") % 97 == 0, line.substr(F.lit(1), F.length(line) - 5))
-    return i.events.select("event_seq", "arrived_at", F.coalesce(cut, line).alias("value"))
+    """The same with every 97th cut short."""
+    cut = F.col("value").substr(F.lit(1), F.length("value") - 5)
+    return _payloads(i.events).withColumn(
+        "value", F.when(F.col("event_seq") % 97 == 0, cut).otherwise(F.col("value")))
 
 
 @query
@@ -142,8 +149,9 @@ def audit_view(i: Inputs) -> DataFrame:
 
 @query
 def append_quarantine(i: Inputs) -> DataFrame:
+    """What a registry quarantines of payload lines, some of them cut short."""
     out = shared_dir(i.spark)
-    files.append_batch(ingest.quarantine(i.routed), f"{out}/quarantine", 0)
+    ingest.store_batch(files.parse_events(_payload_lines(i)), 0, out)
     return ingest.quarantined(i.spark, out).drop("batch_id")
 
 
@@ -651,7 +659,7 @@ def _drained(i: Inputs) -> str:
          "customer": tables.load(i.spark, i.sf_dir, "customer")},
     )
     out = shared_dir(i.spark)
-    ingest.start_ingest(events, out).awaitTermination()
+    ingest.start_ingest(files.parse_events(_payloads(events)), out).awaitTermination()
     return out
 
 

@@ -64,3 +64,24 @@ def test_empty_logs_are_empty(spark, folder):
     assert ingest.registry(spark, folder + "/none").count() == 0
     assert state.registry_upsert(
         ingest.accepted(spark, folder + "/none"), "event_seq").count() == 0
+
+
+def test_drained_alerts_equal_the_batch_job(spark, sf_dir, folder):
+    from consentry.models import forest
+    from consentry.operators import access
+    from consentry.sources import tables
+    from consentry.streaming import alerts
+
+    i = Inputs(spark, sf_dir)
+    features = ("hour_of_day", "role_code", "region_mismatch", "query_volume")
+    model = forest.fit(i.features, features, "request_id", trees=20)
+    want = access.access_audit(access.mask_decision(model.flag_rows(i.features)))
+    schema = tables.load(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    requests = tables.adapt(spark, "access_requests", {"events": stream})
+    volumes = access.view_volumes(i.registry)
+    policy = access.policy_of(i.requests)
+    alerts.start_alerts(requests, policy, volumes, model, folder).awaitTermination()
+    got = alerts.alerts(spark, folder).drop("batch_id")
+    assert rows(got.select(*want.columns)) == rows(want)
+    assert {r.is_anomaly for r in want.collect()} == {0, 1}
