@@ -88,3 +88,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
+
+ORACLE_SQL["op8_near_dedup"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 1], ' ') AS x FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1)) + 1)) AS p FROM d)
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), sized AS MATERIALIZED (
+  SELECT doc_id, x, n FROM s JOIN n USING (doc_id)
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sized a JOIN sized b ON a.x = b.x
+    AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), ways AS MATERIALIZED (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.root = ways.a
+), least_root AS (
+  SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least_root LEFT JOIN n USING (doc_id)
+"""

@@ -7,8 +7,7 @@ from consentry.llm.queries import QUERIES
 from consentry.llm.sql import ORACLE_SQL
 
 #: Checked by brute force, a round trip or held-out accuracy instead.
-NO_SQL = {"op4_language", "op5_mixing", "op7_token_files", "op8_near_dedup", "op9_surrogates",
-          "op10_quality"}
+NO_SQL = {"op4_language", "op5_mixing", "op7_token_files", "op9_surrogates", "op10_quality"}
 
 
 def test_all_ten_are_registered():
