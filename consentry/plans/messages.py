@@ -37,11 +37,17 @@ class MessageOutcome:
 def handle_messages(
     messages: DataFrame, registry: DataFrame, model: PipelineModel | None, as_of: Column
 ) -> MessageOutcome:
-    """All messages see the registry as of the start of the batch.
+    """All messages see the registry as of the start of the batch."""
+    return handle_classified(intent.predict(messages, model), registry, as_of)
 
-    Messages are classified and linked once and staged, since every kind of action reads them.
+
+def handle_classified(
+    classified: DataFrame, registry: DataFrame, as_of: Column
+) -> MessageOutcome:
+    """Messages ``(msg_id, text, intent)`` to what they ask for.
+
+    They are linked once and staged, since every kind of action reads them.
     """
-    classified = intent.predict(messages, model)
     viewing = F.col("intent") == "view_data"
     changing = F.col("intent").isin("update_consent", "request_deletion")
     known = stage(classified)

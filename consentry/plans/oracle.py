@@ -355,6 +355,20 @@ STEPS["asked"] = (
     + " ".join(f"when contains(lower(text), '{r.lower()}') then '{r}'" for r in REGIONS)
     + " end as r from messages)"
 )
+STEPS["given"] = (
+    "select msg_id, t, case when contains(t, 'futa') then 'request_deletion' "
+    "when contains(t, 'withdraw') or contains(t, 'opt in') then 'update_consent' "
+    "when contains(t, 'ripoti') or contains(t, 'report') then 'generate_report' "
+    "when contains(t, 'show profile') or contains(t, 'angalia') then 'view_data' "
+    "else 'general_faq' end as intent from (select msg_id, lower(text) as t from messages)"
+)
+STEPS["linked_narrow"] = link_sql("current", False)
+STEPS["given_links"] = (
+    "select g.*, case intent when 'view_data' then w.beneficiary_id when 'update_consent' then "
+    "n.beneficiary_id when 'request_deletion' then n.beneficiary_id end as beneficiary_id "
+    "from given g left join linked_wide w on w.msg_id = g.msg_id "
+    "left join linked_narrow n on n.msg_id = g.msg_id"
+)
 _BATCH = {"full_name": title(squeeze("full_name")), "phone": phone("phone")}
 STEPS["batch"] = (
     "select " + ", ".join(f"{_BATCH.get(c, strip(c))} as {c}" for c in EVENT_COLUMNS)
@@ -640,6 +654,22 @@ def _build() -> dict[str, str]:
         "report_all": "select * from reports",
         "report_scope": "select a.msg_id, a.scope, a.name, r.* exclude (scope, name) from asked a "
         "left join reports r on r.scope = a.scope and r.name = a.name",
+        "message_actions_given": "select g.msg_id, g.intent, case "
+        "when intent in ('view_data', 'update_consent', 'request_deletion') "
+        "and g.beneficiary_id is null then 'NOT_FOUND' when intent = 'view_data' then "
+        "case when c.consent_status = 'Consented' then 'DISCLOSURE' else 'DENIED' end "
+        "when intent = 'update_consent' then 'CONSENT_CHANGE' "
+        "when intent = 'request_deletion' then 'ERASURE' "
+        "when intent = 'generate_report' then 'REPORT' else 'ANSWER' end as action, "
+        "g.beneficiary_id, case when intent = 'update_consent' and g.beneficiary_id is not null "
+        "then case when contains(t, 'withdraw') or contains(t, 'ondoa') or contains(t, 'opt out') "
+        "or contains(t, 'revoke') then 'Withdrawn' else 'Consented' end "
+        "when intent = 'generate_report' then a.scope || ': ' || a.name "
+        "when intent = 'general_faq' then case when contains(t, 'kpc') or contains(t, 'linda') "
+        "or contains(t, 'protect') then 'privacy' when contains(t, 'futa') or "
+        "contains(t, 'delete') or contains(t, 'forgotten') then 'rights' else 'help' end "
+        "end as detail from given_links g left join current c "
+        "on c.beneficiary_id = g.beneficiary_id left join asked a on a.msg_id = g.msg_id",
         "message_topic": "select msg_id, case when contains(t, 'kpc') or contains(t, 'linda') "
         "or contains(t, 'protect') then 'privacy' when contains(t, 'futa') or "
         "contains(t, 'delete') or contains(t, 'forgotten') then 'rights' else 'help' end as topic "

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from consentry.operators import (
 )
 from consentry.plans import batch
 from consentry.plans.inputs import AFTER_ALL, Inputs
-from consentry.plans.messages import handle_messages
+from consentry.plans.messages import handle_classified, handle_messages
 from consentry.sources import files, store, tables
 from consentry.sources.staging import lookup, shared_dir, stage
 from consentry.spec import (
@@ -616,15 +618,25 @@ def access_alerts_scored(i: Inputs) -> DataFrame:
     return access.access_audit(access.mask_decision(model.flag(features)))
 
 
+def _by_words(messages: DataFrame) -> DataFrame:
+    """Messages with the intent that their words tell."""
+    lowered = F.lower("text")
+
+    def holds(*words: str):
+        return reduce(operator.or_, [F.contains(lowered, F.lit(w)) for w in words])
+
+    return messages.withColumn(
+        "intent",
+        F.when(holds("futa"), "request_deletion").when(holds("withdraw", "opt in"), "update_consent")
+        .when(holds("ripoti", "report"), "generate_report")
+        .when(holds("show profile", "angalia"), "view_data").otherwise(intent.DEFAULT_INTENT),
+    )
+
+
 @query
 def intent_fit(i: Inputs) -> DataFrame:
-    """A classifier trained on messages labelled by the kind of their conversation."""
-    kinds = ("view_data", "update_consent", "request_deletion", "generate_report",
-             "generate_report", "general_faq", "view_data", "update_consent", "generate_report",
-             "general_faq")
-    kind = F.floor(F.col("msg_id") / 1000) % 10
-    label = F.element_at(F.array(*[F.lit(k) for k in kinds]), kind.cast("int") + 1)
-    model = intent.fit(i.messages.select("text", label.alias("intent")))
+    """A classifier trained on messages labelled by their words."""
+    model = intent.fit(_by_words(i.messages).select("text", "intent"))
     return intent.weights(i.spark, model)
 
 
@@ -641,6 +653,13 @@ def message_actions(i: Inputs) -> DataFrame:
     ).actions
 
 
+@query
+def message_actions_given(i: Inputs) -> DataFrame:
+    """What messages lead to, given their intents."""
+    as_of = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    return handle_classified(_by_words(i.messages), i.current, as_of).actions
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 def _stream_table(i: Inputs, table: str) -> DataFrame:
