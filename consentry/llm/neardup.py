@@ -4,8 +4,9 @@ A text is the set of its word shingles. Equal sets are one *node*. A node's sign
 chunks of ``CHUNK`` minhashes, each cut to 16 bits. Two signatures that differ in at most
 ``DISTANCE = 2 * CHUNKS - 1`` places have, by the pigeonhole principle, a chunk with at most one
 difference. So each chunk is entered once per place where the error may be, without that place:
-nodes that agree in one entry are candidates, and none under the distance is missed. At a true
-similarity of 0.8, one pair in ten thousand lies beyond the distance; above 0.82, one in a million.
+nodes that agree in one entry are candidates, and none under the distance is missed. Pairs beyond
+it, up to ``FAR`` differences, are candidates too if they share an entry. At a true similarity of 0.8,
+three pairs in ten million differ in more places; of those with fewer, two in a billion share none.
 
 A link is confirmed on the full sets (of 64-bit shingle numbers). What is wanted is the connected
 classes of the link graph, not every link, so candidates are tried in this order:
@@ -14,8 +15,8 @@ classes of the link graph, not every link, so candidates are tried in this order
    That is linear in the entries, however many nodes share one.
 2. Entries whose nodes then still belong to several classes are looked at in blocks of bounded
    size; of each node the nearest partner of another class is tried.
-3. What still lies in several classes is tried exhaustively: all pairs of different classes
-   under the distance, checked within the blocks, so that they never become rows. Nothing is
+3. What still lies in several classes is tried exhaustively: all candidate pairs of different
+   classes, checked within the blocks, so that they never become rows. Nothing is
    capped: after this, no candidate pair between two classes is untried.
 
 Cases: texts without words (null, empty, white space) have no shingle, link with nothing and are
@@ -44,10 +45,12 @@ CHUNKS = 15
 CHUNK = 5
 PLACES = CHUNKS * CHUNK
 DISTANCE = 2 * CHUNKS - 1
+#: Differences up to which a pair that shares an entry is looked at.
+FAR = 34
 #: Hubs a node tries before entries are looked at in blocks.
 HUBS = 3
 #: Nodes of one entry that are compared with another block of as many at once.
-BLOCK = 2048
+BLOCK = 512
 
 _SEED = np.random.default_rng(20).integers(1, 1 << 63, PLACES, dtype=np.uint64) * 2 + 1
 
@@ -235,7 +238,7 @@ class _Block:
         other = np.flatnonzero(other)
         equal = self.signature[other] == self.signature[k]
         far = PLACES - equal.sum(1)
-        near = far <= DISTANCE
+        near = far <= FAR
         return other[near], far[near]
 
     def first_here(self, k: int, other: np.ndarray) -> np.ndarray:
@@ -248,7 +251,7 @@ class _Block:
         return chunk * CHUNK + np.where(inside.all(1), 0, inside.argmin(1)) == self.place
 
     def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Each pair of different classes within the distance once, at its first entry."""
+        """Each pair of different classes near enough once, at its first entry."""
         for k in range(len(self.node)):
             other, _ = self.partners(k)
             if self.x == self.y:
