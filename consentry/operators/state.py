@@ -154,13 +154,13 @@ def drop_after_erasure(writes: DataFrame) -> DataFrame:
     """Writes up to and including the erasure of their key: an erased person stays erased.
 
     Only keys with an erase, which are few, are looked at for when it took effect. The staged table
-    has a row for each erased key, so Spark broadcasts it below its threshold, and then the fold
-    that follows combines its rows before any shuffle.
+    behind ``lifetimes`` has a row for each of them, so Spark broadcasts it below its threshold, and
+    then the fold that follows combines its rows before any shuffle.
     """
     asked = lookup(writes.filter(F.col("op") == ERASE).select(KEY).distinct())
     marks = writes.filter(F.col("op").isin(INGEST, ERASE)).select(KEY, "seq", "op")
     lives = lifetimes(marks.join(asked, KEY, "left_semi"))
-    erased = lookup(lives.filter(F.col("erased_at").isNotNull()).select(KEY, "erased_at"))
+    erased = lives.filter(F.col("erased_at").isNotNull()).select(KEY, "erased_at")
     return (
         writes.join(erased, KEY, "left")
         .filter(F.col("erased_at").isNull() | (F.col("seq") <= F.col("erased_at")))

@@ -85,6 +85,14 @@ def test_folds_combine_before_the_shuffle(spark, sf_dir):
     assert final < text.index("Exchange hashpartitioning(beneficiary_id") < partial
 
 
+def test_the_log_is_folded_before_it_is_shuffled(spark, sf_dir):
+    """With the erased keys broadcast, no uncombined write crosses the network."""
+    text = plan(QUERIES["apply_changes"](spark, sf_dir))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    partial = text.index("functions=[partial_max")
+    assert "Exchange hashpartitioning" not in text[partial:]
+
+
 def test_the_block_window_is_partitioned_by_key_and_block(spark, sf_dir, without_broadcast):
     text = plan(QUERIES["consent_transitions"](spark, sf_dir))
     first = text.index("windowspecdefinition(beneficiary_id")
