@@ -5,8 +5,9 @@ That fold is associative: it needs no ordered loop, map tasks reduce their rows
 before the shuffle, and a key with a third of all writes costs one row per map task.
 
 A *write* is a row ``(seq, op, operator, <registry columns>)``; columns its ``op`` does not write
-are null and ignored. ``operator`` is who asked for it, null if that is not known. ``seq`` is an
-integer, or in a stored log a struct of the batch and the integer within it. ``seq`` is the arrival order and unique.
+are null and ignored. ``operator`` is who asked for it, null if that is not known. ``seq`` is the
+arrival order and unique: an integer, or in a stored log a struct of the batch and the integer
+within it.
 """
 
 from __future__ import annotations
@@ -236,8 +237,8 @@ def previous_value(
     """``lag(value)`` per key in ``order``, without a task that holds a whole key.
 
     ``order`` is a unique integer, or a struct of a batch and such an integer, so a (key, block of
-    ``order``) holds at most ``block`` rows; each is one window partition. The last value of every block is carried to the next block
-    of its key over the much smaller table of blocks.
+    ``order``) holds at most ``block`` rows; each is one window partition. The last value of every
+    block is carried to the next block of its key over the much smaller table of blocks.
 
     The rows are shuffled by (key, block) explicitly: rows that arrive already grouped by key
     would satisfy the window as they are and leave a hot key in one task.

@@ -411,9 +411,10 @@ STEPS["change_audit"] = (
     "when 'consent_text_update' then case consent_status when 'Withdrawn' then 'Withdrew consent' "
     "else 'Granted consent' end || ' via AI Chatbot self-service.' else case operator "
     "when 'chatbot_interface' then 'Right to be Forgotten request executed via AI Chatbot "
-    "self-service.' else 'Executed Right to be Forgotten (KDPA redaction) for beneficiary profile ' || beneficiary_id "
-    "|| '.' end end as details, '127.0.0.1' as ip_address, cast(0 as int) as is_anomaly "
-    "from (select *, lag(consent_status) over (partition by beneficiary_id order by seq) as old_status from "
+    "self-service.' else 'Executed Right to be Forgotten (KDPA redaction) for beneficiary profile ' "
+    "|| beneficiary_id || '.' end end as details, '127.0.0.1' as ip_address, cast(0 as int) as is_anomaly "
+    "from (select *, lag(consent_status) over (partition by beneficiary_id order by seq) "
+    "as old_status from "
     f"(select w.* from interleaved w left join ({lives_sql('interleaved')}) l "
     "on l.beneficiary_id = w.beneficiary_id where case when l.first_ingest is null "
     "or w.seq < l.first_ingest then w.op = 'consent_self_update' else l.erased_at is null "

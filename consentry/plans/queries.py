@@ -472,7 +472,8 @@ def directory_masked(i: Inputs) -> DataFrame:
 @query
 def policy_join(i: Inputs) -> DataFrame:
     policy = lookup(access.policy_of(i.requests))
-    return access.policy_join(i.requests, policy).select("request_id", "role", "region_scope", "pillar_scope", "allowed")
+    return access.policy_join(i.requests, policy).select(
+        "request_id", "role", "region_scope", "pillar_scope", "allowed")
 
 
 @query

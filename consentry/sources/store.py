@@ -131,8 +131,8 @@ def compact(
 
     What an erasure replaced is gone from storage afterwards, unless ``retain`` asks to keep that
     many older snapshots for readers that still hold them; the compaction after those drops them.
-    Batches that arrive meanwhile stay in the log. A crash in between leaves a log whose folded part is folded again, which changes
-    nothing.
+    Batches that arrive meanwhile stay in the log. A crash in between leaves a log whose folded part
+    is folded again, which changes nothing.
     """
     batches = _numbered(spark, f"{root}/writes", "batch_id=", complete=False)
     old = versions(spark, root)
