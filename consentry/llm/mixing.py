@@ -152,7 +152,8 @@ def mix(
     lang: str = "lang", targets: Mapping[str, Target] = TARGETS, budget: float = 0.8, seed: int = 1,
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``row`` (the document, or its columns ``keep``), its cell, ``n`` (tokens), ``probability``, ``u`` and ``kept``."""
+    """``row`` (the document, or its columns ``keep``), its cell, ``n`` (tokens), ``weight``,
+    ``probability``, ``u`` and ``kept``."""
     prepare(docs.sparkSession)
     # Written once, so that the patterns and counts over the texts are not computed again.
     named = stage(docs.select(

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from consentry.llm import decontaminate, mixing, neardup, quality, tokens
 from consentry.llm.common import prepare, table

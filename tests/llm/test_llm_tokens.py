@@ -15,7 +15,8 @@ from consentry.llm.queries import QUERIES
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 VOCABULARY, WHOLE = Path(WORD).read_text(), Tokenizer.from_file(WORD)
 TEXTS = ["Hello, World! it's", None, "", " \t\n", "a b c d\x1ce", "é ế ΣΑΣ Σ",
-         "x\x01 \x01y THE. don't. Don'T; «Σ». e\u0301. E\u0301! a.b c..", "I'm 12 3/4 ''ll", "word " * 3000, "Hello, World! it's"]
+         "x\x01 \x01y THE. don't. Don'T; «Σ». e\u0301. E\u0301! a.b c..",
+         "I'm 12 3/4 ''ll", "word " * 3000, "Hello, World! it's"]
 
 
 def expected(path, texts, end):
