@@ -13,8 +13,8 @@ classes of the link graph, not every link, so candidates are tried in this order
 
 1. Each entry's least node is its hub. Every node tries the hubs it shares most entries with.
    That is linear in the entries, however many nodes share one.
-2. Entries whose nodes then still belong to several classes are looked at in blocks of bounded
-   size; of each node the nearest partner of another class is tried.
+2. Entries (of some chunks) whose nodes then still belong to several classes are looked at in blocks
+   of bounded size; of each node the nearest partner of another class is tried.
 3. What still lies in several classes is tried exhaustively: all candidate pairs of different
    classes, checked within the blocks, so that they never become rows. Nothing is
    capped: after this, no candidate pair between two classes is untried.
@@ -49,6 +49,9 @@ DISTANCE = 2 * CHUNKS - 1
 FAR = 34
 #: Hubs a node tries before entries are looked at in blocks.
 HUBS = 3
+#: Entries in which the nearest partner is looked for, those of the first chunks; the exhaustive
+#: search that follows looks at all.
+NEAREST_PLACES = 25
 #: Nodes of one entry that are compared with another block of as many at once.
 BLOCK = 512
 
@@ -398,7 +401,8 @@ def near_classes(
             F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("entry"))
         return entered.join(mixed, "entry").join(known, "node")
 
-    pairs = _nearest(stage(_nearest_pairs(unsettled(links))))
+    some_entries = unsettled(links).filter(F.col("place") < NEAREST_PLACES)
+    pairs = _nearest(stage(_nearest_pairs(some_entries)))
     links = stage(links.unionByName(_confirm(pairs, sets, percent)))
     links = stage(links.unionByName(_all_links(unsettled(links), sets, percent)))
 
