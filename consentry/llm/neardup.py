@@ -53,7 +53,7 @@ HUBS = 3
 #: search that follows looks at all.
 NEAREST_PLACES = 25
 #: Nodes of one entry that are compared with another block of as many at once.
-BLOCK = 512
+BLOCK = 2048
 
 _SEED = np.random.default_rng(20).integers(1, 1 << 63, PLACES, dtype=np.uint64) * 2 + 1
 
