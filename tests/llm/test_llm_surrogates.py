@@ -101,6 +101,23 @@ def test_clean_texts_stay(spark):
     assert cleaned(spark, texts) == texts
 
 
+@pytest.mark.parametrize("prefix", [
+    "password=", "passwd=", "secret=", "api_key=", "token=", "password: ", 'token = "'])
+def test_a_secret_alone_without_digits_is_found(spark, prefix):
+    text = prefix + "correct-horse-battery"
+    rows = spark.createDataFrame([(1, text, "", 1)], SCHEMA)
+    got = surrogates.replace(rows, key="k").first()
+    assert got.n_entities == 1 and got.clean.startswith(prefix)
+    assert "correct" not in got.clean and len(got.clean) == len(text)
+
+
+@pytest.mark.parametrize("entity", ["AKIA" + "QWERTYUIOPASDFGH", "abcdefab" * 4])
+def test_a_key_alone_without_digits_is_found(spark, entity):
+    got = surrogates.replace(
+        spark.createDataFrame([(1, f"the {entity} one", "", 1)], SCHEMA), key="k").first()
+    assert got.n_entities == 1 and entity not in got.clean
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "a.b@c.example.com", "", 1), (1, "a.b@c.example.com", "", 2),
             (None, "at 10.1.2.3", "", 1), (1, "10.1.2.3 again", "", 1)]
