@@ -5,7 +5,9 @@ secrets and names after a title are found by pattern; a name found once in a doc
 wherever it stands there. Each entity has a canonical form (digits without separators, lower-case
 address, a name's lower-case word), and each canonical form one surrogate, drawn from a keyed hash:
 
-* digits become digits, letters become letters of the same script and case, separators stay;
+* digits become digits, letters and marks become such of the same script and case (of a script that
+  is not listed: Latin letters, ASCII digits, accents), separators stay; a secret of separators only
+  becomes letters and digits;
 * cards that pass the check-digit test still pass it, and keep their first digit;
 * names are made of syllables of the name's script, given names with an ending of the gender that
   the title tells.
@@ -13,7 +15,7 @@ address, a name's lower-case word), and each canonical form one surrogate, drawn
 So the same entity gets the same surrogate in every document and format (coreference). Two checks
 over all distinct entities of the table see to it that entities stay apart: surrogates that two
 entities share, and surrogates that are an entity of the table themselves, are drawn anew until
-there are none.
+there are none. Where the shape of an address or secret leaves too few choices, later draws are longer.
 
 All of it is built-in functions. Only documents with an entity are joined and rebuilt.
 
@@ -24,6 +26,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +37,15 @@ from consentry.sources.staging import lookup, stage
 # What is looked for.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
-EMAIL = (r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@"
-         r"[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+")
+EMAIL = (r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*+@"
+         r"[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)+")
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"
 CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
 NATIONAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 ACCESS_KEY = r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"
 BEFORE_SECRET = "password=|passwd=|secret=|api_key=|token=|password: |token = \""
-SECRET = rf"(?<={BEFORE_SECRET})[\p{{L}}\p{{N}}_+/.-]{{6,}}+"
+SECRET = rf"(?<={BEFORE_SECRET})[\p{{L}}\p{{M}}\p{{N}}_+/.-]{{6,}}+"
 HEX = r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}(?![\p{L}\p{N}])"
 ENTITY = "|".join((EMAIL, ACCESS_KEY, ACCOUNT, HEX, SECRET, IP, PHONE, NATIONAL, CARD))
 
@@ -72,9 +76,24 @@ ENDINGS = {
 }
 LETTERS = {
     "Latin": "abcdefghijklmnopqrstuvwxyz", "Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя",
-    "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "Greek": "αβγδεζηθικλμνξοπρστυφχψω", "Armenian": "աբգդեզէըթժիլխծկհձղճմնշոչպջռսվտրցփքօֆ",
+}
+#: Blocks of scripts without case, by their first and last letter, mark or digit.
+BLOCKS = {
+    "Hebrew": (0x0591, 0x05EA), "Arabic": (0x0610, 0x06FF), "Devanagari": (0x0900, 0x097F),
+    "Bengali": (0x0980, 0x09FE), "Gurmukhi": (0x0A01, 0x0A75), "Gujarati": (0x0A81, 0x0AFF),
+    "Oriya": (0x0B01, 0x0B71), "Tamil": (0x0B82, 0x0BEF), "Telugu": (0x0C00, 0x0C6F),
+    "Kannada": (0x0C80, 0x0CEF), "Malayalam": (0x0D00, 0x0D7F), "Sinhala": (0x0D81, 0x0DF3),
+    "Thai": (0x0E01, 0x0E59), "Lao": (0x0E81, 0x0ED9), "Tibetan": (0x0F00, 0x0FBC),
+    "Myanmar": (0x1000, 0x109D), "Georgian": (0x10D0, 0x10F0), "Ethiopic": (0x1200, 0x135A),
+    "Khmer": (0x1780, 0x17E9), "Mongolian": (0x1810, 0x1878), "Hiragana": (0x3042, 0x3093),
+    "Katakana": (0x30A2, 0x30F3), "Bopomofo": (0x3105, 0x312F), "Hangul": (0xAC00, 0xD7A3),
+    "Han": (0x4E00, 0x4EFF),
 }
+ACCENTS = "\u0300\u0301\u0302\u0303\u0308"
 DRAWS = 40
+#: From this draw on, addresses and secrets grow by a character a draw.
+LONGER = 8
 
 
 def _kind(entity: Column) -> Column:
@@ -115,18 +134,43 @@ def _pick(values: str | list[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), at % len(options) + 1)
 
 
+def _classes() -> list[tuple[str, str]]:
+    """Patterns of a character and what may stand for it; the first that fits holds."""
+    out = [(r"^\d$", "0123456789")]
+    for script, letters in LETTERS.items():
+        out.append((rf"^(?=\p{{Ll}})\p{{Is{script}}}$", letters))
+        out.append((rf"^(?=\p{{Lu}})\p{{Is{script}}}$", letters.upper()))
+    for script, (first, last) in BLOCKS.items():
+        here = rf"[\p{{Is{script}}}\x{{{first:X}}}-\x{{{last:X}}}]"
+        # A byte picks one; of the many syllables of Hangul, those spread over the block.
+        step = max(1, (last - first + 1) // 256)
+        block = [chr(c) for c in range(first, last + 1, step)]
+        for major in ("L", "M", "Nd"):
+            chars = [c for c in block if unicodedata.category(c).startswith(major)]
+            if major == "Nd":
+                chars = chars[:10]
+            if len(chars) > 1:
+                out.append((rf"^(?=\p{{{major}}}){here}$", "".join(chars[:256])))
+    latin = LETTERS["Latin"]
+    return [*out, (r"^[\p{Lu}\p{Lt}]$", latin.upper()), (r"^\p{L}$", latin),
+            (r"^\p{N}$", "0123456789"), (r"^\p{M}$", ACCENTS)]
+
+
 def _reshaped(canon: Column, stream: Column) -> Column:
-    """Every digit and letter of ``canon`` exchanged for one of its class."""
-    def one(c: Column, k: Column) -> Column:
-        at = _byte(stream, k)
-        out = F.when(c.rlike(r"^\d$"), (at % 10).cast("string"))
-        for script, letters in LETTERS.items():
-            new = F.substring(F.lit(letters), at % len(letters) + 1, F.lit(1))
-            out = out.when(c.rlike(rf"^(?=\p{{Ll}})\p{{Is{script}}}$"), new)
-            out = out.when(c.rlike(rf"^(?=\p{{Lu}})\p{{Is{script}}}$"), F.upper(new))
-        return out.otherwise(c)
+    """Every digit, letter and mark of ``canon`` exchanged for one of its class; if it has none of
+    these, every character for a letter or digit."""
+    def options(c: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None))
+        for pattern, chars in _classes():
+            out = out.when(c.rlike(pattern), F.lit(chars))
+        out = out.when(~canon.rlike(r"[\p{L}\p{M}\p{N}]"), F.lit(LETTERS["Latin"] + "0123456789"))
+        return F.struct(c.alias("c"), out.alias("options"))
+
+    def one(x: Column, k: Column) -> Column:
+        at = _byte(stream, k) % F.length(x["options"]) + 1
+        return F.coalesce(F.substring(x["options"], at, F.lit(1)), x["c"])
 
-    return F.array_join(F.transform(F.split(canon, ""), one), "")
+    return F.array_join(F.transform(F.transform(F.split(canon, ""), options), one), "")
 
 
 def _check_sum(digits: Column) -> Column:
@@ -163,6 +207,8 @@ def _drawn(kind: Column, canon: Column, draw: Column, key: str) -> Column:
     body = F.substring(kept, F.lit(1), F.length(canon) - 1)
     check = (10 - _check_sum(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.when(_check_sum(canon) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(kept)
+    more = F.substring(F.sha2(F.concat(F.lit("more"), seed), 512), F.lit(1), F.greatest(
+        draw - LONGER + 1, F.lit(0)))
     octets = [(_byte(stream, k) % 223 + 1).cast("string") for k in range(4)]
     return (
         F.when(kind.isin("given_m", "given_f", "surname"), _name(canon, kind, stream, draw))
@@ -172,7 +218,7 @@ def _drawn(kind: Column, canon: Column, draw: Column, key: str) -> Column:
         .when(kind == "key", F.concat(F.lit("AKIA"), F.substring(shaped, 5, 16)))
         .when(kind == "account", F.concat(
             F.substring(canon, 1, 2), F.substring(shaped, F.lit(3), F.length(canon) - 2)))
-        .otherwise(shaped))
+        .otherwise(F.concat(more, shaped)))
 
 
 def _formatted(kind: Column, entity: Column, surrogate: Column) -> Column:

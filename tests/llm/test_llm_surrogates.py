@@ -118,6 +118,24 @@ def test_a_key_alone_without_digits_is_found(spark, entity):
     assert got.n_entities == 1 and entity not in got.clean
 
 
+def test_no_part_of_an_entity_stays_in_any_script(spark):
+    """Also secrets that have nothing but separators, and shapes with few choices."""
+    words = ["パスワード鍵語", "密码安全登录", "비밀번호열쇠말", "كلمةالسروقت", "סיסמאחדשה", "रहस्यमयकुंजी",
+             "สวัสดีชาวโลก", "١٢٣٤٥٦٧٨", "ᏣᎳᎩᏗᏍᎦᏃ", "Ⅳ²³ⅧⅨⅩ"]
+    marks = ["password=........", "secret=________", "token=-/-/-/"]
+    few = [f"secret=.....{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [f"password={w}" for w in words] + [f"to {w}@{w}.com now" for w in words] + marks + few
+    got = cleaned(spark, texts)
+    for word, secret, mail in zip(words, got, got[len(words):]):
+        new = secret.removeprefix("password=")
+        local, domain = re.fullmatch(r"to ([^@ ]+)@([^@ ]+)\.\w+ now", mail).groups()
+        for other in (new, local, domain):
+            # A character may stand for itself by chance; no part does.
+            assert len(other) == len(word) and sum(a == b for a, b in zip(word, other)) <= 3
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    assert all(re.search(r"=[a-z0-9]+$", t) for t in got[2 * len(words):2 * len(words) + 3])
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "a.b@c.example.com", "", 1), (1, "a.b@c.example.com", "", 2),
             (None, "at 10.1.2.3", "", 1), (1, "10.1.2.3 again", "", 1)]
