@@ -15,7 +15,8 @@ address, a name's lower-case word), and each canonical form one surrogate, drawn
 So the same entity gets the same surrogate in every document and format (coreference). Two checks
 over all distinct entities of the table see to it that entities stay apart: surrogates that two
 entities share, and surrogates that are an entity of the table themselves, are drawn anew until
-there are none. Where the shape of an address or secret leaves too few choices, later draws are longer.
+there are none. Later draws of names, and those of addresses and secrets whose shape leaves too few
+choices, are longer.
 
 All of it is built-in functions. Only documents with an entity are joined and rebuilt.
 
@@ -187,12 +188,21 @@ def _check_sum(digits: Column) -> Column:
 
 
 def _name(canon: Column, kind: Column, stream: Column, draw: Column) -> Column:
+    """Two syllables and an ending; from the third draw on a syllable more with each draw, so the
+    space grows past any number of names."""
     out = None
+    # The fourth byte is the ending's.
+    places = F.transform(
+        F.sequence(F.lit(0), F.greatest(draw, F.lit(1))), lambda k: k + (k > 2).cast("int"))
+
+    def syllables(script: str) -> Column:
+        return F.array_join(
+            F.transform(places, lambda k: _pick(SYLLABLES[script], _byte(stream, k))), "")
+
     for script in ("Cyrillic", "Greek", "Latin"):
         for code, test in (("m", kind == "given_m"), ("f", kind == "given_f"), ("s", F.lit(True))):
-            parts = [_pick(SYLLABLES[script], _byte(stream, k)) for k in range(2)]
-            longer = F.when(draw > 1, _pick(SYLLABLES[script], _byte(stream, 2))).otherwise("")
-            made = F.concat(*parts, longer, _pick(ENDINGS[script, code], _byte(stream, 3)))
+            made = F.concat(
+                syllables(script), _pick(ENDINGS[script, code], _byte(stream, 3)))
             fits = test & (F.lit(True) if script == "Latin" else canon.rlike(rf"\p{{Is{script}}}"))
             out = F.when(fits, made) if out is None else out.when(fits, made)
     return out

@@ -90,6 +90,15 @@ def test_a_space_that_is_too_small_is_refused(spark, monkeypatch):
         cleaned(spark, [f"Mr {a}son" for a in "ABCDEF"])
 
 
+def test_more_names_than_short_surrogates(spark, monkeypatch):
+    """Names of two or three syllables are 24 here; 60 names are kept apart by longer ones."""
+    monkeypatch.setattr(surrogates, "SYLLABLES", dict.fromkeys(surrogates.SYLLABLES, "ba be"))
+    monkeypatch.setattr(surrogates, "ENDINGS", dict.fromkeys(surrogates.ENDINGS, "x z"))
+    names = [f"Mr {a}{b}{c}son" for a in "ABCDEF" for b in "aeiou" for c in "lm"]
+    got = cleaned(spark, names)
+    assert len(set(got)) == len(names) and not set(got) & set(names)
+
+
 def test_key_matters(spark):
     texts = ["mail a.b@c.example.com now"]
     assert cleaned(spark, texts) == cleaned(spark, texts) != cleaned(spark, texts, key="other")
