@@ -3,8 +3,8 @@
 A text becomes lower-case letters with single spaces; its two- and three-byte grams are counted in
 ``BINS`` hashed bins, weighted by log frequency and inverse document frequency, and the vector is
 normalised. Document frequencies are counted over *all* training rows. Per language, spherical
-k-means places ``CENTROIDS`` centroids, fitted on at most ``SAMPLE`` texts a language in
-expectation (those with the smallest hash), one group per language. A text gets the language of the
+k-means places ``CENTROIDS`` centroids, fitted on ``SAMPLE`` distinct texts a language in
+expectation (those with the smallest hash), or all if there are fewer, one group per language. A text gets the language of the
 centroid with the greatest cosine. It is *rejected* when that cosine is below what nearly all
 training texts of the language's sample reach (``QUANTILE``, less ``MARGIN``).
 
@@ -147,13 +147,14 @@ def fit(
     seen, n = _frequencies(docs, "text")
     idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
     shared = spark.sparkContext.broadcast(idf)
+    # Copies of a text share its hash, so the share is one of the distinct texts.
     share = {r.lang: min(1.0, sample / r.n) for r in docs.groupBy("lang").agg(
-        F.count("*").alias("n")).collect()}
+        F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not share:
         return Model(idf, np.zeros((0, BINS)), (), {})
     keep = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
     u = (F.xxhash64("text", F.lit("language")).bitwiseAND(F.lit((1 << 52) - 1))) / (1 << 52)
-    # Copies of a text share its hash; one of them is enough, and keeps a group's size bounded.
+    # One copy of a text is enough, and keeps a group's size bounded.
     chosen = docs.filter(u < keep[F.col("lang")]).distinct()
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:

@@ -63,6 +63,21 @@ def test_language_edge_cases(spark):
     assert not by[4].rejected
 
 
+def test_language_that_is_mostly_copies_is_learned(spark):
+    """20,000 copies of one text leave the other texts of the language in the model."""
+    words = "und der hund die katze sind nicht da wir gehen heute nach haus".split()
+    other = [" ".join(words[(k * j) % len(words)] for j in range(1, 9)) for k in range(1, 31)]
+    rows = spark.createDataFrame(
+        [(t, "dn") for t in other] + [(TEXTS[0] + " x" * k, "en") for k in range(30)],
+        "text string, lang string")
+    copies = spark.range(20_000).select(F.lit("ein text der oft da ist").alias("text"),
+                                        F.lit("dn").alias("lang"))
+    plain, skewed = (language.fit(df, sample=40) for df in (rows, rows.union(copies)))
+    assert plain.languages.count("dn") == skewed.languages.count("dn") == language.CENTROIDS
+    got = language.predict(rows, skewed).select("row.lang", "lang_pred").collect()
+    assert all(r.lang == r.lang_pred for r in got)
+
+
 def test_language_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id int, text string, lang string")
     model = language.fit(docs)
