@@ -7,9 +7,10 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
-    SQLTransformer, StringIndexer,
+    IDF, CountVectorizer, ElementwiseProduct, HashingTF, IndexToString, NGram, Normalizer,
+    RegexTokenizer, SQLTransformer, StringIndexer,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,13 +110,17 @@ def _grams() -> list:
     ]
 
 
-def fit(labelled: DataFrame, max_vocabulary: int = 1 << 18) -> PipelineModel:
+def fit(
+    labelled: DataFrame, max_vocabulary: int = 1 << 18, hashed: int | None = None
+) -> PipelineModel:
     """Train on ``(text, intent)``.
 
     Inverse document frequencies are smoothed and shifted by one, vectors have unit length, and
     the penalty is that of C = 1: half the squared weights against the summed loss. The model, a
     weight per gram and intent, is held by the driver. Rows with more than ``max_vocabulary`` grams
-    between them are refused with ``ValueError``; no gram is left out.
+    between them are refused with ``ValueError``; no gram is left out. With ``hashed`` they are not
+    refused: all grams of all rows are hashed to so many features, which bounds the model, and grams
+    that share a feature share its weight.
     """
     labelled = labelled.select("text", "intent").persist()
     try:
@@ -125,9 +130,12 @@ def fit(labelled: DataFrame, max_vocabulary: int = 1 << 18) -> PipelineModel:
                 inputCol="_grams", outputCol="_counts", vocabSize=max_vocabulary + 1)]
         ).fit(labelled)
         if len(counts.stages[-1].vocabulary) > max_vocabulary:
-            raise ValueError(
-                f"the labelled rows hold more than {max_vocabulary} grams; fit on fewer rows or "
-                "raise max_vocabulary")
+            if hashed is None:
+                raise ValueError(
+                    f"the labelled rows hold more than {max_vocabulary} grams; fit on fewer rows, "
+                    "raise max_vocabulary or let them be hashed")
+            counts = PipelineModel([*counts.stages[:-1], HashingTF(
+                numFeatures=hashed, inputCol="_grams", outputCol="_counts")])
         idf = IDF(inputCol="_counts", outputCol="_x").fit(counts.transform(labelled)).idf
         weigh = ElementwiseProduct(
             inputCol="_counts", outputCol="_weighted",
@@ -172,6 +180,29 @@ def weights(spark: SparkSession, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame(rows, "intent string, gram string, weight double")
 
 
+def gram_weights(labelled: DataFrame, model: PipelineModel) -> DataFrame:
+    """The model as rows ``(intent, gram, weight)``, for all grams of ``labelled``.
+
+    Grams are counted and weighed by executors: a gram alone has its weights as margins, less the
+    intercepts.
+    """
+    tokens, counter = PipelineModel(model.stages[:3]), model.stages[3]
+    classifier, labels = model.stages[-2], model.stages[-1].getLabels()
+    grams = tokens.transform(labelled.select("text")).select(
+        F.explode("_grams").alias("gram")).distinct()
+    alone = counter.transform(grams.withColumn("_grams", F.array("gram")))
+    margins = classifier.transform(alone.withColumn("_features", F.col("_counts")))
+    # Rows of one intent have an infinite intercept and no weights.
+    intercepts = [float(b) for b in classifier.interceptVector]
+    each = F.arrays_zip(
+        F.array(*map(F.lit, labels)).alias("intent"), vector_to_array("_raw").alias("margin"),
+        F.array(*map(F.lit, intercepts)).alias("intercept"))
+    finite = F.abs(F.col("e.intercept")) < float("inf")
+    return margins.select("gram", F.explode(each).alias("e")).select(
+        "e.intent", "gram",
+        F.when(finite, F.col("e.margin") - F.col("e.intercept")).otherwise(0.0).alias("weight"))
+
+
 _FITTED: dict[str, PipelineModel] = {}
 
 

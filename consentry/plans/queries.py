@@ -637,8 +637,8 @@ def _by_words(messages: DataFrame) -> DataFrame:
 @query
 def intent_fit(i: Inputs) -> DataFrame:
     """A classifier trained on messages labelled by their words."""
-    model = intent.fit(_by_words(i.messages).select("text", "intent"))
-    return intent.weights(i.spark, model)
+    labelled = _by_words(i.messages).select("text", "intent")
+    return intent.gram_weights(labelled, intent.fit(labelled, hashed=1 << 18))
 
 
 @query
