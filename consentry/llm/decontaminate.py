@@ -130,6 +130,8 @@ def find_items(
     """
     spark = prepare(docs.sparkSession)
     items = items.select(F.col(item_key).alias("id"), F.col(item_text).cast("binary").alias("body"))
+    # Repeats would all fall into one pass; one of them says the same.
+    items = items.distinct()
     id_type = items.schema["id"].dataType.simpleString()
     arrow_id = to_arrow_type(items.schema["id"].dataType)
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0

@@ -82,3 +82,20 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert all(r.hits == [] for r in D.find_items(docs, items).collect())
     assert D.find_items(docs.limit(0), items).collect() == []
+
+
+def test_repeated_items_are_broadcast_once(spark, monkeypatch):
+    context, sent = type(spark.sparkContext), []
+    broadcast = context.broadcast
+
+    def record(self, value):
+        sent.append(value)
+        return broadcast(self, value)
+
+    monkeypatch.setattr(context, "broadcast", record)
+    docs = spark.createDataFrame(DOCS, SCHEMA)
+    items = spark.createDataFrame(ITEMS * 50, "item_id bigint, text string")
+    out = D.find_items(docs, items, max_bytes=200).select("row.*", "items").collect()
+    assert len(sent) == 1 and sum(len(body) for _, body in sent[0]) <= 200
+    assert len(sent[0]) == 5
+    assert all(set(r[-1]) == brute(r.text, ITEMS, 13)[2] - {None} for r in out)
