@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from consentry.llm import (
-    decontaminate, exact, language, mixing, neardup, quality, substring, surrogates, tokens, warc,
+    codes, decontaminate, exact, language, mixing, neardup, quality, substring, surrogates, tokens,
+    warc,
 )
 from consentry.llm.common import fold, table
 from consentry.sources.staging import shared_dir, stage
@@ -121,3 +122,17 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return surrogates.replace(docs, key="registered query").select(
         "row.doc_id", "n_entities", F.col("clean").alias("text"))
+
+
+@query
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    books = codes.fit(vectors)
+    if books is None:
+        return vectors.limit(0).select(
+            "vec_id", F.lit("").alias("code"), F.lit(0).cast("bigint").alias("error"),
+            F.lit(0).cast("bigint").alias("label_error"), F.lit("").alias("codebooks_sha256"))
+    coded = stage(codes.encode(vectors, books, keep=["vec_id", "label"]).select(
+        "row.vec_id", "row.label", "code", "error"))
+    return codes.with_label_error(coded, "label").drop("label").withColumn(
+        "codebooks_sha256", F.lit(books.sha256()))

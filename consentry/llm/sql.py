@@ -117,3 +117,54 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM least_root LEFT JOIN n USING (doc_id)
 """
+
+
+def _codes_sql() -> str:
+    """Four rounds and the last assignment, a step each. Parts of equal length, as in the table."""
+    steps = ["""
+v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+    [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE len([x FOR x IN coalesce(embedding, [NULL]) IF x IS NULL OR NOT isfinite(x)]) = 0
+), pv AS MATERIALIZED (
+  SELECT rid, part, q[part * len(q) // 4 + 1:(part + 1) * len(q) // 4] AS x
+  FROM v CROSS JOIN (SELECT unnest(range(0, 4)) AS part)
+), b0 AS MATERIALIZED (
+  SELECT part, rid - 1 AS entry, x AS c FROM pv WHERE rid <= 256
+)"""]
+    for k in range(5):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT rid, part, min({{'far': far, 'entry': entry}}) AS best FROM (
+    SELECT rid, pv.part, entry,
+      list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)]) AS far
+    FROM pv JOIN b{k} ON pv.part = b{k}.part)
+  GROUP BY rid, part
+)""")
+        if k < 4:
+            steps.append(f"""
+m{k} AS (
+  SELECT part, entry, pos, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (
+    SELECT a{k}.part, best.entry AS entry, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS y
+    FROM a{k} JOIN pv USING (rid, part))
+  GROUP BY part, entry, pos
+), b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list(y ORDER BY pos) AS c FROM m{k} GROUP BY part, entry) n
+    ON b.part = n.part AND b.entry = n.entry
+)""")
+    return "WITH" + ",".join(steps) + """, coded AS (
+  SELECT rid, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code,
+    CAST(sum(best.far) AS BIGINT) AS error
+  FROM a4 GROUP BY rid
+), books AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS h FROM b4
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  h AS codebooks_sha256
+FROM coded JOIN v USING (rid) CROSS JOIN books
+"""
+
+
+ORACLE_SQL["op11_codes"] = _codes_sql()

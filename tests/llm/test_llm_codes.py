@@ -1,0 +1,133 @@
+import hashlib
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from consentry.llm import codes
+
+SCHEMA = "vec_id bigint, embedding array<double>, label int, code string, row int"
+
+
+def plain(rows, entries=256, rounds=4):
+    """(vec_id, code, error) per usable vector and all final components, with Python's integers."""
+    vectors = [
+        (r[0], r[1]) for r in rows
+        if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
+    vectors.sort(key=lambda v: (v[0] is None, v[0] or 0, v[1]))
+    size = -(-max(len(v) for _, v in vectors) // 4)
+    whole = [[math.floor(Fraction(x) * 1024) for x in v] + [0] * (4 * size - len(v)) for _, v in vectors]
+    parts = [[w[p * size:(p + 1) * size] for p in range(4)] for w in whole]
+    books = [[parts[k][p] for k in range(min(entries, len(parts)))] for p in range(4)]
+
+    def far(a, b):
+        return sum((x - y) ** 2 for x, y in zip(a, b))
+
+    def assign():
+        return [[min(range(len(b)), key=lambda e: (far(w[p], b[e]), e)) for p, b in enumerate(books)]
+                for w in parts]
+
+    for _ in range(rounds):
+        got = assign()
+        for p, book in enumerate(books):
+            for e in range(len(book)):
+                mine = [w[p] for w, g in zip(parts, got) if g[p] == e]
+                if mine:
+                    book[e] = [sum(c) // len(mine) for c in zip(*mine)]
+    out = [(k, "".join(f"{e:02x}" for e in g), sum(far(w[p], books[p][g[p]]) for p in range(4)))
+           for (k, _), w, g in zip(vectors, parts, assign())]
+    return out, [v for b in books for e in b for v in e]
+
+
+def check(spark, rows, monkeypatch, entries=256):
+    monkeypatch.setattr(codes, "ENTRIES", entries)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    books = codes.fit(df)
+    got = codes.encode(df, books, keep=["vec_id"]).select("row.vec_id", "code", "error").collect()
+    want, components = plain(rows, entries)
+    want = [(k, c, e if e < 1 << 63 else None) for k, c, e in want]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    text = ",".join(map(str, components))
+    assert books.sha256() == hashlib.sha256(text.encode()).hexdigest()
+    return books
+
+
+def random_rows(n, dim, scale, seed):
+    rng = np.random.default_rng(seed)
+    return [(int(k), [float(x) for x in rng.normal(0, scale, dim)], int(k % 3), "c", 1)
+            for k in rng.permutation(n)]
+
+
+@pytest.mark.parametrize("dim, scale, entries", [(8, 0.3, 7), (16, 50_000.0, 5), (7, 1.0, 256)])
+def test_equals_plain_integers(spark, monkeypatch, dim, scale, entries):
+    check(spark, random_rows(60, dim, scale, dim), monkeypatch, entries)
+
+
+def test_nulls_ties_repeats_lengths_and_huge_values(spark, monkeypatch):
+    rows = random_rows(20, 8, 1.0, 1) + [
+        (None, [0.5] * 8, None, "c", 1), (3, [0.25] * 8, 1, "c", 1), (3, [0.25] * 8, 1, "c", 1),
+        (50, None, 1, "c", 1), (51, [0.0] * 7 + [None], 1, "c", 1),
+        (52, [float("nan")] + [0.0] * 7, 1, "c", 1), (53, [float("inf")] + [0.0] * 7, 1, "c", 1),
+        (54, [-1.0, 2.0], 1, "c", 1), (55, [], 1, "c", 1),
+    ]
+    check(spark, rows, monkeypatch, 6)
+    check(spark, [*rows, (56, [1e300, -1e18, 5e6] + [0.0] * 5, 1, "c", 1)], monkeypatch, 6)
+
+
+def test_errors_of_labels(spark):
+    rows = [("a", 1, 5), ("b", 1, 7), ("c", None, 2), ("d", None, 3), ("e", 2, None), ("f", 2, 1),
+            ("g", 3, 2**62), ("h", 3, 2**62)]
+    df = spark.createDataFrame(rows, "id string, label int, error bigint")
+    got = {r.id: r.label_error for r in codes.with_label_error(df, "label").collect()}
+    assert got == {"a": 12, "b": 12, "c": 5, "d": 5, "e": None, "f": None, "g": None, "h": None}
+
+
+def test_no_vectors(spark):
+    df = spark.createDataFrame([(1, None, 1, "c", 1)], SCHEMA)
+    assert codes.fit(df) is None and codes.fit(df.limit(0)) is None
+
+
+def test_decoded_vectors_are_near(spark):
+    df = spark.createDataFrame(random_rows(40, 8, 0.3, 9), SCHEMA)
+    books = codes.fit(df)
+    coded = codes.encode(df, books).select("row.embedding", "code", "error")
+    for r in codes.decode(coded, books).collect():
+        far = sum((math.floor(1024 * a) - 1024 * b) ** 2 for a, b in zip(r.embedding, r.decoded))
+        assert far == r.error
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_products_of_limbs_are_exact(data):
+    size = data.draw(st.sampled_from([1, 3, 16, 50]))
+    top = codes.narrow(size)
+    value = st.integers(-top, top) | st.sampled_from([-top, top, 0, -1, 1])
+    rows = st.lists(st.lists(value, min_size=size, max_size=size), min_size=1, max_size=4)
+    x, y = np.array(data.draw(rows), np.int64), np.array(data.draw(rows), np.int64)
+    for bits in (codes.limb_bits(size), 7):
+        want = x.astype(object) @ y.astype(object).T
+        assert (codes.products(x, y, bits).astype(object) == want).all()
+        far = ((x[:, None].astype(object) - y[None]) ** 2).sum(axis=2)
+        best, least = codes.nearest(x, y, bits)
+        assert best.tolist() == [int(np.argmin(r)) for r in far]
+        assert least.tolist() == [min(r) for r in far]
+
+
+def test_limbs_stay_below_the_exact_bound():
+    for size in (1, 2, 3, 16, 17, 64, 1000):
+        assert size * 4 ** (codes.limb_bits(size) - 1) < 2**53
+    parts = codes.limbs(np.array([[-(2**30), 2**30, 12345, -1]]), 8)
+    assert len(parts) == 4 and max(abs(p).max() for p in parts) <= 128
+    assert (sum(p * 256.0**k for k, p in enumerate(parts)) == [[-(2**30), 2**30, 12345, -1]]).all()
+
+
+def test_the_driver_gets_sums_and_not_vectors(spark):
+    df = spark.range(3000).select(
+        F.col("id").alias("vec_id"),
+        F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(i * F.col("id"))).alias("embedding"))
+    one, many = codes.fit(df.repartition(1)), codes.fit(df.repartition(9))
+    assert one.sha256() == many.sha256()
