@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from consentry.llm import (
-    codes, decontaminate, exact, language, mixing, neardup, quality, substring, surrogates, tokens,
-    warc,
+    codes, decontaminate, exact, language, mixing, neardup, packing, quality, substring, surrogates,
+    tokens, warc,
 )
 from consentry.llm.common import fold, table
 from consentry.sources.staging import shared_dir, stage
@@ -136,3 +136,13 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.vec_id", "row.label", "code", "error"))
     return codes.with_label_error(coded, "label").drop("label").withColumn(
         "codebooks_sha256", F.lit(books.sha256()))
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(
+        table(spark, sf_dir, "documents", "doc_id", "text"),
+        public_tokenizers.path("word_bpe_49k.json"), word_level=True,
+    ).withColumnRenamed("key", "doc_id")
