@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from consentry.llm import (
     codes, decontaminate, exact, language, mixing, neardup, packing, quality, substring, surrogates,
-    tokens, warc,
+    tokens, trie, warc,
 )
 from consentry.llm.common import fold, table
 from consentry.sources.staging import shared_dir, stage
@@ -146,3 +146,9 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents", "doc_id", "text"),
         public_tokenizers.path("word_bpe_49k.json"), word_level=True,
     ).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(
+        table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))

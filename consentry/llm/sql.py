@@ -168,3 +168,56 @@ FROM coded JOIN v USING (rid) CROSS JOIN books
 
 
 ORACLE_SQL["op11_codes"] = _codes_sql()
+
+# crc32 is written out bit by bit: a value is exclusive-or-ed in, -1 shifts by one bit.
+ORACLE_SQL["op13_trie"] = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+  FROM conversations
+), c AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+    list_concat([4294967295], flatten([
+      [CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+      FOR i IN range(1, len(CAST(conv_id AS VARCHAR)) + 1)])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b)
+      ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+), size AS (
+  SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id
+), r AS MATERIALIZED (
+  SELECT c.conv_id, p AS d, role, text FROM c JOIN t ON t.conv_id = base AND p <= h
+  UNION ALL
+  SELECT c.conv_id, least(h, coalesce(n, 0)) + p - h, role, text
+  FROM c JOIN t ON t.conv_id = c.conv_id AND p > h LEFT JOIN size ON size.conv_id = base
+), seq AS MATERIALIZED (
+  SELECT conv_id, count(d) AS len,
+    coalesce(list(sha256(len(role) || ':' || role || text) ORDER BY d) FILTER (d IS NOT NULL), []) AS s,
+    coalesce(list(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) ORDER BY d)
+      FILTER (d IS NOT NULL), []) AS w
+  FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id
+), m AS MATERIALIZED (
+  SELECT conv_id, len, d, md5(array_to_string(s[1:d], ',')) AS k,
+    CASE WHEN d > 0 THEN md5(array_to_string(s[1:d - 1], ',')) END AS up,
+    CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words
+  FROM (SELECT *, unnest(range(0, len + 1)) AS d FROM seq)
+), node AS MATERIALIZED (
+  SELECT d, k, min(conv_id) AS conv_id, min(up) AS up, count(*) AS n_convs, min(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+      FILTER (len = d), '')) AS ends_sha256
+  FROM m GROUP BY d, k
+), child AS (
+  SELECT d - 1 AS d, up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2
+), sized AS MATERIALIZED (
+  SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN child USING (d, k)
+), below AS (
+  SELECT m.d, m.k, count(*) FILTER (n_children = 0) AS n_leaves,
+    sum((n_convs - 1) * sized.words) AS saved
+  FROM sized JOIN m ON m.conv_id = sized.conv_id AND m.d <= sized.d GROUP BY m.d, m.k
+)
+SELECT sized.conv_id, CAST(sized.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id,
+  sized.n_convs, sized.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sized.ends_sha256
+FROM sized JOIN below USING (d, k)
+LEFT JOIN node parent ON parent.d = sized.d - 1 AND parent.k = sized.up
+"""
