@@ -14,8 +14,7 @@ from consentry.spec import DEFAULT_SPEC, RegistrySpec
 
 def extract(spark: SparkSession, csv_path: str, stage_path: str | None = None) -> DataFrame:
     """Read the raw CSV and keep it untouched as a staged table, with the order of its rows."""
-    rows = files.read_registry_csv(spark, csv_path)
-    return stage(rows.withColumn(FILE_ORDER, F.monotonically_increasing_id()), stage_path)
+    return stage(files.read_registry_csv(spark, csv_path, number=FILE_ORDER), stage_path)
 
 
 def transform(extracted: DataFrame, stage_path: str | None = None) -> DataFrame:

@@ -700,3 +700,7 @@ def _build() -> dict[str, str]:
 
 
 ORACLE_SQL = _build()
+
+ORACLE_SQL["scan_quoted_csv"] = """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, text FROM documents
+"""

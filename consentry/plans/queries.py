@@ -56,6 +56,16 @@ def scan_registry_csv(i: Inputs) -> DataFrame:
     return files.read_registry_csv(i.spark, _raw_csv(i))
 
 
+@query
+def scan_quoted_csv(i: Inputs) -> DataFrame:
+    """Whole documents, with line breaks and quotes, written as CSV and read by ranges."""
+    path = shared_dir(i.spark) + "/documents"
+    docs = tables.load(i.spark, i.sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "lang", "source", "text")
+    files.write_csv(docs, path)
+    return files.read_registry_csv(i.spark, path, docs.schema)
+
+
 @query
 def scan_report(i: Inputs) -> DataFrame:
     return files.scan_report(files.read_registry_csv(i.spark, _raw_csv(i)))

@@ -7,30 +7,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from consentry.sources.csv_ranges import read_csv_ranges
 from consentry.spec import EVENT_COLUMNS, EVENT_SCHEMA, REGISTRY_CSV_SCHEMA
 
 # Blanks around values are data for the cleansing step, so neither side may trim them.
-_CSV = {
-    "header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-    "escape": '"',
-}
+_VALUES = {
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'}
+_CSV = {"header": "true", **_VALUES}
 CORRUPT = "_corrupt_record"
 PAYLOAD = "payload"
 
 
 def read_registry_csv(
     spark: SparkSession, path: str, schema: T.StructType = REGISTRY_CSV_SCHEMA,
-    line_breaks: bool = True,
+    line_breaks: bool = True, number: str | None = None,
 ) -> DataFrame:
     """A headered CSV as text columns; leading zeros and plus signs survive.
 
-    Quoted values may hold line breaks, which costs splitting: a file is read by one task. Without
-    ``line_breaks`` large files are split, and a row that such a value tears apart is refused.
+    Quoted values may hold line breaks: large files are split all the same, for which they are
+    scanned twice (``csv_ranges``). Without ``line_breaks`` once is enough, and a row that such a
+    value tears apart is refused. ``number`` adds a column of that name with the order of the rows.
     Raises ``FileNotFoundError`` if there is no such path.
     """
-    how = {"multiLine": "true"} if line_breaks else {"multiLine": "false", "mode": "FAILFAST"}
     try:
-        return spark.read.schema(schema).options(**_CSV, **how, enforceSchema="false").csv(path)
+        if line_breaks:
+            return read_csv_ranges(spark, path, schema, _VALUES, number)
+        how = {**_CSV, "multiLine": "false", "mode": "FAILFAST", "enforceSchema": "false"}
+        rows = spark.read.schema(schema).options(**how).csv(path)
+        return rows.withColumn(number, F.monotonically_increasing_id()) if number else rows
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(path) from e
