@@ -23,28 +23,29 @@ AUDIT_COLUMNS = (
 )
 
 
-def _rows(
-    df: DataFrame, seq: str, at: Column, operator: Column, action: Column, target: Column,
-    details: Column,
-) -> DataFrame:
-    return df.select(
-        F.col(seq).cast("bigint").alias("seq"),
-        at.alias("timestamp"),
-        operator.alias("operator"),
-        action.alias("action_type"),
-        target.alias("target_beneficiary_id"),
-        details.alias("details"),
-        F.lit(LOCAL_ADDRESS).alias("ip_address"),
-        F.lit(0).alias("is_anomaly"),
-    )
+def _columns(
+    seq: str, at: Column, operator: Column, action: Column, target: Column, details: Column
+) -> dict[str, Column]:
+    return {
+        "seq": F.col(seq).cast("bigint"), "timestamp": at, "operator": operator,
+        "action_type": action, "target_beneficiary_id": target, "details": details,
+        "ip_address": F.lit(LOCAL_ADDRESS), "is_anomaly": F.lit(0),
+    }
+
+
+def _rows(df: DataFrame, *columns: str | Column) -> DataFrame:
+    return df.select(*[c.alias(name) for name, c in _columns(*columns).items()])
+
+
+def ingest_columns(seq: str, at: Column) -> dict[str, Column]:
+    return _columns(
+        seq, at, F.lit(INGEST_OPERATOR), F.lit("BENEFICIARY_INGEST"), F.col(KEY),
+        F.format_string(INGEST_DETAILS, KEY, "pillar"))
 
 
 def ingest_audit(routed: DataFrame, seq: str, at: Column) -> DataFrame:
-    return _rows(
-        routed.filter(F.col("ingest_status") == quality.SUCCESS), seq, at,
-        F.lit(INGEST_OPERATOR), F.lit("BENEFICIARY_INGEST"), F.col(KEY),
-        F.format_string(INGEST_DETAILS, KEY, "pillar"),
-    )
+    accepted = routed.filter(F.col("ingest_status") == quality.SUCCESS)
+    return accepted.select(*[c.alias(name) for name, c in ingest_columns(seq, at).items()])
 
 
 def change_audit(
@@ -105,14 +106,15 @@ def disclosure_audit(gated: DataFrame, seq: str, at: Column) -> DataFrame:
     )
 
 
+def quarantine_columns(seq: str, at: Column) -> dict[str, Column]:
+    return {"event_id": F.col(seq).cast("bigint"), "timestamp": at, "raw_payload": F.col("raw"),
+            "failure_reasons": F.col("failure_reasons")}
+
+
 def quarantine_rows(routed: DataFrame, seq: str, at: Column) -> DataFrame:
     """Rejected events with the reasons and the payload as it came (column ``raw``)."""
-    return routed.filter(F.col("ingest_status") != quality.SUCCESS).select(
-        F.col(seq).cast("bigint").alias("event_id"),
-        at.alias("timestamp"),
-        F.col("raw").alias("raw_payload"),
-        "failure_reasons",
-    )
+    rejected = routed.filter(F.col("ingest_status") != quality.SUCCESS)
+    return rejected.select(*[c.alias(name) for name, c in quarantine_columns(seq, at).items()])
 
 
 def newest_first(log: DataFrame, *order: str, limit: int | None = None) -> DataFrame:

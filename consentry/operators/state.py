@@ -46,8 +46,12 @@ WRITE_COLUMNS = ("seq", "op", "operator", *REGISTRY_COLUMNS)
 
 def ingest_writes(rows: DataFrame, seq: Column) -> DataFrame:
     """Accepted registrations as writes of all columns."""
-    return rows.select(
-        seq.cast("bigint").alias("seq"), F.lit(INGEST).alias("op"), _nobody(), *REGISTRY_COLUMNS)
+    return rows.select(*[c.alias(name) for name, c in ingest_columns(seq).items()])
+
+
+def ingest_columns(seq: Column) -> dict[str, Column]:
+    return {"seq": seq.cast("bigint"), "op": F.lit(INGEST), "operator": _nobody(),
+            **{c: F.col(c) for c in REGISTRY_COLUMNS}}
 
 
 def _nobody() -> Column:

@@ -695,6 +695,9 @@ def _build() -> dict[str, str]:
         "else 'QUARANTINE' end as log, failure_reasons from routed union all "
         "select event_seq, 'AUDIT', '' from routed where ingest_status = 'SUCCESS'",
         "stream_upsert": "select * from registry",
+        "stream_payload_registry": "select " + ", ".join(REGISTRY_COLUMNS) + " from (select *, "
+        f"row_number() over (partition by {KEY} order by event_seq desc) as n from routed "
+        "where ingest_status = 'SUCCESS' and event_seq % 97 <> 0) where n = 1",
     }
     return {name: _with(body) for name, body in sql.items()}
 

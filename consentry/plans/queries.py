@@ -18,6 +18,7 @@ from consentry.plans import batch
 from consentry.plans.inputs import AFTER_ALL, Inputs
 from consentry.plans.messages import handle_classified, handle_messages
 from consentry.sources import files, store, tables
+from consentry.sources.payload_log import read_payload_log
 from consentry.sources.staging import lookup, shared_dir, stage
 from consentry.spec import (
     ALL, BATCH_RULES, DEFAULT_SPEC, EVENT_COLUMNS, FLAGS, KEY, PII, REGISTRY_COLUMNS, ROW_RULES,
@@ -109,12 +110,19 @@ def _payload_lines(i: Inputs) -> DataFrame:
         "value", F.when(F.col("event_seq") % 97 == 0, cut).otherwise(F.col("value")))
 
 
+def _payload_folder(i: Inputs) -> str:
+    """Payload files whose lines, file by file, are in the order of arrival."""
+    path = shared_dir(i.spark)
+    lines = _payload_lines(i).repartitionByRange("event_seq").sortWithinPartitions("event_seq")
+    lines.select("value").write.text(path)
+    return path
+
+
 @query
 def source_registration_events(i: Inputs) -> DataFrame:
-    """Payload files read as a stream and drained into a table."""
+    """Payload files read as a stream of (file, byte) offsets and drained into a table."""
     out = shared_dir(i.spark)
-    _payload_lines(i).select("value").write.text(f"{out}/lines")
-    parsed = files.parse_events(files.read_event_lines(i.spark, f"{out}/lines", streaming=True))
+    parsed = files.parse_events(read_payload_log(i.spark, _payload_folder(i), streaming=True))
     drain = (
         parsed.writeStream.format("parquet").option("path", f"{out}/events")
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
@@ -125,6 +133,15 @@ def source_registration_events(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def stream_payload_registry(i: Inputs) -> DataFrame:
+    """The registry after draining payload files: the last arrival by offset wins."""
+    out = shared_dir(i.spark)
+    lines = read_payload_log(i.spark, _payload_folder(i), streaming=True)
+    ingest.start_ingest(files.parse_events(lines), out).awaitTermination()
+    return ingest.registry(i.spark, out).drop("row_order")
+
+
 def _audit_frame(i: Inputs) -> DataFrame:
     requests = access.access_audit(
         access.mask_decision(i.features.withColumn("is_anomaly", F.lit(0)))

@@ -17,8 +17,9 @@ from consentry.models.forest import IsolationForest
 from consentry.operators import access, audit, report, state
 from consentry.plans import batch
 from consentry.plans.messages import MessageOutcome, handle_messages
-from consentry.sources import store
-from consentry.sources.files import append_batch, write_csv
+from consentry.sources import manifest, store
+from consentry.sources.files import append_batch, parse_events, write_csv
+from consentry.sources.payload_log import read_payload_log
 from consentry.sources.staging import discard, lookup, recorded, stage
 from consentry.spec import ALL, DEFAULT_SPEC, KEY, RegistrySpec
 from consentry.streaming import ingest
@@ -52,7 +53,8 @@ class Registry:
 
     ``policy`` has the accounts ``(operator, role, region_scope, pillar_scope)``. Without one, only
     registered people may read, under their own id; everybody else is refused. Without
-    ``sticky_erasure`` a later registration brings an erased record back."""
+    ``sticky_erasure`` a later registration brings an erased record back. ``buckets`` is how many
+    parts a new registry is folded and compacted by: a part is to be worth a few files."""
 
     def __init__(
         self,
@@ -63,9 +65,11 @@ class Registry:
         intents: PipelineModel | None = None,
         spec: RegistrySpec = DEFAULT_SPEC,
         sticky_erasure: bool = True,
+        buckets: int = manifest.BUCKETS,
     ):
         self.sticky_erasure, self._staged = sticky_erasure, []
         self.spark, self.root, self.spec = spark, root.rstrip("/"), spec
+        manifest.create(spark, self.root, buckets)
         self.policy = policy if policy is not None else access.no_policy(spark)
         self.forest, self.intents = forest, intents
 
@@ -75,23 +79,30 @@ class Registry:
         """Replace the registry by a raw file, if all of it passes the gate."""
         return batch.run(self.spark, path, clean_csv, self.root)
 
-    def ingest(self, events: DataFrame, batch_id: int) -> None:
+    def ingest(self, events: DataFrame, batch_id: int, at: str | None = None) -> None:
         """One batch of events; running it again changes nothing.
 
         ``events`` has the event columns, or is what ``files.parse_events`` makes of payload lines.
-        ``event_seq`` (an offset of the source) and ``arrived_at`` are added if they are missing.
+        ``event_seq`` (an offset of the source) is added if it is missing, and so is ``arrived_at``,
+        as the time ``at``.
         """
+        when = None if at is None else F.lit(at)
         with recorded(self._staged):
-            ingest.store_batch(events, slot(batch_id), self.root)
+            ingest.store_batch(events, slot(batch_id), self.root, when)
 
     def ingest_stream(self, events: DataFrame):
         """Drain a stream of events; its batch numbers become the registry's."""
         return (
-            events.writeStream.foreachBatch(self.ingest)
+            ingest.timed(events).writeStream.foreachBatch(self.ingest)
             .option("checkpointLocation", f"{self.root}/checkpoint")
             .trigger(availableNow=True).start()
         )
 
+    def ingest_folder(self, path: str):
+        """Drain a folder of payload lines: what was not read before, in the order of its bytes."""
+        lines = read_payload_log(self.spark, path, streaming=True)
+        return self.ingest_stream(parse_events(lines.drop("file", "position")))
+
     def change(self, requests: DataFrame, batch_id: int) -> DataFrame:
         """Apply typed change requests; returns those whose record does not exist.
 
@@ -140,9 +151,12 @@ class Registry:
     def _has_log(self) -> bool:
         return not store.read_writes(self.spark, self.root).isEmpty()
 
-    def audit_log(self, limit: int | None = None) -> DataFrame:
+    def audit_log(
+        self, limit: int | None = None, since: str | None = None, until: str | None = None
+    ) -> DataFrame:
+        """Newest first, from ``since`` to before ``until``; only the months between are read."""
         return audit.newest_first(
-            ingest.audited(self.spark, self.root), "batch_id", "seq", limit=limit)
+            ingest.audited(self.spark, self.root, since, until), "batch_id", "seq", limit=limit)
 
     def quarantine(self, limit: int | None = None) -> DataFrame:
         return audit.newest_first(

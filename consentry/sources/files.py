@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from consentry.sources import manifest
 from consentry.sources.csv_ranges import read_csv_ranges
 from consentry.spec import EVENT_COLUMNS, EVENT_SCHEMA, REGISTRY_CSV_SCHEMA
 
@@ -73,34 +74,68 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def numbered(events: DataFrame, at: Column) -> DataFrame:
-    """Events with ``event_seq`` and ``arrived_at``, which a queue or a folder may not give.
+def numbered(events: DataFrame, at: Column | None = None) -> DataFrame:
+    """Events with ``event_seq`` and ``arrived_at``, which a table may not give.
 
     Without an offset of the source, the place in the batch is the order; a batch that is read again
-    from the same files is numbered the same.
+    from the same files is numbered the same. Times are an input: without one they are null.
     """
     if "event_seq" not in events.columns:
         events = events.withColumn("event_seq", F.monotonically_increasing_id())
-    return events if "arrived_at" in events.columns else events.withColumn("arrived_at", at)
+    if "arrived_at" in events.columns:
+        return events
+    return events.withColumn("arrived_at", (F.lit(None) if at is None else at).cast("timestamp_ntz"))
 
 
-def read_event_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Payload files with one JSON object per line, as text."""
-    reader = spark.readStream if streaming else spark.read
-    return reader.schema("value string").text(path)
-
-
-def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Append one batch to a Parquet log; writing the same batch again replaces it, also by none."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
+def logged(
+    df: DataFrame, log: str | Column, batch_id: int | Column, day: Column | None = None,
+    bucket: Column | None = None,
+) -> DataFrame:
+    """``df`` with the columns that say where in the logs its rows go."""
+    none = F.lit(None)
+    return df.withColumns({
+        "log": F.lit(log) if isinstance(log, str) else log,
+        "batch_id": (F.lit(batch_id) if isinstance(batch_id, int) else batch_id).cast("bigint"),
+        "dt": F.trunc((none if day is None else day).cast("date"), "month"),
+        "bucket": (none if bucket is None else bucket).cast("int")})
+
+
+def append_batch(
+    df: DataFrame, path: str, batch_id: int, bucket: Column | None = None
+) -> None:
+    """Make ``df`` the batch ``batch_id`` of the log ``path``, whatever it held before. A column
+    ``timestamp`` lays the rows out by month."""
+    root, _, log = path.rpartition("/")
+    day = F.col("timestamp") if "timestamp" in df.columns else None
+    folder = manifest.write(logged(df, log, batch_id, day, bucket), root)
+    manifest.put(df.sparkSession, root, folder, [(log, batch_id)])
+
+
+def read_log(
+    spark: SparkSession, path: str, schema: T.StructType, paths: list[str] | None = None,
+    since: str | None = None, until: str | None = None,
+) -> DataFrame:
+    """A log with the ``batch_id`` of each row; a log nobody wrote yet is empty.
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet log written by ``append_batch``; a log nobody wrote yet is empty."""
-    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    try:
-        return spark.read.schema(full).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], full)
-        raise
+    ``paths`` are the folders of some batches, all by default. ``since`` and ``until`` (exclusive)
+    bound ``timestamp``; only months between are read.
+    """
+    root, _, log = path.rpartition("/")
+    if paths is None:
+        paths = [p for p, _ in manifest.read(spark, root).batches(log).values()]
+    batch = T.StructField("batch_id", T.LongType())
+    names = [*schema.names, "batch_id"]
+    if not paths:
+        return spark.createDataFrame([], T.StructType([*schema.fields, batch]))
+    places = [
+        T.StructField("write", T.StringType()), T.StructField("log", T.StringType()), batch,
+        T.StructField("dt", T.DateType()), T.StructField("bucket", T.IntegerType())]
+    rows = spark.read.schema(T.StructType([*schema.fields, *places])).option(
+        "basePath", f"{root}/data").parquet(*[f"{root}/{p}" for p in paths])
+    if since is not None:
+        at = F.lit(since).cast("timestamp_ntz")
+        rows = rows.filter((F.col("dt") >= F.trunc(at.cast("date"), "month")) & (F.col("timestamp") >= at))
+    if until is not None:
+        at = F.lit(until).cast("timestamp_ntz")
+        rows = rows.filter((F.col("dt") <= at.cast("date")) & (F.col("timestamp") < at))
+    return rows.select(*names)

@@ -1,8 +1,9 @@
 """Registry storage as plain Parquet: a log of writes and versioned snapshots of their fold.
 
-``<root>/writes/batch_id=N`` holds the writes of one batch, ``<root>/registry/version=N`` a folded
-registry. Readers take the newest complete snapshot and fold the writes after it on top, so nothing
-is ever overwritten under a reader.
+Both are laid out by buckets of the key. Readers take the newest snapshot and fold the writes after
+it on top, bucket by bucket where there are any; compaction does the same and writes those buckets
+alone. What counts is in one manifest (``sources.manifest``), which is replaced as a whole, so nothing
+is ever overwritten under a reader and no call leaves half of its work.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from consentry.operators import state
-from consentry.sources.files import append_batch, read_log
-from consentry.sources.staging import stage
+from consentry.sources import manifest
+from consentry.sources.files import append_batch, logged, read_log
+from consentry.sources.manifest import Manifest, Snapshot
 from consentry.spec import FLAGS, KEY, REGISTRY_COLUMNS
 
 _FIELDS = [
@@ -34,36 +36,17 @@ WRITES_SCHEMA = T.StructType(
 )
 
 
-def _files(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
-
-
-def _numbered(spark: SparkSession, path: str, prefix: str, complete: bool) -> list[int]:
-    fs, at = _files(spark, path)
-    if not fs.exists(at):
-        return []
-    found = []
-    for entry in fs.listStatus(at):
-        name = entry.getPath().getName()
-        if name.startswith(prefix) and (
-            not complete or fs.exists(_files(spark, f"{path}/{name}/_SUCCESS")[1])
-        ):
-            found.append(int(name[len(prefix):]))
-    return sorted(found)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    fs, at = _files(spark, path)
-    fs.delete(at, True)
+def versions(spark: SparkSession, root: str) -> list[int]:
+    return [s.version for s in manifest.read(spark, root).snapshots]
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    return _numbered(spark, f"{root}/registry", "version=", complete=True)
+def _bucket(m: Manifest) -> Column:
+    return manifest.bucket_of(KEY, m.buckets)
 
 
 def append_writes(writes: DataFrame, root: str, batch_id: int) -> None:
-    append_batch(writes.select(*state.WRITE_COLUMNS), f"{root}/writes", batch_id)
+    m = manifest.read(writes.sparkSession, root)
+    append_batch(writes.select(*state.WRITE_COLUMNS), f"{root}/writes", batch_id, _bucket(m))
 
 
 def place(batch_id: Column | int, seq: Column) -> Column:
@@ -71,92 +54,173 @@ def place(batch_id: Column | int, seq: Column) -> Column:
     return F.struct(batch.cast("bigint").alias("batch_id"), seq.cast("bigint").alias("seq"))
 
 
-def read_writes(spark: SparkSession, root: str) -> DataFrame:
+def read_writes(
+    spark: SparkSession, root: str, paths: list[str] | None = None
+) -> DataFrame:
     """The log with ``seq`` as the ``place`` of each write."""
-    log = read_log(spark, f"{root}/writes", WRITES_SCHEMA)
+    log = read_log(spark, f"{root}/writes", WRITES_SCHEMA, paths)
     return log.withColumn("seq", place(F.col("batch_id"), F.col("seq")))
 
 
-def snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete snapshot; empty before the first."""
-    done = versions(spark, root)
-    if not done:
+def _read_buckets(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    if not paths:
         return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{root}/registry/version={done[-1]}")
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(*[f"{root}/{p}" for p in paths])
 
 
-def replace_registry(registry: DataFrame, root: str) -> int:
-    """Write a new snapshot beside the old ones and return its version.
+def snapshot(spark: SparkSession, root: str, buckets: set[int] | None = None) -> DataFrame:
+    """The newest snapshot, or some of its buckets; empty before the first."""
+    held = _newest(manifest.read(spark, root))
+    return _read_buckets(
+        spark, root, [p for b, p in sorted(held.items()) if buckets is None or b in buckets])
 
-    Rows are laid out by region and pillar, so a directory filter skips most of the files.
+
+def _newest(m: Manifest) -> dict[int, str]:
+    return m.snapshots[-1].buckets if m.snapshots else {}
+
+
+def _write_snapshot(registry: DataFrame, root: str, m: Manifest) -> Snapshot:
+    """Write records as the next snapshot, not committed yet.
+
+    Each bucket is sorted by region and pillar, so a directory filter skips most row groups.
     """
     spark = registry.sparkSession
-    version = max(_numbered(spark, f"{root}/registry", "version=", complete=False), default=-1) + 1
-    laid_out = registry.select(*REGISTRY_SCHEMA.names).repartitionByRange("region", "pillar", KEY)
-    laid_out.write.parquet(f"{root}/registry/version={version}")
-    return version
+    version = m.snapshots[-1].version + 1 if m.snapshots else 0
+    order = (*manifest.PARTITIONS, "region", "pillar", KEY)
+    laid_out = logged(
+        registry.select(*REGISTRY_SCHEMA.names), "registry", version, bucket=_bucket(m)
+    ).repartitionByRange("bucket", "region", "pillar", KEY).sortWithinPartitions(*order)
+    folder = manifest.write(laid_out, root, dealt=True)
+    none = "__HIVE_DEFAULT_PARTITION__"
+    return Snapshot(version, {
+        b: f"{path}/dt={none}/bucket={b}"
+        for path, held in manifest.found(spark, root, folder).values() for b in held})
+
+
+def replace_registry(registry: DataFrame, root: str) -> int:
+    """Make ``registry`` the newest snapshot and return its version; the log stays."""
+    spark = registry.sparkSession
+    new = _write_snapshot(registry, root, manifest.read(spark, root))
+
+    def change(m: Manifest) -> None:
+        m.snapshots.append(new)
+
+    manifest.commit(spark, root, change)
+    return new.version
 
 
 def load_registry(registry: DataFrame, root: str) -> int:
     """Make ``registry`` the whole content: a new snapshot, without the log and the older ones."""
     spark = registry.sparkSession
-    batches = _numbered(spark, f"{root}/writes", "batch_id=", complete=False)
-    old = versions(spark, root)
-    version = replace_registry(registry, root)
-    _drop(spark, root, batches, old)
-    return version
+    before = manifest.read(spark, root)
+    new = _write_snapshot(registry, root, before)
 
+    def change(m: Manifest) -> None:
+        _forget(m, before)
+        m.snapshots = [new]
 
-def _drop(spark: SparkSession, root: str, batches: list[int], old: list[int]) -> None:
-    for batch in batches:
-        _delete(spark, f"{root}/writes/batch_id={batch}")
-    for version in old:
-        _delete(spark, f"{root}/registry/version={version}")
+    manifest.commit(spark, root, change)
+    manifest.clean(spark, root, before)
+    return new.version
 
 
-def current(spark: SparkSession, root: str, sticky_erasure: bool = True) -> DataFrame:
-    """The registry as of now: newest snapshot with the logged writes folded in."""
-    if not _numbered(spark, f"{root}/writes", "batch_id=", complete=False):
-        return snapshot(spark, root)
+def _forget(m: Manifest, folded: Manifest) -> None:
+    """Remove the batches that were folded; those that came or were replaced meanwhile stay."""
+    log = m.logs.setdefault("writes", {})
+    for batch, entry in folded.batches("writes").items():
+        if batch in log and log[batch][0] == entry[0]:
+            del log[batch]
+
+
+def _folded(spark: SparkSession, root: str, m: Manifest, sticky_erasure: bool) -> DataFrame:
+    """The records of the buckets that the log has writes of, as of now."""
+    log = m.batches("writes")
+    changed = {b for _, buckets in log.values() for b in buckets}
+    old = _read_buckets(spark, root, [p for b, p in sorted(_newest(m).items()) if b in changed])
     return state.apply_changes(
-        state.snapshot_writes(snapshot(spark, root)), read_writes(spark, root),
-        sticky_erasure=sticky_erasure,
-    )
+        state.snapshot_writes(old), read_writes(spark, root, [p for p, _ in log.values()]),
+        sticky_erasure=sticky_erasure)
+
+
+def current(spark: SparkSession, root: str, sticky_erasure: bool = True) -> DataFrame:
+    """The registry as of now: the log is folded into the buckets that it has writes of."""
+    m = manifest.read(spark, root)
+    changed = {b for _, buckets in m.batches("writes").values() for b in buckets}
+    kept = _read_buckets(
+        spark, root, [p for b, p in sorted(_newest(m).items()) if b not in changed])
+    if not changed:
+        return kept
+    folded = _folded(spark, root, m, sticky_erasure)
+    return folded if len(changed) == m.buckets else kept.unionByName(
+        folded.select(*REGISTRY_SCHEMA.names))
 
 
 def compact(
-    spark: SparkSession, root: str, sticky_erasure: bool = True, retain: int = 0
+    spark: SparkSession, root: str, sticky_erasure: bool = True, retain: int = 0,
+    hours: float = 24,
 ) -> int:
     """Fold the log into a new snapshot, then delete the folded batches and older snapshots.
 
-    What an erasure replaced is gone from storage afterwards, unless ``retain`` asks to keep that
-    many older snapshots for readers that still hold them; the compaction after those drops them.
-    Batches that arrive meanwhile stay in the log. A crash in between leaves a log whose folded part
-    is folded again, which changes nothing.
+    Only buckets that the log has writes of are read and written; the new snapshot shares the others
+    with the one before. What an erasure replaced is gone from storage afterwards, unless ``retain``
+    asks to keep that many older snapshots for readers that still hold them; the compaction after
+    those drops them. Batches that arrive meanwhile stay in the log. A call that ends in between
+    leaves the old content or the new one, and what it wrote in vain goes after ``hours``.
     """
-    batches = _numbered(spark, f"{root}/writes", "batch_id=", complete=False)
-    old = versions(spark, root)
-    log = read_writes(spark, root).filter(F.col("batch_id").isin(*batches)) if batches else (
-        read_writes(spark, root)
-    )
-    folded = state.apply_changes(
-        state.snapshot_writes(snapshot(spark, root)), log, sticky_erasure=sticky_erasure)
-    version = replace_registry(folded, root)
-    _drop(spark, root, batches, old[:len(old) - retain] if retain else old)
-    return version
+    before = manifest.read(spark, root)
+    log = before.batches("writes")
+    if log or not before.snapshots:
+        changed = {b for _, buckets in log.values() for b in buckets}
+        new = _write_snapshot(_folded(spark, root, before, sticky_erasure), root, before)
+        kept = {b: p for b, p in _newest(before).items() if b not in changed}
+        new.buckets = {**kept, **new.buckets}
+    else:
+        new = None
+
+    def change(m: Manifest) -> None:
+        if [s.version for s in m.snapshots] != [s.version for s in before.snapshots]:
+            raise RuntimeError("the registry was compacted or replaced meanwhile")
+        _forget(m, before)
+        if new:
+            m.snapshots.append(new)
+        m.snapshots = m.snapshots[-1 - retain:]
+
+    done = manifest.commit(spark, root, change)
+    manifest.clean(spark, root, before, hours)
+    return done.snapshots[-1].version
 
 
 _PAYLOAD_KEY = rf'"{KEY}"\s*:\s*"((?:[^"\\]|\\.)*)"'
 
 
 def purge_quarantine(spark: SparkSession, root: str, schema: T.StructType) -> None:
-    """Blank the payloads of erased people in the quarantine log. Only batches that hold one are
-    written again."""
-    log = read_log(spark, f"{root}/quarantine", schema).withColumn(
-        KEY, F.trim(F.regexp_extract("raw_payload", _PAYLOAD_KEY, 1)))
+    """Blank the payloads of erased people in the quarantine log.
+
+    Batches that hold one are written again, all of them by one job, and replaced by one commit.
+    """
+    before = manifest.read(spark, root)
     erased = state.erased_keys(snapshot(spark, root))
-    held = log.filter("raw_payload IS NOT NULL").join(erased, KEY, "left_semi")
-    for row in held.select("batch_id").distinct().collect():
-        batch = log.filter(F.col("batch_id") == row.batch_id)
-        clean = stage(state.purge_erased(batch, erased, ("raw_payload",)).select(*schema.names))
-        append_batch(clean, f"{root}/quarantine", row.batch_id)
+
+    def keyed(paths: list[str] | None = None) -> DataFrame:
+        return read_log(spark, f"{root}/quarantine", schema, paths).withColumn(
+            KEY, F.trim(F.regexp_extract("raw_payload", _PAYLOAD_KEY, 1)))
+
+    held = keyed().filter("raw_payload IS NOT NULL").join(erased, KEY, "left_semi")
+    batches = [r.batch_id for r in held.select("batch_id").distinct().collect()]
+    if not batches:
+        return
+    rows = keyed([before.batches("quarantine")[b][0] for b in batches])
+    clean = state.purge_erased(rows, erased, ("raw_payload",)).select(*schema.names, "batch_id")
+    folder = manifest.write(
+        logged(clean, "quarantine", F.col("batch_id"), F.col("timestamp")), root)
+    entries = manifest.found(spark, root, folder)
+
+    def change(m: Manifest) -> None:
+        log = m.logs.setdefault("quarantine", {})
+        for b in batches:
+            if b not in log or log[b][0] != before.batches("quarantine")[b][0]:
+                raise RuntimeError(f"batch {b} of the quarantine was replaced meanwhile")
+            log[b] = entries["quarantine", b]
+
+    manifest.commit(spark, root, change)
+    manifest.clean(spark, root, before)
