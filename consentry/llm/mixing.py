@@ -33,9 +33,8 @@ from consentry.sources.staging import lookup, stage
 
 TOLERANCE = 1e-4
 ROUNDS = 40
-#: Candidate scales per look, and looks, in the search for the calibrated scale.
-SCALES = 48
-LOOKS = 4
+#: The share of the budget that the expected tokens may be off.
+EXACT = 1e-12
 
 CELL = ("source", "lang", "topic")
 
@@ -123,20 +122,19 @@ def calibrated(fitted: DataFrame, budget: float) -> DataFrame:
     """``fitted`` with ``probability``: how likely a document of the cell stays."""
     ratio = F.col("weight") / F.col("tokens")
     some = fitted.filter((F.col("tokens") > 0) & (F.col("weight") > 0))
-    sums = some.agg(
-        F.sum("tokens").alias("tokens"), F.min(1 / ratio).alias("low"),
-        F.max(1 / ratio).alias("high")).first()
-    scale = 0.0
-    if sums.tokens:
-        goal, low, high = budget * sums.tokens, 0.0, float(sums.high)
-        for _ in range(LOOKS):
-            tries = [low + (high - low) * k / SCALES for k in range(1, SCALES + 1)]
-            got = some.agg(*[
-                F.sum(F.least(F.col("tokens").cast("double"), F.col("weight") * s)).alias(f"g{k}")
-                for k, s in enumerate(tries)]).first()
-            k = next((k for k in range(SCALES) if got[k] >= goal), SCALES - 1)
-            low, high = (tries[k - 1] if k else low), tries[k]
-        scale = high
+    goal = budget * (some.agg(F.sum("tokens")).first()[0] or 0)
+    # The expected tokens are a concave function of the scale, linear between the scales at which a
+    # cell is used up. So a step along its slope never goes too far, and ends exact.
+    scale, left = 0.0, goal
+    while left > goal * EXACT:
+        had, full = F.col("tokens").cast("double"), F.col("weight") * scale
+        got = some.agg(
+            F.sum(F.least(had, full)).alias("tokens"),
+            F.sum(F.when(had > full, F.col("weight"))).alias("slope")).first()
+        left, before = goal - got.tokens, scale
+        scale += max(0.0, left) / got.slope if got.slope else 0.0
+        if scale == before:
+            break
     probability = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), scale * ratio)).otherwise(1.0)
     return fitted.withColumn("probability", probability)
 

@@ -98,3 +98,21 @@ def test_empty_table(spark):
 def test_plan_has_no_python(spark):
     plan = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+@pytest.mark.parametrize("budget", [0.0, 0.3, 0.5, 0.999, 1.0])
+@pytest.mark.parametrize("cells", [
+    [(1_000_000, 0.5), (1_000_000, 0.4999999999), (1_000, 1e-13)],
+    [(10, 1e-300), (10, 0.25), (10**12, 0.75), (1, 1e-9), (0, 0.0)],
+    [(5, 0.0), (7, 1.0)],
+    [(3**k, 7.0**-k) for k in range(20)],
+])
+def test_expected_tokens_meet_the_budget(spark, cells, budget):
+    df = spark.createDataFrame(
+        [(f"s{k}", "l", "t", n, w) for k, (n, w) in enumerate(cells)],
+        "source string, lang string, topic string, tokens bigint, weight double")
+    rows = mixing.calibrated(df, budget).collect()
+    assert all(0 <= r.probability <= 1 for r in rows)
+    total = sum(n for n, w in cells if w > 0)
+    expected = sum(r.tokens * r.probability for r in rows if r.weight > 0)
+    assert expected == pytest.approx(budget * total, rel=1e-9)
