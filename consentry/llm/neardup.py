@@ -383,7 +383,8 @@ def near_classes(
     sets = stage(_full_sets(
         linked.select("node", "n", F.col("key").alias("k"), "hash").join(
             docs, F.col("k").eqNullSafe(docs["key"]) & (linked["hash"] == docs["hash"]))
-        .select("node", "n", "body"), shingle))
+        # Rows that repeat key and text are one node, and one set.
+        .select("node", "n", "body").dropDuplicates(["node"]), shingle))
 
     tries = members.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
     best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("shared", "hub")))), 1, HUBS)

@@ -87,7 +87,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents", "doc_id", "text"), shingle=2, percent=80)
     return classes.select(
         F.col("key").alias("doc_id"), "n_shingles", F.col("class_key").alias("component_id"),
-        "kept")
+        F.col("key").eqNullSafe(F.col("class_key")).alias("kept"))
 
 
 @query
