@@ -22,7 +22,7 @@ from consentry.sources.staging import lookup, stage
 # Executors need not have this package installed to run the functions below.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_NODES = "tree int, node int, feature int, threshold double, path double"
+NODES_SCHEMA = "tree int, node int, feature int, threshold double, path double"
 _EULER = 0.5772156649015329
 _MARGIN = 1.75
 _LAST_VALUES = 4096
@@ -81,6 +81,7 @@ class IsolationForest:
     sample: int
     max_depth: int
     threshold: float = float("nan")
+    trained_on: int = 0
     _shared: dict = field(default_factory=dict, repr=False)
 
     def _trees(self) -> dict[str, np.ndarray]:
@@ -134,7 +135,7 @@ class IsolationForest:
         ).drop("_score")
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.nodes, _NODES)
+        return spark.createDataFrame(self.nodes, NODES_SCHEMA)
 
 
 def fit(
@@ -182,9 +183,9 @@ def fit(
         out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "path"])
         return out.assign(tree=tree)[["tree", "node", "feature", "threshold", "path"]]
 
-    nodes = draws.groupBy("tree").applyInPandas(grow_tree, _NODES).toPandas()
+    nodes = draws.groupBy("tree").applyInPandas(grow_tree, NODES_SCHEMA).toPandas()
     nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
-    model = IsolationForest(tuple(features), nodes, size, depth)
+    model = IsolationForest(tuple(features), nodes, size, depth, trained_on=total)
     model.threshold = weighted_percentile(model.score(vectors), "score", "_n", contamination)
     return model
 

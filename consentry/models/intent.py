@@ -117,25 +117,26 @@ def fit(
 
     Inverse document frequencies are smoothed and shifted by one, vectors have unit length, and
     the penalty is that of C = 1: half the squared weights against the summed loss. The model, a
-    weight per gram and intent, is held by the driver. Rows with more than ``max_vocabulary`` grams
-    between them are refused with ``ValueError``; no gram is left out. With ``hashed`` they are not
-    refused: all grams of all rows are hashed to so many features, which bounds the model, and grams
-    that share a feature share its weight.
+    weight per feature and intent, is held by the driver. No gram is left out.
+
+    The caller says what a feature is, whatever the size of the input. With ``hashed`` all grams of
+    all rows are hashed to so many features, which bounds the model, and grams that share a feature
+    share its weight. Without it every gram is a feature, for curated rows: more than
+    ``max_vocabulary`` grams are refused with ``ValueError``.
     """
     labelled = labelled.select("text", "intent").persist()
     try:
         size = labelled.count()
-        counts = Pipeline(
-            stages=[*_grams(), CountVectorizer(
-                inputCol="_grams", outputCol="_counts", vocabSize=max_vocabulary + 1)]
-        ).fit(labelled)
-        if len(counts.stages[-1].vocabulary) > max_vocabulary:
-            if hashed is None:
-                raise ValueError(
-                    f"the labelled rows hold more than {max_vocabulary} grams; fit on fewer rows, "
-                    "raise max_vocabulary or let them be hashed")
-            counts = PipelineModel([*counts.stages[:-1], HashingTF(
-                numFeatures=hashed, inputCol="_grams", outputCol="_counts")])
+        if hashed is None:
+            counter = CountVectorizer(
+                inputCol="_grams", outputCol="_counts", vocabSize=max_vocabulary + 1)
+        else:
+            counter = HashingTF(numFeatures=hashed, inputCol="_grams", outputCol="_counts")
+        counts = Pipeline(stages=[*_grams(), counter]).fit(labelled)
+        if hashed is None and len(counts.stages[-1].vocabulary) > max_vocabulary:
+            raise ValueError(
+                f"the labelled rows hold more than {max_vocabulary} grams; fit on fewer rows, "
+                "raise max_vocabulary or let them be hashed")
         idf = IDF(inputCol="_counts", outputCol="_x").fit(counts.transform(labelled)).idf
         weigh = ElementwiseProduct(
             inputCol="_counts", outputCol="_weighted",

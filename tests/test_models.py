@@ -96,7 +96,7 @@ def test_too_many_grams_are_refused_and_none_dropped(spark):
 
 @pytest.mark.parametrize("hashed", [None, 1 << 10])
 def test_weights_of_all_grams(spark, hashed):
-    """Grams beyond the vocabulary are hashed; each has weights that tell its intent."""
+    """Every gram has weights that tell its intent."""
     rows = [(f"word{k} {'left' if k % 2 else 'right'}", "a" if k % 2 else "b") for k in range(20)]
     df = spark.createDataFrame(rows, "text string, intent string")
     model = intent.fit(df, max_vocabulary=50 if hashed is None else 10, hashed=hashed)
@@ -110,13 +110,16 @@ def test_weights_of_all_grams(spark, hashed):
     assert all(r.label == r.intent for r in told)
 
 
-def test_intent_fit_is_not_refused_beyond_the_vocabulary(spark, sf_dir, monkeypatch):
-    from consentry.plans.queries import QUERIES
-
-    rows = QUERIES["intent_fit"](spark, sf_dir).select("gram").distinct().count()
-    fit = intent.fit
-    monkeypatch.setattr(intent, "fit", lambda df, **kw: fit(df, max_vocabulary=100, **kw))
-    assert QUERIES["intent_fit"](spark, sf_dir).select("gram").distinct().count() == rows > 100
+def test_few_rows_and_many_are_hashed_alike(spark):
+    """What a feature is does not depend on how many grams there are."""
+    kinds = []
+    for n in (3, 300):
+        rows = [(f"word{k} other{k % 7}", "ab"[k % 2]) for k in range(n)]
+        model = intent.fit(
+            spark.createDataFrame(rows, "text string, intent string"), max_vocabulary=20, hashed=64)
+        kinds.append([type(s).__name__ for s in model.stages])
+        assert model.stages[-2].coefficientMatrix.numCols == 64
+    assert kinds[0] == kinds[1] and "HashingTF" in kinds[0]
 
 
 @pytest.mark.parametrize("message, expected", [
@@ -176,3 +179,61 @@ def test_messages_become_actions(spark, sf_dir):
         i.ingest_log, state.change_writes(done.changes, F.col("seq") + AFTER_ALL))
     rows = {r.beneficiary_id: r for r in after.collect()}
     assert rows[who].status == "Anonymized" and rows[other].consent_type == "Chatbot OTP"
+
+
+def test_a_published_forest_scores_alike_in_another_session(spark, sf_dir, folder):
+    import subprocess
+    import sys
+
+    from consentry.models import forest, store
+    from consentry.plans.inputs import Inputs
+
+    i = Inputs(spark, sf_dir)
+    names = ("hour_of_day", "role_code", "region_mismatch", "query_volume")
+    features = i.features.select("request_id", *names)
+    features.write.parquet(f"{folder}/features")
+    model = forest.fit(features, names, "request_id", trees=10)
+    assert store.load(spark, folder) is None
+    assert store.publish(spark, model, folder) == 1
+    again = store.load(spark, folder)
+    assert (again.features, again.sample, again.max_depth, again.threshold, again.trained_on) == (
+        model.features, model.sample, model.max_depth, model.threshold, features.count())
+    want = sorted(map(tuple, model.flag(features).collect()), key=repr)
+    assert sorted(map(tuple, again.flag(features).collect()), key=repr) == want
+    code = f"""
+from pyspark.sql import SparkSession
+from consentry.models import store
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()
+rows = spark.read.parquet('{folder}/features')
+store.load(spark, '{folder}', 1).flag_rows(rows).write.parquet('{folder}/scored')
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=200, capture_output=True)
+    other = spark.read.parquet(f"{folder}/scored")
+    assert sorted(map(tuple, other.select(*model.flag(features).columns).collect()), key=repr) == want
+
+
+def test_versions_of_a_model(spark, folder, monkeypatch):
+    import pandas as pd
+
+    from consentry.models import forest, store
+    from consentry.sources import manifest
+
+    def model(threshold):
+        nodes = pd.DataFrame([(0, 0, -1, 0.0, 1.0)], columns=["tree", "node", "feature", "threshold", "path"])
+        return forest.IsolationForest(("x",), nodes, 2, 1, threshold)
+
+    newest = store.Newest(spark, folder)
+    assert newest() is None
+    for k in (1, 2, 3):
+        assert store.publish(spark, model(-0.1 * k), folder) == k
+        assert newest().threshold == -0.1 * k and newest() is newest()
+    assert store.load(spark, folder, 2).threshold == -0.2
+    with monkeypatch.context() as m:  # killed before its name: no reader sees it
+        m.setattr(manifest.Files, "rename", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            store.publish(spark, model(-0.9), folder)
+    assert store.versions(spark, folder) == [1, 2, 3]
+    store.drop(spark, folder, keep=1)
+    assert store.versions(spark, folder) == [3] and newest().threshold == pytest.approx(-0.3)
+    with pytest.raises(ValueError, match="no version 1"):
+        store.load(spark, folder, 1)

@@ -85,3 +85,52 @@ def test_drained_alerts_equal_the_batch_job(spark, sf_dir, folder):
     got = alerts.alerts(spark, folder).drop("batch_id")
     assert rows(got.select(*want.columns)) == rows(want)
     assert {r.is_anomaly for r in want.collect()} == {0, 1}
+
+
+def test_each_micro_batch_sees_the_registry_and_the_model_of_its_time(spark, sf_dir, folder):
+    import pandas as pd
+
+    from consentry.models import forest, store
+    from consentry.operators import access
+    from consentry.streaming import alerts
+
+    i = Inputs(spark, sf_dir)
+    half = i.events.filter("event_seq < 700")
+    ingest.store_batch(half, 0, f"{folder}/registry")
+    policy = spark.createDataFrame([("desk", "hq_admin", "All", "All")], access.POLICY_SCHEMA)
+
+    def constant(anomalous):
+        """A forest of one leaf: every access, or none, is below its threshold."""
+        nodes = pd.DataFrame(
+            [(0, 0, -1, 0.0, 1.0)], columns=["tree", "node", "feature", "threshold", "path"])
+        return forest.IsolationForest(
+            ("hour_of_day", "query_volume"), nodes, 2, 1, 1.0 if anomalous else -2.0)
+
+    def ask(n):
+        spark.createDataFrame(
+            [(n, "2025-01-01 12:00:00", "desk", "All", "All", "All", False)],
+            "request_id bigint, ts string, operator string, region string, pillar string, "
+            "purpose string, force_anonymize boolean",
+        ).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode(
+            "append").parquet(f"{folder}/in")
+        schema = spark.read.parquet(f"{folder}/in").schema
+        alerts.start_alerts(
+            spark.readStream.schema(schema).parquet(f"{folder}/in"), policy,
+            alerts.live_volumes(spark, f"{folder}/registry"), newest, f"{folder}/out",
+        ).awaitTermination()
+        row = alerts.alerts(spark, f"{folder}/out").filter(F.col("seq") == n).first()
+        return row.details, row.is_anomaly
+
+    newest = store.Newest(spark, f"{folder}/models")
+    counts = [ingest.registry(spark, f"{folder}/registry").count()]
+    told = [ask(1)]
+    ingest.store_batch(i.events.filter("event_seq >= 700"), 1, f"{folder}/registry")
+    store.publish(spark, constant(True), f"{folder}/models")
+    counts.append(i.registry.count())
+    told.append(ask(2))
+    store.publish(spark, constant(False), f"{folder}/models")
+    told.append(ask(3))
+    assert counts[0] < counts[1]
+    assert [a for _, a in told] == [0, 1, 0]
+    for (details, _), n in zip(told, [counts[0], counts[1], counts[1]]):
+        assert str(n) in details
