@@ -562,10 +562,16 @@ def _build() -> dict[str, str]:
             f"case when not {corrupt} then {c} end as {c}" for c in EVENT_COLUMNS)
         + f", {corrupt} as is_corrupt from registrations",
         "append_audit": "select * from audit",
+        "audit_between": "select * from audit where timestamp >= timestamp '1994-03-15 12:00:00' "
+        "and timestamp < timestamp '1995-06-01 00:00:00'",
         "audit_view": "select seq * 3 + case action_type when 'PII_ACCESS' then 2 "
         "when 'BENEFICIARY_INGEST' then 0 else 1 end as audit_id, * exclude (seq) from audit "
         "order by audit_id desc",
         "append_quarantine": "select * from quarantined_lines",
+        "quarantine_purged": "select event_id, timestamp, case when e.k is null then raw_payload end "
+        "as raw_payload, failure_reasons from quarantine q join registrations r "
+        f"on r.event_seq = q.event_id left join (select distinct {KEY} as k from current "
+        f"where status = 'Anonymized') e on trim(r.{KEY}) = e.k",
         "quarantine_view": "select * from quarantine order by event_id desc",
         "export_compliant_csv": "select " + ", ".join(
             f"cast({MASKED.get(c, c)} as varchar) as {c}" for c in REGISTRY_COLUMNS
@@ -600,6 +606,7 @@ def _build() -> dict[str, str]:
             "select event_seq, beneficiary_id, ingest_status, failure_reasons from routed",
         "ingest_outcomes": "select ingest_status, count(*) as n_events from routed group by 1",
         "registry_upsert": "select * from registry",
+        "registry_compacted": "select * from current",
         "consent_update": _after("consent_update"),
         "consent_self_update": _after("consent_self_update"),
         "consent_text_update": fold_sql(f"({_TEXT_WRITES})"),
@@ -691,6 +698,7 @@ def _build() -> dict[str, str]:
         "access_features": "select request_id, hour_of_day, role_code, region_mismatch, "
         "cast(query_volume as bigint) as query_volume from features",
         "access_alerts": access_audit("decided"),
+        "stream_access_alerts_given": access_audit("decided"),
         "stream_ingest": "select event_seq, case ingest_status when 'SUCCESS' then 'ACCEPTED' "
         "else 'QUARANTINE' end as log, failure_reasons from routed union all "
         "select event_seq, 'AUDIT', '' from routed where ingest_status = 'SUCCESS'",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from consentry.functions import masks, text
 from consentry.models import forest, intent
+from consentry.models import store as models
 from consentry.operators import (
     access, audit, linking, quality, recon, report, standardise, state,
 )
@@ -169,6 +170,15 @@ def append_audit(i: Inputs) -> DataFrame:
     return ingest.audited(i.spark, out).drop("batch_id")
 
 
+@query
+def audit_between(i: Inputs) -> DataFrame:
+    """A time range of the audit log, of which only its months are read."""
+    out = shared_dir(i.spark)
+    files.append_batch(_audit_frame(i).select(*audit.AUDIT_COLUMNS), f"{out}/audit", 0)
+    return ingest.audited(
+        i.spark, out, "1994-03-15 12:00:00", "1995-06-01 00:00:00").drop("batch_id")
+
+
 @query
 def audit_view(i: Inputs) -> DataFrame:
     return audit.newest_first(
@@ -184,6 +194,17 @@ def append_quarantine(i: Inputs) -> DataFrame:
     return ingest.quarantined(i.spark, out).drop("batch_id")
 
 
+@query
+def quarantine_purged(i: Inputs) -> DataFrame:
+    """The quarantine log after the payloads of erased people were blanked."""
+    out = shared_dir(i.spark)
+    ingest.store_batch(i.events, 0, out)
+    store.append_writes(i.changes_after_all(), out, 1)
+    store.compact(i.spark, out)
+    store.purge_quarantine(i.spark, out, ingest.QUARANTINE_SCHEMA)
+    return ingest.quarantined(i.spark, out).drop("batch_id")
+
+
 @query
 def quarantine_view(i: Inputs) -> DataFrame:
     return audit.newest_first(ingest.quarantine(i.routed), "event_id")
@@ -408,6 +429,18 @@ def consent_transitions(i: Inputs) -> DataFrame:
     return state.consent_transitions(i.interleaved)
 
 
+@query
+def registry_compacted(i: Inputs) -> DataFrame:
+    """The stored registry after two compactions: of all registrations, then of the buckets that
+    changes touch."""
+    out = shared_dir(i.spark)
+    store.append_writes(i.ingest_log, out, 0)
+    store.compact(i.spark, out)
+    store.append_writes(i.changes_after_all(), out, 1)
+    store.compact(i.spark, out)
+    return store.snapshot(i.spark, out).withColumn("row_order", F.col("row_order.seq"))
+
+
 @query
 def purge_erased(i: Inputs) -> DataFrame:
     history = i.accepted.select("event_seq", KEY, *PII, "consent_status")
@@ -480,10 +513,14 @@ def mask_phone(i: Inputs) -> DataFrame:
     return _masked(i, "phone")
 
 
-def _verdicts(i: Inputs) -> DataFrame:
-    """Requests with a given verdict, in place of a model's: at night and out of scope."""
+def _odd(features: DataFrame) -> DataFrame:
+    """Accesses with a given verdict, in place of a model's: at night and out of scope."""
     odd = (F.col("hour_of_day") < 6) & (F.col("region_mismatch") == 1)
-    return i.features.withColumn("is_anomaly", F.when(odd, 1).otherwise(0))
+    return features.withColumn("is_anomaly", F.when(odd, 1).otherwise(0))
+
+
+def _verdicts(i: Inputs) -> DataFrame:
+    return _odd(i.features)
 
 
 @query
@@ -624,7 +661,11 @@ def access_features(i: Inputs) -> DataFrame:
 
 @query
 def isolation_forest_fit(i: Inputs) -> DataFrame:
-    return _forest(i)[1].to_frame(i.spark)
+    """A fitted forest as it is after it was published and loaded again."""
+    out = shared_dir(i.spark)
+    model = models.load(i.spark, out, models.publish(i.spark, _forest(i)[1], out))
+    return model.to_frame(i.spark).withColumns({
+        "score_threshold": F.lit(model.threshold), "trained_on": F.lit(model.trained_on)})
 
 
 @query
@@ -665,7 +706,7 @@ def _by_words(messages: DataFrame) -> DataFrame:
 def intent_fit(i: Inputs) -> DataFrame:
     """A classifier trained on messages labelled by their words."""
     labelled = _by_words(i.messages).select("text", "intent")
-    return intent.gram_weights(labelled, intent.fit(labelled, hashed=1 << 18))
+    return intent.gram_weights(labelled, intent.fit(labelled, hashed=1 << 16))
 
 
 @query
@@ -744,3 +785,23 @@ def stream_access_alerts(i: Inputs) -> DataFrame:
     out = shared_dir(i.spark)
     alerts.start_alerts(requests, policy, volumes, model, out).awaitTermination()
     return alerts.alerts(i.spark, out).drop("batch_id")
+
+
+class _Rule:
+    """The verdicts of ``_verdicts``, in place of a model."""
+
+    def flag_rows(self, features: DataFrame) -> DataFrame:
+        return _odd(features)
+
+
+@query
+def stream_access_alerts_given(i: Inputs) -> DataFrame:
+    """Streamed requests against the volumes of a stored registry, given the verdicts."""
+    requests = tables.adapt(i.spark, "access_requests", {"events": _stream_table(i, "events")})
+    out = shared_dir(i.spark)
+    store.append_writes(i.ingest_log, f"{out}/registry", 0)
+    alerts.start_alerts(
+        requests, lookup(access.policy_of(i.requests)),
+        alerts.live_volumes(i.spark, f"{out}/registry"), _Rule, f"{out}/alerts",
+    ).awaitTermination()
+    return alerts.alerts(i.spark, f"{out}/alerts").drop("batch_id")
