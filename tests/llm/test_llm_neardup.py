@@ -120,27 +120,6 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(1, 61)}, 95: 90, 100: 90, 300: 200}
 
 
-def test_repeated_rows_are_one_set_and_no_more_links(spark, monkeypatch):
-    words = [f"w{k}" for k in range(60)]
-    near = [*words[:-1], "other"]
-    rows = [(1, " ".join(words))] * 300 + [(2, " ".join(near))] * 300 + [(3, "alone here")] * 3
-    sizes, links = [], []
-    confirm = neardup._confirm
-
-    def counted(pairs, sets, percent):
-        got = confirm(pairs, sets, percent)
-        sizes.append(sets.count())
-        links.append(got.count())
-        return got
-
-    monkeypatch.setattr(neardup, "_confirm", counted)
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    got = neardup.near_classes(df, shingle=2).collect()
-    assert sizes[0] == 2 and max(links) == 1
-    assert sorted((r.key, r.class_key) for r in got) == sorted((k, min(k, 1) if k < 3 else 3) for k, _ in rows)
-    assert sum(r.kept for r in got) == 2
-
-
 def test_query_keeps_by_the_contract(spark, folder):
     rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (3, None), (4, "")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
