@@ -56,12 +56,13 @@ def report_by(registry: DataFrame, column: str) -> DataFrame:
     return registry.groupBy(column).agg(*_counts()).select("*", _rate())
 
 
-def report_all(registry: DataFrame) -> DataFrame:
-    """Global, per-pillar and per-region reports, keyed by ``(scope, name)``.
+def report_cells(registry: DataFrame, *by: str) -> DataFrame:
+    """Counts per (pillar, region), and per ``by``: what all reports are sums of."""
+    return registry.groupBy(*by, "pillar", "region").agg(*_counts())
 
-    Counts are taken per (pillar, region) first and rolled up from those few rows.
-    """
-    cells = registry.groupBy("pillar", "region").agg(*_counts())
+
+def roll_up(cells: DataFrame) -> DataFrame:
+    """Global, per-pillar and per-region reports, keyed by ``(scope, name)``, from cells."""
     sets = cells.groupingSets(
         [["pillar"], ["region"], []], "pillar", "region"
     ).agg(F.grouping_id("pillar", "region").alias("_gid"), *[F.sum(c).alias(c) for c in COUNTS])
@@ -74,6 +75,14 @@ def report_all(registry: DataFrame) -> DataFrame:
     ).select("*", _rate())
 
 
+def report_all(registry: DataFrame) -> DataFrame:
+    """Global, per-pillar and per-region reports, keyed by ``(scope, name)``.
+
+    Counts are taken per (pillar, region) first and rolled up from those few rows.
+    """
+    return roll_up(report_cells(registry))
+
+
 def report_scope(messages: DataFrame, spec: RegistrySpec = DEFAULT_SPEC) -> DataFrame:
     """Adds the ``(scope, name)`` of the report a message asks for: a pillar first, then a region,
     else the global one."""

@@ -660,6 +660,7 @@ def _build() -> dict[str, str]:
         "report_by_pillar": f"select pillar, {_COUNTS} from current group by pillar",
         "report_by_region": f"select region, {_COUNTS} from current group by region",
         "report_all": "select * from reports",
+        "report_maintained": "select * from reports",
         "report_scope": "select a.msg_id, a.scope, a.name, r.* exclude (scope, name) from asked a "
         "left join reports r on r.scope = a.scope and r.name = a.name",
         "message_actions_given": "select g.msg_id, g.intent, case "

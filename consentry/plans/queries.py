@@ -584,6 +584,17 @@ def report_all(i: Inputs) -> DataFrame:
     return report.report_all(i.current)
 
 
+@query
+def report_maintained(i: Inputs) -> DataFrame:
+    """All reports of a stored registry, from the counts kept with its snapshot and the changes
+    after it."""
+    out = shared_dir(i.spark)
+    store.append_writes(i.ingest_log, out, 0)
+    store.compact(i.spark, out)
+    store.append_writes(i.changes_after_all(), out, 1)
+    return store.report_all(i.spark, out)
+
+
 @query
 def report_scope(i: Inputs) -> DataFrame:
     return report.scoped_reports(i.messages, i.current).select(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from consentry.models.forest import IsolationForest
-from consentry.operators import access, audit, report, state
+from consentry.operators import access, audit, state
 from consentry.plans import batch
 from consentry.plans.messages import MessageOutcome, handle_messages
 from consentry.sources import manifest, store
@@ -128,8 +128,7 @@ class Registry:
         rows = audit.change_audit(
             history, at, only=F.col("seq.batch_id") == place, seq="seq.seq"
         ).drop("timestamp").join(asked, "seq")
-        append_batch(rows.select(*audit.AUDIT_COLUMNS), f"{self.root}/audit", place)
-        store.append_writes(logged, self.root, place)
+        store.append_writes(logged, self.root, place, rows.select(*audit.AUDIT_COLUMNS))
         return lost
 
     def compact(self, retain: int = 0) -> int:
@@ -163,7 +162,8 @@ class Registry:
             ingest.quarantined(self.spark, self.root), "batch_id", "event_id", limit=limit)
 
     def reports(self) -> DataFrame:
-        return report.report_all(self.current())
+        with recorded(self._staged):
+            return store.report_all(self.spark, self.root, self.sticky_erasure)
 
     def read(
         self, operator: str, at: str, batch_id: int, region: str = ALL, pillar: str = ALL,

@@ -106,9 +106,19 @@ def append_batch(
     """Make ``df`` the batch ``batch_id`` of the log ``path``, whatever it held before. A column
     ``timestamp`` lays the rows out by month."""
     root, _, log = path.rpartition("/")
-    day = F.col("timestamp") if "timestamp" in df.columns else None
-    folder = manifest.write(logged(df, log, batch_id, day, bucket), root)
-    manifest.put(df.sparkSession, root, folder, [(log, batch_id)])
+    append_batches({log: (df, bucket)}, root, batch_id)
+
+
+def append_batches(
+    logs: dict[str, tuple[DataFrame, Column | None]], root: str, batch_id: int
+) -> None:
+    """The same for several logs of a root, which change together; each with its bucket, if any."""
+    folders, spark = [], None
+    for log, (df, bucket) in logs.items():
+        spark = df.sparkSession
+        month = F.col("timestamp") if "timestamp" in df.columns else None
+        folders.append(manifest.write(logged(df, log, batch_id, month, bucket), root))
+    manifest.put(spark, root, folders, [(log, batch_id) for log in logs])
 
 
 def read_log(

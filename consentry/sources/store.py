@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from consentry.operators import state
+from consentry.operators import report, state
 from consentry.sources import manifest
-from consentry.sources.files import append_batch, logged, read_log
+from consentry.sources.files import append_batches, logged, read_log
 from consentry.sources.manifest import Manifest, Snapshot
 from consentry.spec import FLAGS, KEY, REGISTRY_COLUMNS
 
@@ -30,6 +30,9 @@ _FIELDS = [
 PLACE = T.StructType(
     [T.StructField("batch_id", T.LongType()), T.StructField("seq", T.LongType())])
 REGISTRY_SCHEMA = T.StructType([*_FIELDS, T.StructField("row_order", PLACE)])
+CELLS_SCHEMA = T.StructType([
+    T.StructField("pillar", T.StringType()), T.StructField("region", T.StringType()),
+    *[T.StructField(c, T.LongType()) for c in report.COUNTS]])
 WRITES_SCHEMA = T.StructType(
     [T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()),
      T.StructField("operator", T.StringType()), *_FIELDS]
@@ -44,9 +47,15 @@ def _bucket(m: Manifest) -> Column:
     return manifest.bucket_of(KEY, m.buckets)
 
 
-def append_writes(writes: DataFrame, root: str, batch_id: int) -> None:
+def append_writes(
+    writes: DataFrame, root: str, batch_id: int, audit: DataFrame | None = None
+) -> None:
+    """Log a batch of writes, and what the audit log is to say about them, together."""
     m = manifest.read(writes.sparkSession, root)
-    append_batch(writes.select(*state.WRITE_COLUMNS), f"{root}/writes", batch_id, _bucket(m))
+    logs = {"writes": (writes.select(*state.WRITE_COLUMNS), _bucket(m))}
+    if audit is not None:
+        logs["audit"] = (audit, None)
+    append_batches(logs, root, batch_id)
 
 
 def place(batch_id: Column | int, seq: Column) -> Column:
@@ -90,11 +99,19 @@ def _write_snapshot(registry: DataFrame, root: str, m: Manifest) -> Snapshot:
     laid_out = logged(
         registry.select(*REGISTRY_SCHEMA.names), "registry", version, bucket=_bucket(m)
     ).repartitionByRange("bucket", "region", "pillar", KEY).sortWithinPartitions(*order)
-    folder = manifest.write(laid_out, root, dealt=True)
-    none = "__HIVE_DEFAULT_PARTITION__"
-    return Snapshot(version, {
-        b: f"{path}/dt={none}/bucket={b}"
-        for path, held in manifest.found(spark, root, folder).values() for b in held})
+    buckets = _leaves(spark, root, manifest.write(laid_out, root, dealt=True))
+    # The counts of each bucket, from the files just written: reports add them up.
+    written = _read_buckets(spark, root, list(buckets.values()))
+    cells = report.report_cells(written.withColumn("bucket", _bucket(m)), "bucket")
+    counted = logged(cells, "cells", version, bucket=F.col("bucket"))
+    return Snapshot(version, buckets, _leaves(spark, root, manifest.write(counted, root)))
+
+
+def _leaves(spark: SparkSession, root: str, folder: str) -> dict[int, str]:
+    """The folder of each bucket that a written folder, of one batch of a log, has rows of."""
+    return {
+        b: f"{path}/dt=__HIVE_DEFAULT_PARTITION__/bucket={b}"
+        for path, held in manifest.found(spark, root, folder).values() for b in held}
 
 
 def replace_registry(registry: DataFrame, root: str) -> int:
@@ -155,6 +172,22 @@ def current(spark: SparkSession, root: str, sticky_erasure: bool = True) -> Data
         folded.select(*REGISTRY_SCHEMA.names))
 
 
+def report_all(spark: SparkSession, root: str, sticky_erasure: bool = True) -> DataFrame:
+    """All reports as of now. Of buckets without writes since the snapshot only the counts are read,
+    a row per (pillar, region); the others are folded."""
+    m = manifest.read(spark, root)
+    changed = {b for _, buckets in m.batches("writes").values() for b in buckets}
+    held = m.snapshots[-1].cells if m.snapshots else {}
+    paths = [f"{root}/{p}" for b, p in sorted(held.items()) if b not in changed]
+    cells = (
+        spark.read.schema(CELLS_SCHEMA).parquet(*paths) if paths
+        else spark.createDataFrame([], CELLS_SCHEMA))
+    if changed:
+        cells = cells.unionByName(
+            report.report_cells(_folded(spark, root, m, sticky_erasure)).select(*CELLS_SCHEMA.names))
+    return report.roll_up(cells)
+
+
 def compact(
     spark: SparkSession, root: str, sticky_erasure: bool = True, retain: int = 0,
     hours: float = 24,
@@ -172,8 +205,10 @@ def compact(
     if log or not before.snapshots:
         changed = {b for _, buckets in log.values() for b in buckets}
         new = _write_snapshot(_folded(spark, root, before, sticky_erasure), root, before)
-        kept = {b: p for b, p in _newest(before).items() if b not in changed}
-        new.buckets = {**kept, **new.buckets}
+        if before.snapshots:
+            old = before.snapshots[-1]
+            for mine, theirs in ((new.buckets, old.buckets), (new.cells, old.cells)):
+                mine.update({b: p for b, p in theirs.items() if b not in changed})
     else:
         new = None
 

@@ -86,7 +86,7 @@ def store_batch(
     spark = events.sparkSession
     routed = route_events(numbered(events, arrived_at))
     folder = manifest.write(outcomes(routed, batch_id, manifest.read(spark, root).buckets), root)
-    manifest.put(spark, root, folder, [(log, batch_id) for log in LOGS])
+    manifest.put(spark, root, [folder], [(log, batch_id) for log in LOGS])
 
 
 LOGS = ("writes", "quarantine", "audit")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_state import frames, history, simulate
 
-from consentry.operators import state
+from consentry.operators import report, state
 from consentry.plans.inputs import Inputs
 from consentry.registry import Registry
 from consentry.sources import files, manifest, store
@@ -167,6 +167,25 @@ def test_older_snapshots_stay_for_readers_that_hold_them(spark, two_batches):
     assert len(store.versions(spark, two_batches)) == 1
 
 
+@pytest.mark.parametrize("sticky", [True, False])
+def test_maintained_reports_equal_the_full_ones(spark, folder, sticky):
+    """Over a history with erasure and, if that is not sticky, revival, whenever it is compacted."""
+    manifest.create(spark, folder, 5)
+    log = history(23, n=400)
+    for b in range(4):
+        first, change = frames(spark, log[b * 100:(b + 1) * 100], 2)
+        store.append_writes(state.union_writes(first, change), folder, b)
+        if b != 1:
+            store.compact(spark, folder, sticky)
+        kept = store.report_all(spark, folder, sticky)
+        full = report.report_all(store.current(spark, folder, sticky))
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, full.collect()))
+        if b != 1:  # all writes are folded: no record is read
+            files_ = kept.inputFiles()
+            assert files_ and all("log=cells" in f for f in files_)
+    assert {r.scope for r in kept.collect()} == {"global", "pillar", "region"}
+
+
 def test_the_audit_log_is_read_by_month(spark, folder):
     registry = Registry(spark, folder)
     days = [dt.datetime(2025, m, d, 10) for m in (1, 2, 3) for d in (1, 20)]

@@ -36,3 +36,26 @@ def test_entry(spark):
     assert total > 0
     assert total == sum(r["total"] for (s, _), r in rows.items() if s == "pillar")
     assert total == sum(r["total"] for (s, _), r in rows.items() if s == "region")
+
+
+@pytest.mark.parametrize("missing, warns", [("zstandard", True), ("consentry.llm", False)])
+def test_other_queries_stay_without_the_training_data_ones(missing, warns):
+    import subprocess
+    import sys
+
+    code = f"""
+import sys, warnings
+class Block:
+    def find_spec(self, name, path=None, target=None):
+        if name.split(".")[:{missing.count(".") + 1}] == {missing.split(".")!r}:
+            raise ModuleNotFoundError("blocked", name=name)
+sys.meta_path.insert(0, Block())
+with warnings.catch_warnings(record=True) as seen:
+    warnings.simplefilter("always")
+    import __spark_entry__ as e
+told = any("no training-data queries" in str(w.message) for w in seen)
+assert told == {warns}, seen
+assert "report_all" in e.queries() and not any(q.startswith("op1") for q in e.queries())
+assert "pipeline" not in e.queries()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=100)
