@@ -11,15 +11,26 @@ BLANKS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-_BLANK_RUN = f"[{BLANKS}]+"
+# Most characters are told from blanks by one range, before the list is walked.
+_BLANK_RUN = f"[[^!-~]&&[{BLANKS}]]+"
 _PLAIN_WORDS = "^[A-Za-z]+( [A-Za-z]+)*$"
+_PRINTABLE = "^[ -~]*$"
+# Between a character that is no letter and a letter; the mark is not printable.
+_WORD_START, _MARK = "(?<=[^A-Za-z])(?=[A-Za-z])", "\x01 "
 # Runs of cased letters alternate with runs of everything else.
 _RUNS = r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"
 
 
+def _starts_printable(c: Column) -> Column:
+    """Whether the first byte is a printable ASCII character other than the space."""
+    return (c >= "!") & (c < "\x7f")
+
+
 def strip(c: Column) -> Column:
-    """Without white space of any kind at the ends. A native trim: no regular expression runs."""
-    return F.trim(c, F.lit(BLANKS))
+    """Without white space of any kind at the ends. A native trim: no regular expression runs. It
+    searches the list of blanks at both ends, so text with printable ends is passed over."""
+    clean = _starts_printable(c) & _starts_printable(F.substring(c, -1, 1))
+    return F.when(clean, c).otherwise(F.trim(c, F.lit(BLANKS)))
 
 
 def squeeze(c: Column) -> Column:
@@ -28,15 +39,17 @@ def squeeze(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(strip(c) != "", c)
+    return F.when(_starts_printable(c), c).when(F.trim(c, F.lit(BLANKS)) != "", c)
 
 
 def title(c: Column) -> Column:
     """A capital after every character that is not a cased letter: ``O'Brien``, ``3Rd``.
 
-    ``initcap`` gives that only for plain words between spaces, the usual case; the general
-    form walks over letter runs.
+    ``initcap`` gives that only for plain words between spaces, the usual case. Other printable
+    ASCII text gets a mark that ends a word before each such letter, and loses it again. Only the
+    rest is walked over run by run, in a lambda that Spark does not compile.
     """
+    marked = F.initcap(F.regexp_replace(c, _WORD_START, _MARK))
     by_run = F.array_join(
         F.transform(
             F.regexp_extract_all(c, F.lit(_RUNS), F.lit(1)),
@@ -46,7 +59,11 @@ def title(c: Column) -> Column:
         ),
         "",
     )
-    return F.when(c.rlike(_PLAIN_WORDS), F.initcap(c)).otherwise(by_run)
+    return (
+        F.when(c.rlike(_PLAIN_WORDS), F.initcap(c))
+        .when(c.rlike(_PRINTABLE), F.replace(marked, F.lit(_MARK), F.lit("")))
+        .otherwise(by_run)
+    )
 
 
 def title_name(c: Column) -> Column:

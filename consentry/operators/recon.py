@@ -32,10 +32,19 @@ def recon_join(
     """Attendance, payment and consent side by side, one row per (person, month) on any side.
 
     Payments are summed per cell first, so each side has one row per cell and no cell can be hot.
+    The sides meet in an aggregation by hash, where a full join would sort both. A cell
+    with a null matches nothing, so there the sides stay apart.
     """
     paid = disbursements.groupBy(*CELL).agg(F.sum("amount").cast("bigint").alias("amount"))
+    no_cell = F.col(KEY).isNull() | F.col("month").isNull()
+    sides = [
+        side.withColumn("_side", F.when(no_cell, number))
+        for number, side in enumerate((rates, paid))
+    ]
+    values = ("sessions_held", "sessions_attended", "attended_enough", "amount")
     return (
-        rates.join(paid, list(CELL), "full")
+        sides[0].unionByName(sides[1], allowMissingColumns=True)
+        .groupBy(*CELL, "_side").agg(*[F.max(c).alias(c) for c in values])
         .join(registry.select(KEY, "consent_data_sharing"), KEY, "left")
         .select(
             *CELL,

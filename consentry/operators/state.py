@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,6 +173,13 @@ def drop_after_erasure(writes: DataFrame) -> DataFrame:
     )
 
 
+def grouped(rows: DataFrame, *keys: str) -> GroupedData:
+    """``rows`` by ``keys``, for aggregates of structs, which Spark sorts for. A sort tells most
+    rows apart by eight bytes of its first key; ids begin alike, hashes of them do not. The
+    hash is a column ``_hash`` of the result."""
+    return rows.groupBy(F.xxhash64(*keys).alias("_hash"), *keys)
+
+
 def fold(writes: DataFrame) -> DataFrame:
     """Current registry: 16 columns and ``row_order``, the ``seq`` of the last ingest.
 
@@ -183,7 +190,7 @@ def fold(writes: DataFrame) -> DataFrame:
         F.max_by(F.struct(*columns), F.when(F.col("op").isin(*ops), F.col("seq"))).alias(f"_g{i}")
         for i, (columns, ops) in enumerate(_WRITERS)
     ]
-    folded = writes.groupBy(KEY).agg(
+    folded = grouped(writes, KEY).agg(
         F.max(F.when(F.col("op") == INGEST, F.col("seq"))).alias("row_order"), *groups
     )
     source = {c: f"_g{i}.{c}" for i, (columns, _) in enumerate(_WRITERS) for c in columns}
@@ -204,7 +211,7 @@ def union_writes(*logs: DataFrame) -> DataFrame:
 def registry_upsert(rows: DataFrame, order: str) -> DataFrame:
     """Whole-row upsert: the last arrival of a key replaces all its columns."""
     value = [c for c in REGISTRY_COLUMNS if c != KEY]
-    last = rows.groupBy(KEY).agg(
+    last = grouped(rows, KEY).agg(
         F.max_by(F.struct(*value), F.col(order)).alias("_row"), F.max(order).alias("row_order")
     )
     return last.select(KEY, *[F.col(f"_row.{c}").alias(c) for c in value], "row_order")

@@ -11,6 +11,9 @@ SETTINGS = {
     # otherwise have kept the join's partitioning.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # HotSpot leaves methods above this many bytes interpreted; Spark then compiles the step in
+    # smaller methods. Cleansing and gates of all columns exceed it.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 

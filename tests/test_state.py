@@ -146,3 +146,10 @@ def test_purge_keeps_rows(spark):
     rows = purged.collect()
     assert erased and len(rows) == sum(op == "ingest" for _, op, _ in log)
     assert all((r.full_name is None) == (r[KEY] in erased) for r in rows)
+
+
+def test_aggregates_of_structs_sort_by_a_hash(spark):
+    ingest, change = frames(spark, history(3, n=200), 2)
+    for df in (state.fold(state.union_writes(ingest, change)), state.registry_upsert(ingest, "seq")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate(key=[_groupingexpression" in plan and "_hash" not in df.columns

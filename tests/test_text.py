@@ -132,3 +132,19 @@ def test_email_pattern_is_pythons(spark):
     pattern = DEFAULT_SPEC.row_rules[-1].pattern
     got = apply(spark, lambda c: c.rlike(pattern), values)
     assert got == [bool(re.match(pattern, v)) for v in values]
+
+
+def test_title_of_random_text_is_pythons(spark):
+    rng = random.Random(11)
+    printable = [chr(n) for n in range(32, 127)] + list("abAB  '-")
+    values = ["".join(rng.choices(printable, k=rng.randint(0, 12))) for _ in range(3000)]
+    values += ["".join(rng.choices("aB \t\x01'é,", k=rng.randint(0, 8))) for _ in range(500)]
+    assert apply(spark, text.title, values) == [v.title() for v in values]
+
+
+def test_gates_are_compiled(spark):
+    rows = spark.createDataFrame([], EVENT_SCHEMA)
+    plan = quality.gate_rows(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+    # Generated methods beyond this size would stay interpreted.
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
