@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from consentry.functions.text import squeeze, strip
 from consentry.operators.access import linkable
+from consentry.operators.state import grouped
 from consentry.sources.staging import lookup
 from consentry.spec import DEFAULT_SPEC, KEY, RegistrySpec
 
@@ -36,16 +37,16 @@ def link_keys(
         "national_id": (True, F.col("national_id")),
         "phone": (False, F.replace(F.col("phone"), F.lit("+"), F.lit(""))),
     }
-    entries = F.array(
+    listed = F.array(
         *[F.struct(F.lit(keys[k][0]).alias("plus"), keys[k][1].alias("key")) for k in kinds]
     )
     record = F.struct(F.col("row_order"), F.col(KEY))
-    return (
+    entries = (
         linkable(registry, spec)
-        .select(record.alias("record"), F.inline(entries))
+        .select(record.alias("record"), F.inline(listed))
         .filter(F.col("key").isNotNull())
-        .groupBy("plus", "key").agg(F.min("record").alias("record"))
     )
+    return grouped(entries, "plus", "key").agg(F.min("record").alias("record")).drop("_hash")
 
 
 def _slot(key: str) -> Column:
@@ -136,9 +137,8 @@ def link_messages_tokens(
 ) -> DataFrame:
     """``(msg_id, beneficiary_id)`` by whole words: ``ali`` does not match ``alice``. Cheaper than
     substrings, as each word is looked up once."""
-    keys = lookup(
-        link_keys(registry, kinds, spec).groupBy("key").agg(F.min("record").alias("record"))
-    )
+    either = grouped(link_keys(registry, kinds, spec), "key").agg(F.min("record").alias("record"))
+    keys = lookup(either.drop("_hash"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(1)))
     tokens = messages.select("msg_id", F.explode(words).alias("key"))
     return _first_record(tokens.join(keys, "key"))

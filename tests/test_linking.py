@@ -72,3 +72,9 @@ def test_empty_registry_links_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     messages = spark.createDataFrame([(1, "jane")], "msg_id bigint, text string")
     assert linking.link_messages(messages, none).count() == 0
+
+
+def test_keys_are_sorted_by_a_hash(spark):
+    keys = linking.link_keys(spark.createDataFrame(PEOPLE, SCHEMA))
+    assert keys.columns == ["plus", "key", "record"]
+    assert "SortAggregate(key=[_groupingexpression" in keys._jdf.queryExecution().executedPlan().toString()
